@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townkit.llm import credentials, frames, hosts, packing, tokens
+from townkit.llm import contamination, credentials, frames, hosts, packing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,18 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read_token_files(frames.write_token_files(table(spark, sf_dir, "documents")))
 
@@ -31,7 +39,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op6_best_fit_packing, op8_token_frames, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op10_secret_scans)}
 
 #: The reputation of op1 in SQL: the same moment estimates and posteriors.
 OP1_SQL = r"""
@@ -60,4 +68,16 @@ SELECT page_id, host, path, split_part(fit, ' ', 1) AS rule, coalesce(split_part
        round(mean, 6) AS good_mean, round(upper, 6) AS good_upper FROM judged
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL}
+#: Exact containment of each item in each document that shares a shingle with it; text_hash is left to Spark's hash, so it is not compared.
+OP7_SQL = r"""
+WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+sized AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS item_shingles FROM items),
+doc_words AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
+places AS (SELECT doc_id, text, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words),
+held AS (SELECT DISTINCT doc_id, text, item_id, s, item_shingles FROM (SELECT doc_id, text, array_to_string(w[i:i + 4], ' ') AS s FROM places) JOIN sized USING (s))
+SELECT doc_id, item_id, count(*) AS shared, item_shingles, round(count(*) / item_shingles, 6) AS containment
+FROM held GROUP BY doc_id, text, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9
+"""
+
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
