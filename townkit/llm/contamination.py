@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townkit.llm.shared import written
-
-#: Rows of ids that may be broadcast (two longs each, some 64 MB); beyond that the join is a shuffle.
-BROADCAST_ROWS = 2_000_000
+from townkit.llm.shared import sized, written
 
 
 def words_of(text: Column) -> Column:
@@ -23,11 +20,6 @@ def shingles(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     return placed.select(*keys, F.xxhash64(*(F.expr(f"words[at + {i}]") for i in range(n))).alias("shingle"))
 
 
-def sized(small: DataFrame) -> DataFrame:
-    """small, to be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
-
-
 def item_shingles(benchmark: DataFrame, n: int) -> DataFrame:
     """item_id, shingle, n_shingles: the distinct shingles of each item."""
     each = shingles(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()), ["item_id"], n).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townkit.llm import contamination, credentials, frames, hosts, packing, tokens, toxicity
+from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,15 @@ def op8_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.read_token_files(frames.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
 
 #: The reputation of op1 in SQL: the same moment estimates and posteriors.
 OP1_SQL = r"""
@@ -80,4 +84,15 @@ SELECT doc_id, item_id, count(*) AS shared, item_shingles, round(count(*) / item
 FROM held GROUP BY doc_id, text, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9
 """
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
+#: All pairs that share a shingle, their exact similarity, and the least id that links reach.
+OP9_SQL = r"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+sets AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM cut WHERE len(w) > 0) GROUP BY ALL),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k * 1.8 >= 0.8 * (x.n + y.n) - 1e-6),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM documents
+"""
+
+ORACLE_SQL = {"op9_ngram_jaccard_join": OP9_SQL, "op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}

@@ -32,6 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few short columns that may be broadcast, some 100 MB; beyond that joins are shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(small: DataFrame) -> DataFrame:
+    """small, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
 def text_groups(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[tuple[int, int]]:
     """(start, end) of runs of texts that hold about `most` characters, at least one text each."""
     start = held = 0
