@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, tokens, toxicity
+from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, tokens, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op4_embedding_near_dedup, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
 
 #: The reputation of op1 in SQL: the same moment estimates and posteriors.
 OP1_SQL = r"""
@@ -95,4 +99,17 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links
 SELECT doc_id, (SELECT min(b) FROM reach WHERE a = doc_id) AS class_id, (SELECT count(*) FROM links WHERE a = doc_id) AS n_links FROM documents
 """
 
-ORACLE_SQL = {"op9_ngram_jaccard_join": OP9_SQL, "op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
+#: All pairs of a label by brute force. Equal vectors have a cosine of 1, whatever the rounding.
+OP4_SQL = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+          WHERE a.x = b.x OR list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT min(b) FROM reach WHERE a = vec_id) AS component_id,
+       vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept FROM embeddings
+"""
+
+ORACLE_SQL = {"op4_embedding_near_dedup": OP4_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
