@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, tokens, toxicity, vectors
+from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, suffixes, tokens, toxicity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_token_counts, op4_embedding_near_dedup, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_array_dedup, op3_token_counts, op4_embedding_near_dedup, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
 
 #: The reputation of op1 in SQL: the same moment estimates and posteriors.
 OP1_SQL = r"""
