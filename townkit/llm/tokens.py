@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -27,7 +29,7 @@ BYTE_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]
 WORD_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Chunks that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -113,7 +115,7 @@ class PrefixCounts:
                     pair = (last[start], token)
                     fits = apart.get(pair)
                     if fits is None:
-                        if len(apart) > REMEMBERED:
+                        if len(apart) > REMEMBERED // 2:
                             apart.clear()
                         fits = apart[pair] = self.stay_apart(*pair)
                     if not fits:
@@ -208,8 +210,16 @@ class ChunkIds:
 
     def __init__(self, path: str, pattern: re.Pattern, lower: bool):
         self.tokenizer, self.pattern, self.lower = tokenizer(path), pattern, lower
+        self.spelling = {b: c for c, b in byte_alphabet().items()}
         self.known: dict[str, bytes] = {}
 
+    def learn(self, chunks: set[str]) -> None:
+        """A chunk is one word of the model, spelled in the byte alphabet."""
+        tokenize, spelling, pack = self.tokenizer.model.tokenize, self.spelling, [struct.Struct(f"<{n}I").pack for n in range(64)]
+        for chunk in chunks:
+            ids = [t.id for t in tokenize(chunk.encode().decode("latin-1").translate(spelling))]
+            self.known[chunk] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         find, known = self.pattern.findall, self.known
@@ -218,18 +228,14 @@ class ChunkIds:
             chunks = set(chain.from_iterable(c for c in cut if c))
             if len(known) > REMEMBERED:
                 known.clear()
-            new = [*(chunks.difference(known) if known else chunks)]
-            known.update(zip(new, map(as_bytes, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            self.learn(chunks.difference(known) if known else chunks)
             for i, c in enumerate(cut, start):
                 out[i] = b"".join(map(known.__getitem__, c)) if c is not None else as_bytes(self.tokenizer.encode(texts[i], add_special_tokens=False))
         return out
 
 
 def as_bytes(encoding) -> bytes:
-    import struct
-
-    ids = encoding.ids
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return np.array(encoding.ids, "<u4").tobytes()
 
 
 @lru_cache(2)
