@@ -51,14 +51,14 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
     parts = read(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type", "p_name")
     return rows.join(parts, rows["l_partkey"] == parts["p_partkey"]).select(
-        F.expr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', round(l_extendedprice * 100))").alias("id"), F.col("l_suppkey").alias("merchant"), F.col("p_brand").alias("item"),
+        F.expr("concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey, '-', cast(round(l_extendedprice * 100) AS bigint))").alias("id"), F.col("l_suppkey").alias("merchant"), F.col("p_brand").alias("item"),
         F.col("p_type").alias("grp"), F.col("p_name").alias("title"), F.col("l_extendedprice").alias("was"), F.expr("round(l_extendedprice * (1 - abs(l_discount) * 4), 2)").alias("price"),
         F.expr("round(abs(l_discount) * 400, 1)").alias("pct"), F.expr("1 + l_linenumber % 5").alias("relevance"), F.expr("cast(l_shipdate AS date)").alias("last_seen"),
         F.expr("concat('https://shop', l_suppkey, '.example.com/', l_partkey)").alias("link"), F.col("l_returnflag").alias("flag"),
     )
 
 
-OFFERS = """offers AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::DOUBLE AS id, l_suppkey AS merchant, p_brand AS item, p_type AS grp, p_name AS title,
+OFFERS = """offers AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT AS id, l_suppkey AS merchant, p_brand AS item, p_type AS grp, p_name AS title,
   l_extendedprice AS was, round(l_extendedprice * (1 - abs(l_discount) * 4), 2) AS price, round(abs(l_discount) * 400, 1) AS pct, 1 + l_linenumber % 5 AS relevance,
   l_shipdate::DATE AS last_seen, 'https://shop' || l_suppkey || '.example.com/' || l_partkey AS link, l_returnflag AS flag FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
