@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townkit.operators.stages import written
+
 
 def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
     """child, ancestor, depth (the least): closure of the edges (child, parent), by joins of the last level with the edges.
 
-    Each round reads its level from a checkpoint, so the plan does not grow; it ends when a level is empty, or raises at `depth`, as a
-    hierarchy that is deeper has a cycle.
+    Each round reads its level from a written table, so the plan does not grow; it ends when a level is empty, or raises at `depth`, as
+    a hierarchy that is deeper has a cycle.
     """
-    edges = edges.select("child", "parent").distinct()
+    edges = written(edges.select("child", "parent").distinct(), "edges")
     level, found = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), None
     for n in range(1, depth + 1):
         found = level if found is None else found.unionByName(level)
         level = level.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor"), F.lit(n + 1).alias("depth")).distinct()
+        level = written(level, "level")
         if level.isEmpty():
             return found.groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
     raise ValueError(f"the hierarchy has a cycle, or is deeper than {depth}")

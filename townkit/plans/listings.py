@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from townkit.functions import dates, geo, text, urls
@@ -12,18 +12,21 @@ from townkit.sources.tables import LISTINGS, VENUES, listings, read, venues
 
 TODAY = "2001-06-15"
 NORM = "trim(regexp_replace(replace(lower({}), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
-#: The listing columns as text, dates as YYYY-MM-DD.
-DAYS = {"start": F.col("start").cast("string"), "end": F.col("end").cast("string"), "last_seen": F.col("last_seen").cast("string")}
+
+
+def day(name: str) -> Column:
+    """A date column as text, YYYY-MM-DD."""
+    return F.col(name).cast("string").alias(name)
 
 
 @query(f"""SELECT id, title, start::VARCHAR AS start, "end"::VARCHAR AS "end" FROM listings WHERE kind = 'event' AND start IS NOT NULL AND coalesce("end", start) >= DATE '{TODAY}'""", LISTINGS)
 def upcoming_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.upcoming_events(listings(spark, sf_dir), TODAY).select("id", "title", DAYS["start"].alias("start"), DAYS["end"].alias("end"))
+    return views.upcoming_events(listings(spark, sf_dir), TODAY).select("id", "title", day("start"), day("end"))
 
 
 @query(f"SELECT id, title, last_seen::VARCHAR AS last_seen FROM listings WHERE kind = 'activity' AND last_seen >= DATE '{TODAY}' - 60", LISTINGS)
 def current_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.current_activities(listings(spark, sf_dir), TODAY).select("id", "title", DAYS["last_seen"].alias("last_seen"))
+    return views.current_activities(listings(spark, sf_dir), TODAY).select("id", "title", day("last_seen"))
 
 
 @query(f"""SELECT id, CASE WHEN start <= DATE '{TODAY}' + 2 AND coalesce("end", start) >= DATE '{TODAY}' + 1 THEN 'weekend' ELSE 'week' END AS section FROM listings
@@ -41,7 +44,7 @@ KEY_SQL = f"""md5(CASE WHEN kind = 'activity' THEN 'activity|' || {NORM.format('
   ELSE 'event|' || lower(regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '')) || '|' || start || '|id:' || venue_id END)"""
 
 
-def identity_column() -> F.Column:
+def identity_column() -> Column:
     return identity.identity_key(F.col("kind"), F.col("title"), F.col("url"), F.col("start"), F.col("venue_id"), F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
@@ -59,7 +62,7 @@ def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT venue_id, id, title, start::VARCHAR AS start FROM (SELECT *, row_number() OVER (PARTITION BY venue_id ORDER BY start DESC, id DESC) AS n FROM listings) WHERE n = 1", LISTINGS)
 def keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identity.keep_last(listings(spark, sf_dir), ["venue_id"], [F.col("start"), F.col("id")]).select("venue_id", "id", "title", DAYS["start"].alias("start"))
+    return identity.keep_last(listings(spark, sf_dir), ["venue_id"], [F.col("start"), F.col("id")]).select("venue_id", "id", "title", day("start"))
 
 
 @query("""SELECT venue_id, title, arg_min(id, id) AS id, arg_min("end", id) FILTER (WHERE "end" IS NOT NULL)::VARCHAR AS "end", max(last_seen)::VARCHAR AS last_seen FROM listings GROUP BY venue_id, title""", LISTINGS)
@@ -67,7 +70,7 @@ def keep_first_null_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first listing of each venue and title, its end filled from later ones, and the latest sighting."""
     rows = listings(spark, sf_dir).select("venue_id", "title", "id", "end", "last_seen")
     filled = identity.keep_first_fill(rows, ["venue_id", "title"], "id", ("last_seen",))
-    return filled.select("venue_id", "title", "id", DAYS["end"].alias("end"), DAYS["last_seen"].alias("last_seen"))
+    return filled.select("venue_id", "title", "id", day("end"), day("last_seen"))
 
 
 @query("SELECT kind, count(*) FILTER (WHERE n = 1)::BIGINT AS kept, count(*) FILTER (WHERE n > 1)::BIGINT AS duplicates FROM (SELECT kind, row_number() OVER (PARTITION BY title, start ORDER BY id) AS n FROM listings) GROUP BY kind", LISTINGS)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from townkit.functions import text
 from townkit.operators import eligibility, identity, ranking, views
 from townkit.plans.registry import query
+from townkit.sources import documents
 from townkit.sources.tables import NEWS, news, read
 
 TODAY = "2024-01-31"
@@ -115,3 +116,24 @@ def structural_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct contents of each source, by digest."""
     rows = read(spark, sf_dir, "documents", "source", "n_chars", "text").select("source", "n_chars", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     return rows.groupBy("source").agg(F.sum("n_chars").alias("chars"), F.count(F.lit(1)).alias("docs"), F.count_distinct("digest").alias("distinct_texts"))
+
+
+@query()
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and structure of every page."""
+    found = documents.read_pages(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "title", "heading", F.length("text").alias("n_chars"), F.size("links").alias("n_links"), "n_rows", "n_events")
+
+
+@query()
+def detail_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first links of each page that may lead to details on its own host."""
+    pages = read(spark, sf_dir, "pages")
+    return documents.detail_links(documents.read_pages(pages), pages, r"^https?://[^/]+/[A-Za-z]")
+
+
+@query("SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)', 1), ''), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS title, regexp_extract(html, '<html lang=\"([a-z]*)\"', 1) AS lang, length(html)::BIGINT AS n FROM pages")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and language of every page, by columns alone."""
+    title = text.collapse_spaces(F.replace(F.regexp_extract("html", r"<title>([^<]*)", 1), F.lit("&amp;"), F.lit("&")))
+    return read(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_extract("html", r'<html lang="([a-z]*)"', 1).alias("lang"), F.length("html").cast("long").alias("n"))

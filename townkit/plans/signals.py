@@ -69,11 +69,12 @@ def slot_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.claim_slots(claimed, wanted, ["kind", "slot"], "seq").select("seq", "state")
 
 
-@query("""SELECT workflow, strftime(slot, '%Y-%m-%d %H:%M') AS slot, run_id, delay, CASE WHEN run_id IS NULL THEN CASE WHEN epoch(TIMESTAMP '2024-01-30 12:00:00' - slot) / 60 > 60 THEN 'MISSING' ELSE 'PENDING' END WHEN NOT ok THEN 'FAILED' WHEN delay > 60 THEN 'LATE' ELSE 'OK' END AS state FROM
-  (SELECT s.workflow, s.slot, arg_min(r.seq, (r.ts, r.seq)) AS run_id, arg_min(r.kind <> 'error', (r.ts, r.seq)) AS ok, round_even(epoch(arg_min(r.ts, (r.ts, r.seq)) - s.slot)::BIGINT / 60, 0)::BIGINT AS delay
-   FROM (SELECT w AS workflow, d + INTERVAL (h) HOUR AS slot, lead(d + INTERVAL (h) HOUR, 1, TIMESTAMP '2024-01-30 12:00:00') OVER (PARTITION BY w ORDER BY d + INTERVAL (h) HOUR) AS next
-         FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) t(d), (VALUES (7), (19)) h(h), (SELECT DISTINCT series AS w FROM signals)) s
-   LEFT JOIN signals r ON r.series = s.workflow AND r.ts >= s.slot AND r.ts < s.next GROUP BY s.workflow, s.slot)""" if False else None, SIGNALS)
+@query(""", hours AS (SELECT unnest([7, 19]) AS h), days AS (SELECT unnest(range(30)) AS d),
+  slots AS (SELECT workflow, TIMESTAMP '2024-01-01' + to_days(d::INT) + to_hours(h::INT) AS slot FROM (SELECT DISTINCT series AS workflow FROM signals), days, hours),
+  windows AS (SELECT *, lead(slot, 1, TIMESTAMP '2024-01-31 12:00:00') OVER (PARTITION BY workflow ORDER BY slot) AS next FROM slots),
+  runs AS (SELECT workflow, slot, seq, ts, kind, row_number() OVER (PARTITION BY workflow, slot ORDER BY ts, seq) AS n FROM windows LEFT JOIN signals ON series = workflow AND ts >= slot AND ts < next),
+  first AS (SELECT *, round_even(trunc(epoch(ts - slot)) / 60.0, 0)::BIGINT AS delay FROM runs WHERE n = 1)
+  SELECT workflow, strftime(slot, '%Y-%m-%d %H:%M') AS slot, seq AS run_id, delay, CASE WHEN seq IS NULL THEN 'MISSING' WHEN kind = 'error' THEN 'FAILED' WHEN delay > 60 THEN 'LATE' ELSE 'OK' END AS state FROM first""", SIGNALS)
 def slot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two slots a day of each workflow, with the first run of each."""
     rows = signals(spark, sf_dir)
