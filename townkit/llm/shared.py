@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townkit.operators.stages import shared_dir, written  # noqa: F401  (for the operators here)
+
 #: Characters of text that one Python step holds as word lists at a time.
 CHARS_AT_ONCE = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; a local one only where it is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not found:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="townkit-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: its lineage ends there, and lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows of a few short columns that may be broadcast, some 100 MB; beyond that joins are shuffles.
 BROADCAST_ROWS = 1_000_000
 
