@@ -74,4 +74,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """docs without the rows that hold a benchmark item; all columns stay."""
     dirty = written(contaminated(docs, benchmark, threshold, n).select(F.col("doc_id").alias("dirty_id"), F.col("text_hash").alias("dirty_hash")).distinct(), "dirty")
     dirty = sized(dirty)
-    return docs.join(dirty, F.col("doc_id").cast("long").eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dirty["dirty_hash"]), "left_anti")
+    return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dirty["dirty_hash"]), "left_anti")

@@ -132,7 +132,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: st
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_and_text(docs).repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = id_and_text(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext

@@ -360,4 +360,5 @@ def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """docs with one document of each class, that of the smallest doc_id; all columns stay. Rows of one doc_id stay or go together,
     and rows of a null doc_id stay."""
     gone = written(jaccard_classes(docs, join).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
+    gone = sized(gone)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -106,7 +106,7 @@ class Index:
     @property
     def prior(self) -> float:
         total = self.class_weight.sum()
-        return float(self.class_weight @ self.toxic / total) if total else 0.5
+        return float(self.class_weight @ self.toxic / total) if total else 0.0
 
     def calibrate(self) -> None:
         """Isotonic steps from the votes of each example by the others."""
@@ -225,7 +225,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the three nearest examples, for every whole text.
 
     Null and empty texts, and those without a kept term, get the score of no votes: the prior, calibrated. A null doc_id is scored and
-    not held out. Repeated rows are all returned; further columns are left out. Without labels every score is 1/2.
+    not held out. Repeated rows are all returned; further columns are left out. Without labels every score is 0.
     Only texts enter a score; labels are learnt from the rows outside the held-out fold.
     """
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))  # bounded by examples and terms
