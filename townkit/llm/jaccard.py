@@ -239,6 +239,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
         x = np.zeros((len(both), min(step, int(shared.sum()) - first)), np.float32)
         x[owner[a:b], place[a:b] - first] = 1
         total += x @ x.T if right is None else x[: len(left)] @ x[len(left) :].T
+    if right is None:  # elements that no other set has count only here
+        np.fill_diagonal(total, [len(s) for s in left])
     return total
 
 
