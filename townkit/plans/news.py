@@ -36,8 +36,8 @@ WORDS = "list_distinct(list_filter(string_split(regexp_replace(lower(title), '[^
 
 
 @query(f"""SELECT b.id AS id, a.id AS first_id, round(len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))), 6) AS similarity
-  FROM (SELECT id, {WORDS} AS w FROM news WHERE id % 1 = 0) a JOIN (SELECT id, {WORDS} AS w FROM news) b ON a.id < b.id
-  WHERE len(a.w) >= 4 AND len(b.w) >= 4 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""", "news AS (SELECT doc_id AS id, regexp_replace(regexp_extract(coalesce(text, ''), '^[^.\\n]{0,120}', 0), ' - [^-]*$', '') AS title FROM documents)")
+  FROM (SELECT id, {WORDS} AS w FROM news) a JOIN (SELECT id, {WORDS} AS w FROM news) b ON a.id < b.id
+  WHERE len(a.w) >= 4 AND len(b.w) >= 4 AND len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) >= 0.6""", "news AS (SELECT doc_id AS id, regexp_replace(regexp_extract(coalesce(text, ''), '^[^.\\n]*', 0), ' - [^-]*$', '') AS title FROM documents)")
 def jaccard_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of headlines whose words are 0.6 alike."""
     rows = news(spark, sf_dir).select("id", text.word_set(F.col("title")).alias("words"))

@@ -37,8 +37,7 @@ def fuzzy_ratio_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = venues(spark, sf_dir).where("id % 3 = 0")
-    return rows.select(
+    return venues(spark, sf_dir).select(
         F.col("id").alias("candidate"), text.norm_name(F.concat(F.col("name"), F.when(F.col("id") % 2 == 0, " Ltd").otherwise(" Annex"))).alias("name"), "postcode", (F.col("lat") + 0.0005).alias("lat"), "lng",
         (F.col("lat") - 0.002).alias("south"), (F.col("lat") + 0.002).alias("north"), (F.col("lng") - 0.002).alias("west"), (F.col("lng") + 0.002).alias("east"),
     )
@@ -117,11 +116,11 @@ def resolve_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), places.resolve_country(code("E,S,W,N,X", F.col("c_custkey") % 5), code("E,S,W,X,X,X", F.col("c_nationkey") % 6)).alias("country"))
 
 
-@query("""SELECT id FROM (SELECT n_nationkey AS id FROM nation) WHERE id NOT IN (SELECT council FROM (SELECT council, id % 3 <> 0 AS ok, (id * 13) % 400 AS days FROM venues WHERE id < 40) WHERE (ok AND days < 180) OR (NOT ok AND days < 7)) ORDER BY id LIMIT 10""", VENUES)
-def due_councils(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten councils without a fresh run."""
-    runs = venues(spark, sf_dir).where("id < 40").select(F.col("council").alias("id"), (F.col("id") % 3 != 0).alias("ok"), F.expr("timestamp_ntz'2024-01-31 00:00:00' - make_dt_interval(cast((id * 13) % 400 AS int))").alias("ran_at"))
-    return views.due(read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id")), runs, "2024-01-31 00:00:00")
+@query("""SELECT id FROM venues WHERE id NOT IN (SELECT venue_id FROM listings WHERE (status <> 'F' AND DATE '2001-06-15' - start < 180) OR (status = 'F' AND DATE '2001-06-15' - start < 7)) ORDER BY id LIMIT 10""", VENUES, LISTINGS)
+def due_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten venues without a fresh run: a success counts for 180 days, a failure for 7."""
+    runs = listings(spark, sf_dir).select(F.col("venue_id").alias("id"), (F.col("status") != "F").alias("ok"), F.col("start").cast("timestamp_ntz").alias("ran_at"))
+    return views.due(venues(spark, sf_dir).select("id"), runs, "2001-06-15 00:00:00")
 
 
 @query("""SELECT id, CASE WHEN good THEN greatest(last_seen, DATE '2001-07-01')::VARCHAR ELSE last_seen::VARCHAR END AS last_seen FROM (SELECT id, last_seen, venue_id % 3 <> 0 AND venue_id % 5 <> 0 AS good FROM listings WHERE kind = 'activity')""", LISTINGS)
@@ -135,21 +134,21 @@ def freshness_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NULL OR (o.id IS NOT NULL AND o.id % 5 = 0) THEN o.name ELSE n.name END AS name, coalesce(n.category, o.category) AS category, CASE WHEN o.id IS NULL THEN n.fee ELSE coalesce(o.fee, n.fee) END AS fee
-  FROM (SELECT id, name, category, CASE WHEN id % 4 = 0 THEN NULL ELSE fee END AS fee FROM venues WHERE id < 1000) o FULL JOIN (SELECT id, 'New ' || name AS name, CASE WHEN id % 2 = 0 THEN NULL ELSE 'CHANGED' END AS category, fee + 1 AS fee FROM venues WHERE id >= 500 AND id < 1200) n ON o.id = n.id""", VENUES)
+  FROM (SELECT id, name, category, CASE WHEN id % 4 = 0 THEN NULL ELSE fee END AS fee FROM venues WHERE id % 10 <> 9) o FULL JOIN (SELECT id, 'New ' || name AS name, CASE WHEN id % 2 = 0 THEN NULL ELSE 'CHANGED' END AS category, fee + 1 AS fee FROM venues WHERE id % 10 = 9 OR id % 3 = 0) n ON o.id = n.id""", VENUES)
 def protected_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed rows keep their names; categories stay where the change has none; fees are only filled."""
     rows = venues(spark, sf_dir).select("id", "name", "category", "fee")
-    current = rows.where("id < 1000").withColumn("fee", F.when(F.col("id") % 4 != 0, F.col("fee")))
-    delta = rows.where("id >= 500 AND id < 1200").select("id", F.concat(F.lit("New "), F.col("name")).alias("name"), F.when(F.col("id") % 2 != 0, "CHANGED").alias("category"), (F.col("fee") + 1).alias("fee"))
+    current = rows.where("id % 10 <> 9").withColumn("fee", F.when(F.col("id") % 4 != 0, F.col("fee")))
+    delta = rows.where("id % 10 = 9 OR id % 3 = 0").select("id", F.concat(F.lit("New "), F.col("name")).alias("name"), F.when(F.col("id") % 2 != 0, "CHANGED").alias("category"), (F.col("fee") + 1).alias("fee"))
     return merge.merge(current, delta, ["id"], {"category": "keep", "fee": "fill"}, F.col("id") % 5 == 0, ("name",))
 
 
-@query("SELECT id, name FROM venues WHERE id < 500 UNION ALL SELECT id, 'New' FROM venues WHERE id >= 500 AND id < 700", VENUES)
+@query("SELECT id, CASE WHEN id % 5 >= 3 THEN 'New' ELSE name END AS name FROM venues", VENUES)
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An upsert, then rows that are only added where absent."""
     rows = venues(spark, sf_dir).select("id", "name")
-    changed = merge.upsert(rows.where("id < 600"), rows.where("id >= 500 AND id < 650").withColumn("name", F.lit("New")), ["id"])
-    return merge.insert_absent(changed, rows.where("id >= 400 AND id < 700").withColumn("name", F.lit("New")), ["id"])
+    changed = merge.upsert(rows.where("id % 5 <> 4"), rows.where("id % 5 = 3").withColumn("name", F.lit("New")), ["id"])
+    return merge.insert_absent(changed, rows.where("id % 5 >= 2").withColumn("name", F.lit("New")), ["id"])
 
 
 @query("""SELECT id, CASE WHEN (CASE WHEN id % 6 = 0 AND id % 9 <> 0 THEN CASE WHEN id % 12 = 0 THEN 'expired' ELSE 'review' END ELSE 'live' END) = 'live' AND start < DATE '1999-01-01' THEN 'expired' WHEN id % 6 = 0 AND id % 9 <> 0 THEN CASE WHEN id % 12 = 0 THEN 'expired' ELSE 'review' END ELSE 'live' END AS status FROM listings""", LISTINGS)

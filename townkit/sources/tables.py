@@ -67,12 +67,12 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, title (first sentence), source, region, relevance, published, hidden, of documents and their labels."""
     docs, labels = read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), read(spark, sf_dir, "labels", "doc_id", "quality")
     return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.\n]{0,120}", 0).alias("title"), "source", F.col("lang").alias("region"),
+        F.col("doc_id").alias("id"), F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.\n]*", 0).alias("title"), "source", F.col("lang").alias("region"),
         F.coalesce(F.col("quality") * 3 + F.col("doc_id") % 3, F.col("doc_id") % 6).alias("relevance"), F.expr("date_sub(date'2024-01-31', cast(doc_id % 40 AS int))").alias("published"), (F.col("doc_id") % 23 == 0).alias("hidden"),
     )
 
 
-NEWS = """news AS (SELECT d.doc_id AS id, regexp_extract(coalesce(text, ''), '^[^.\\n]{0,120}', 0) AS title, source, lang AS region,
+NEWS = """news AS (SELECT d.doc_id AS id, regexp_extract(coalesce(text, ''), '^[^.\\n]*', 0) AS title, source, lang AS region,
   coalesce(quality * 3 + d.doc_id % 3, d.doc_id % 6) AS relevance, DATE '2024-01-31' - (d.doc_id % 40)::INT AS published, d.doc_id % 23 = 0 AS hidden FROM documents d LEFT JOIN labels USING (doc_id))"""
 
 
