@@ -19,7 +19,7 @@ from townkit.llm.shared import batch_of, components, id_and_text, sized, text_gr
 
 WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a Python worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,7 +43,7 @@ class Join:
     coordinates: int = 128
     maybe: float = 0.6
     block_sets: int = 2_048
-    block_shingles: int = 2_000_000
+    block_shingles: int = 500_000
 
 
 class Shingler:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -38,7 +39,8 @@ def words(text: str) -> list[str]:
 
 @dataclass
 class Index:
-    """Examples as unit vectors over the terms, in blocks with the greatest weight of each term in each block."""
+    """Examples as unit vectors over the terms: each block's postings (term, place in the block, weight), and the greatest weight of
+    each term in each block. Postings are sparse, as every Python worker holds an index of its own."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -48,7 +50,7 @@ class Index:
     block: int
     settings: Settings
     counts: list[dict[int, int]] = field(default_factory=list)  # term counts of the examples
-    weights: np.ndarray = field(default=None)  # terms x examples
+    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by block
     most: np.ndarray = field(default=None)  # terms x blocks
     steps: tuple[np.ndarray, np.ndarray] = field(default=None)
 
@@ -68,11 +70,22 @@ class Index:
         self.counts = [example_counts[i] for i in order]
         self.example_ids, self.toxic, self.class_weight = self.example_ids[order], self.toxic[order], self.class_weight[order]
         blocks = max(1, math.ceil(len(order) / self.block))
-        self.weights = np.zeros((len(self.terms), blocks * self.block), np.float64)
-        for k, i in enumerate(order):
-            t, w = vectors[i]
-            self.weights[t, k] = w
-        self.most = self.weights.reshape(len(self.terms), blocks, self.block).max(2)
+        self.most, self.postings = np.zeros((len(self.terms), blocks)), []
+        for b in range(blocks):
+            own = [vectors[i] for i in order[b * self.block : (b + 1) * self.block]]
+            for t, w in own:
+                self.most[t, b] = np.maximum(self.most[t, b], w)
+            none = np.zeros(0, np.int64)
+            members = np.repeat(np.arange(len(own)), [len(t) for t, _ in own]).astype(np.int64)
+            self.postings.append((np.concatenate([none, *(t for t, _ in own)]).astype(np.int32), members.astype(np.int32), np.concatenate([none, *(w for _, w in own)])))
+
+    @property
+    def weights(self) -> np.ndarray:
+        """Terms x places, whole: to look at, not to search in."""
+        out = np.zeros((len(self.terms), len(self.postings) * self.block))
+        for b, (terms, members, weights) in enumerate(self.postings):
+            out[terms, b * self.block + members] = weights
+        return out
 
     def nearest(self, counts: dict[int, int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the nearest examples with a cosine above 0, best first, ties by place; exact.
@@ -82,12 +95,14 @@ class Index:
         t, w = self.vector(counts)
         if not len(t):
             return np.zeros(0, np.int64), np.zeros(0)
-        bounds = w @ self.most[t]
+        bounds, query = w @ self.most[t], np.zeros(len(self.terms))
+        query[t] = w
         places, cosines, last = np.zeros(0, np.int64), np.zeros(0), 0.0
         for b in np.argsort(-bounds, kind="stable"):
             if bounds[b] <= 0 or bounds[b] < last - 1e-12:
                 break
-            here = w @ self.weights[t, b * self.block : (b + 1) * self.block]
+            terms, members, weights = self.postings[b]
+            here = np.bincount(members, query[terms] * weights, self.block)
             found = np.flatnonzero(here > 0)
             found = found[found + b * self.block != skip]
             places, cosines = np.concatenate([places, found + b * self.block]), np.concatenate([cosines, here[found]])
@@ -202,7 +217,7 @@ COUNTS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("weight", pa
 FREQUENCIES = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 #: Term counts of documents whose score a worker remembers.
-REMEMBERED = 100_000
+REMEMBERED = 20_000
 
 
 class Scorer:
@@ -212,7 +227,7 @@ class Scorer:
     def __call__(self, text: str) -> tuple[float, list[int], list[float]]:
         terms = self.index.terms
         counts = Counter(terms[w] for w in words(text) if w in terms)
-        key = tuple(sorted(counts.items()))
+        key = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
         if key not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
