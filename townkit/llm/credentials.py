@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from townkit.llm.shared import batch_of, id_and_text
+from townkit.llm.shared import batch_of, id_and_text, small_batches
 
 #: The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -145,4 +145,4 @@ def redact(docs: DataFrame, mask: str = "[secret]", settings: Novelty = Novelty(
                 columns[count_at] = pa.array(counts, batch.schema.field(count_at).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(clean, schema)
+    return small_batches(docs).mapInArrow(clean, schema)

@@ -35,9 +35,22 @@ def text_groups(texts: list[str], most: int = CHARS_AT_ONCE) -> Iterator[tuple[i
         yield start, len(texts)
 
 
+#: Rows and bytes of a batch that Spark hands to Python. Spark's default of 10,000 rows is far too many where a row is a whole text.
+ROWS_A_BATCH, BYTES_A_BATCH = 1_000, 16 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session's batches for Python bounded; a lower number of rows that the session sets stays."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_A_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_A_BATCH))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_A_BATCH))
+    return docs
+
+
 def id_and_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Only the id and the text (null: empty), whatever other columns there are."""
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    return small_batches(docs).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
 def batch_of(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
