@@ -29,7 +29,7 @@ BYTE_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]
 WORD_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Chunks that a Python worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -152,6 +152,11 @@ class TextPrefixes:
 
     def at(self, n_chars: int) -> int:
         """Tokens of text[:n_chars]."""
+        word_end = n_chars
+        while word_end and self.text[word_end - 1].isspace():
+            word_end -= 1
+        if word_end < n_chars:  # spaces at the end are one chunk, whatever follows them in the text
+            return self.totals[bisect_right(self.ends, word_end) - 1] + self.counts.of_chunk(self.text[word_end:n_chars])
         k = bisect_right(self.ends, n_chars) - 1
         if k == len(self.chunks) or self.ends[k] == n_chars:
             return self.totals[k]
