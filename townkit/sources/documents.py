@@ -191,3 +191,21 @@ def detail_links(read: DataFrame, urls: DataFrame, signal: str = r"/(event|activ
 def plain(value: str | None) -> str:
     """Markup and entities removed, spaces collapsed."""
     return " ".join(unescape(re.sub(r"<[^>]*>", " ", value or "")).split())
+
+
+EVENTS = pa.schema([("page_id", pa.int64()), ("place_in_page", pa.int64()), *((c, pa.string()) for c in ("name", "start", "end", "place", "url"))])
+
+
+def read_events(pages: DataFrame) -> DataFrame:
+    """page_id, place_in_page, name, start, end, place, url: a row for each event in the linked data of each page (page_id, url, html)."""
+
+    def read(batches):
+        for batch in batches:
+            out = [
+                {"page_id": page_id, "place_in_page": k, **event}
+                for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for k, event in enumerate(page_events(html, url))
+            ]
+            yield pa.RecordBatch.from_pylist(out, schema=EVENTS)
+
+    return pages.select("page_id", "url", "html").mapInArrow(read, "page_id long, place_in_page long, name string, start string, end string, place string, url string")
