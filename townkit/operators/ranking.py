@@ -25,7 +25,7 @@ def round_robin(rows: DataFrame, bucket: str, order: list[Column]) -> DataFrame:
     taken = dense_order(rows, [bucket], order, "round")
     first = taken.where(F.col("round") == 1)
     places = first.withColumn("bucket_place", F.row_number().over(Window.orderBy(*order))).select(F.col(bucket), "bucket_place")
-    return taken.join(F.broadcast(places), bucket)
+    return taken.join(places, bucket)
 
 
 def two_level_round_robin(rows: DataFrame, source: str, item: str, order: list[Column], budget: int) -> DataFrame:
@@ -38,7 +38,7 @@ def two_level_round_robin(rows: DataFrame, source: str, item: str, order: list[C
     by_source = by_source.withColumn("_first", F.min("_seen").over(Window.partitionBy(source, item)))
     turns = by_source.withColumn("turn", F.row_number().over(Window.partitionBy(source).orderBy("variant", "_first")))
     first = first_in(rows, [source], order).withColumn("source_place", F.row_number().over(Window.orderBy(*order))).select(source, "source_place")
-    placed = turns.join(F.broadcast(first), source)
+    placed = turns.join(first, source)
     # a row is in the budget if the rows of earlier turns and earlier sources leave room: counts by turn, not a sort of all rows
     sizes = placed.groupBy("turn").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
