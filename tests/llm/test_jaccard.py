@@ -98,3 +98,29 @@ def test_components_of_long_chains(spark):
     found = {x["node"]: x["component"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     for part in (names[:121], names[130:], range(1000, 1100)):
         assert {found[i] for i in part} == {min(part)}
+
+
+def test_pairs_at_the_threshold(spark):
+    """4k shared shingles of 5k are 0.8 exactly, and one more of another size is below; the SQL decides."""
+    import duckdb
+    import pandas as pd
+
+    from townkit.llm.queries import OP9_SQL
+
+    rows = []
+    for k in range(1, 81):
+        words = [f"p{k}w{i}" for i in range(5 * k + 5)]
+        rows += [(len(rows) + i, " ".join(words[:n])) for i, n in enumerate((4 * k + 4, 5 * k + 4))]
+        words = [f"q{k}w{i}" for i in range(5 * k + 5)]
+        rows += [(len(rows) + i, " ".join(words[:n])) for i, n in enumerate((4 * k + 4, 5 * k + 5))]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  (read by the SQL)
+    expected = sorted(map(repr, duckdb.sql(OP9_SQL).fetchall()))
+    assert sum(", 1)" in x for x in expected) == 160
+    assert rows_of(jaccard.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == expected
+
+
+def test_reaching_is_exact_at_every_size():
+    k = np.arange(1, 2_000_000, 97)
+    for below in (0, 1):
+        found = jaccard.reaching((4 * k - below).astype(np.float32)[:, None], 9 * k, np.zeros(1), 0.8)
+        assert (found == (below == 0)).all()

@@ -232,7 +232,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     owner, place = owner[keep], column[place[keep]]
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
-    total = np.zeros((len(left), len(both) if right is None else len(right)), np.float32)
+    total = np.zeros((len(left), len(both) if right is None else len(right)))
     step = 4096
     for first in range(0, int(shared.sum()), step):
         a, b = np.searchsorted(place, (first, first + step))
@@ -244,6 +244,14 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
     return total
 
 
+def reaching(shared: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets of so many elements reach the similarity, in doubles; row by row, so that no other whole matrix is held."""
+    out = np.empty(shared.shape, bool)
+    for k, row in enumerate(shared):
+        out[k] = row.astype(float) * (1 + threshold) >= threshold * (left[k] + right) - 1e-6
+    return out
+
+
 LINKED = pa.schema([("node", pa.string()), ("links", pa.int64()), ("other", pa.string())])
 
 
@@ -265,7 +273,7 @@ def verify(join: Join):
             a = np.arange(first)
             b = a if i == j else np.arange(first, len(names))
             shared = overlaps(sets[:first], None if i == j else sets[first:])
-            similar = shared * (1 + join.threshold) >= join.threshold * (sizes[a][:, None] + sizes[b]) - 1e-6
+            similar = reaching(shared, sizes[a], sizes[b], join.threshold)
             if i == j:
                 np.fill_diagonal(similar, False)
             links = np.zeros(len(names), np.int64)
