@@ -70,3 +70,21 @@ def test_probes_hold_every_near_vector():
     codes, error = index.encode(x - index.coarse[home])
     words = np.concatenate([book[codes[:, s]] for s, book in enumerate(index.books)], 1)
     assert np.allclose(np.sqrt(((x - index.coarse[home] - words) ** 2).sum(1)), error)
+
+
+@pytest.mark.parametrize(("dims", "rank"), [(768, 8), (64, 2)])
+def test_low_rank_vectors_lose_no_pair(spark, dims, rank):
+    """Differences that point in a few of many dimensions cross borders far off."""
+    r = np.random.Generator(np.random.PCG64(3))
+    plane = np.linalg.qr(r.normal(size=(dims, rank)))[0].T
+    x = r.normal(size=(600, rank))
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    side = r.normal(size=(600, rank))
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.sqrt((side * side).sum(1, keepdims=True))
+    both = (np.concatenate([x, 0.983 * x + (1 - 0.983**2) ** 0.5 * side]) @ plane).astype(np.float32)
+    unit = both.astype(float) / np.sqrt((both.astype(float) ** 2).sum(1, keepdims=True))
+    expected = ((unit @ unit.T) >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, e, 0, "n", "x") for i, e in enumerate(both.tolist())], SCHEMA).repartition(3)
+    found = {row["vec_id"]: row["n_links"] for row in vectors.near_duplicates(df, vectors.Quantiser(a_list=15)).collect()}
+    assert [found[i] for i in range(len(both))] == expected.tolist()

@@ -17,11 +17,6 @@ from townkit.llm.shared import batch_of, components, sized, written
 class Quantiser:
     """sample: most vectors that the centroids and codebooks are fitted on (the documented bound); lists: most inverted lists;
     parts: subspaces; codes: centroids of a subspace; rounds: of k-means; block: vectors on one side of a task.
-
-    margin: a query probes the lists whose border is within margin / sqrt(dimensions) of the threshold's distance r. Only a difference
-    of length r that leans towards the border by over `margin` deviations of a random direction can cross a border further off, and a
-    pair is missed only if that holds from both of its sides. With 8 or more (for 64 dimensions) nothing can be missed; 3 found all
-    308,377 and all 497,877 pairs of 51,282 and 10,256 vectors that brute force finds, with a ninth of the probes.
     """
 
     threshold: float = 0.98
@@ -32,7 +27,17 @@ class Quantiser:
     codes: int = 64
     rounds: int = 8
     block: int = 1_024
-    margin: float = 3.0
+
+    @property
+    def reach(self) -> float:
+        """The distance of two unit vectors whose cosine is the threshold."""
+        return float(np.sqrt(2 - 2 * self.threshold))
+
+    @property
+    def window(self) -> float:
+        """How near the border of a list must be for a query to probe it. Two vectors on both sides of a border are at least as far apart
+        as the sum of their distances to it, so of a pair within reach one has the other's list within half of it, and finds the pair."""
+        return self.reach / 2
 
 
 @dataclass
@@ -63,9 +68,10 @@ class Index:
         """
         own = d.argmin(1)
         apart = np.sqrt(squared(self.coarse, self.coarse))[own]
-        border = (d - d[np.arange(len(d)), own][:, None]) / np.maximum(2 * apart, 1e-12)
-        border[np.arange(len(d)), own] = 0
-        return border <= reach + 1e-6
+        # 1e-12 is for the rounding between equal centroids
+        near = d - d[np.arange(len(d)), own][:, None] <= 2 * apart * (reach + 1e-6) + 1e-12
+        near[np.arange(len(d)), own] = True
+        return near
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -134,14 +140,14 @@ def near_duplicates(vectors: DataFrame, settings: Quantiser = Quantiser()) -> Da
     link like others. Further columns are left out; an empty table gives an empty result.
 
     Equal vectors of a label are one node with a weight. Coarse lists and codebooks are fitted on at most settings.sample vectors;
-    every vector is indexed and is a query. A query probes its own list and those with a near border (see margin), looks up code
+    every vector is indexed and is a query. A query probes its own list and those with a near border (see window), looks up code
     distances there, drops what is further than the threshold plus the code's own error (which loses nothing), and reranks the rest by
     exact cosine. Large lists are cut into blocks: a task sees two blocks at most, and returns sums and a spanning forest, not pairs.
     """
     spark = vectors.sparkSession
     rows = usable_vectors(vectors)
     nodes = written(distinct_vectors(rows), "vectors")
-    n, reach = nodes.count(), float(np.sqrt(2 - 2 * settings.threshold))
+    n, reach = nodes.count(), settings.reach
     indexes: dict[int, Index] = {}
     lengths = [row["dims"] for row in nodes.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dims").limit(16).select("dims").collect()]
     for dims in lengths:
@@ -163,7 +169,7 @@ def near_duplicates(vectors: DataFrame, settings: Quantiser = Quantiser()) -> Da
                 else:
                     index = shared.value[d]
                     home, distances = index.nearest(x)
-                    of, at = np.nonzero(index.probes(distances, reach * min(1.0, settings.margin / d**0.5)))
+                    of, at = np.nonzero(index.probes(distances, settings.window))
                     own = home[of] == at
                     codes, error = index.encode(x - index.coarse[home])
                 coded = [codes[k].tobytes() for k in range(len(x))]
