@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,7 +19,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that make the text before a string sensitive, and common identifiers and code for the compressor's dictionary.
+#: Words that make the text around a string sensitive, and common identifiers and code for the compressor's dictionary.
 SENSITIVE = ("secret", "token", "passw", "passphrase", "credential", "api_key", "apikey", "api-key", "access_key", "private", "auth", "bearer", "akia", "signature", "client_id", "session")
 IDENTIFIERS = (
     "class function return const static public private import export default async await self this true false null None undefined "
@@ -29,14 +30,19 @@ IDENTIFIERS = (
     "application/x-www-form-urlencoded multipart/form-data 2024-01-01T00:00:00Z 00000000-0000-0000-0000-000000000000 version 1.0.0 release"
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: Strings with further signs, looked at where no part of them is a candidate that counts.
+SIGNED = re.compile(r"[A-Za-z0-9!#$%&*+./:=?@^_~-]{16,}")
+SENSITIVE_WORD = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
+#: What may stand between the lines of one string, and the short last line of a key before its END.
+SEAM = re.compile(r"""(?:\\[nr]|[\s"'`+,;>|#*\\])*""")
+TAIL = re.compile(r"""(?:\\[nr]|[\s"'`+,;>|#*\\])*([A-Za-z0-9+/=_]{1,15})(?=(?:\\[nr]|[\s"'`+,;>|#*\\])*-----END)""")
 
 
 @dataclass(frozen=True)
 class Novelty:
-    """before: characters of context on each side; reach: how far before a string a sensitive word counts; least: marginal compressed bytes a character."""
+    """before: characters of context on each side, in which a sensitive word counts; least: marginal compressed bytes a character."""
 
     before: int = 400
-    reach: int = 60
     least: float = 0.62
 
 
@@ -67,22 +73,60 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], settings: Novelty = Novelty()) -> list[tuple[int, int, int]]:
-    """Strings of letters and digits in sensitive context, outside base spans, that context and dictionary hardly compress."""
-    low, found = text.lower(), []
-    if not any(word in low for word in SENSITIVE):
-        return found
-    aligned = len(low) == len(text)
-    for m in CANDIDATE.finditer(text):
-        start, end, string = m.start(), m.end(), m[0]
-        near = (low if aligned else text)[max(0, start - settings.reach) : start].lower()
-        if not any(c.isdigit() for c in string) or not any(c.isalpha() for c in string) or not any(word in near for word in SENSITIVE):
-            continue
-        if any(s < end and start < e for s, _, e in base):
-            continue
+    """Strings of 16 characters or more in sensitive context, outside base spans, that context and dictionary hardly compress.
+
+    Strings that only line ends or quotes part, as the lines of a key, are in context together as long as each hardly compresses.
+    """
+    low = text.lower()
+    words = [m.start() for m in SENSITIVE_WORD.finditer(text)] if any(word in low for word in SENSITIVE) else []
+    if not words:
+        return []
+
+    def in_context(start: int, end: int) -> bool:
+        k = bisect_left(words, start - settings.before)
+        if k < len(words) and words[k] < start:
+            return True
+        k = bisect_left(words, end)
+        return k < len(words) and words[k] < end + settings.before
+
+    def novel(start: int, end: int) -> bool:
         context = text[max(0, start - settings.before) : start] + "\n" + text[end : end + settings.before] + "\n"
-        if marginal_bytes(context, string) >= settings.least * len(string):
-            found.append((start, 3, end))
-    return found
+        return marginal_bytes(context, text[start:end]) >= settings.least * (end - start)
+
+    found: list[tuple[int, int, int]] = []
+    for pattern in (CANDIDATE, SIGNED):
+        taken: list[tuple[int, int, bool]] = []  # what counts already, without overlaps; it carries context on
+        for s, _, e in sorted(base + found):
+            if taken and s < taken[-1][1]:
+                taken[-1] = (taken[-1][0], max(e, taken[-1][1]), True)
+            else:
+                taken.append((s, e, True))
+        parts = []
+        for m in pattern.finditer(text):
+            k = bisect_left(taken, (m.end(),))  # the last that starts before the string's end
+            if not k or taken[k - 1][1] <= m.start():
+                parts.append((m.start(), m.end(), False))
+        runs: list[list[tuple[int, int, bool]]] = []
+        for part in sorted(parts + taken):
+            if runs and SEAM.fullmatch(text, runs[-1][-1][1], part[0]):
+                runs[-1].append(part)
+            else:
+                runs.append([part])
+        for run in runs:
+            if not any(known or in_context(s, e) for s, e, known in run):
+                continue
+            held: list[tuple[int, int, bool]] = []
+            for part in [*run, None]:
+                if part is not None and (part[2] or novel(*part[:2])):
+                    held.append(part)
+                    continue
+                if any(known or in_context(s, e) for s, e, known in held):
+                    found += [(s, 3, e) for s, e, known in held if not known]
+                    tail = TAIL.match(text, held[-1][1])
+                    if tail and not any(s < tail.end(1) and tail.start(1) < e for s, _, e in base + found):
+                        found.append((tail.start(1), 3, tail.end(1)))
+                held = []
+    return sorted(found)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
