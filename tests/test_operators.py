@@ -124,6 +124,32 @@ def test_greedy_diversity(spark):
     assert found == {1: ("1", 50.0), 2: ("2", 37.0), 3: ("3", 34.0)}  # 4 has a link that is taken
 
 
+def greedy_uncapped(rows, count):
+    left, merchants, groups, links, out = list(rows), {}, {}, set(), []
+    while left and len(out) < count:
+        value = lambda r: r[1] - 12 * merchants.get(r[2].lower(), 0) - 6 * groups.get(r[3], 0)
+        best = min(left, key=lambda r: (-value(r), r[0]))
+        left.remove(best)
+        if best[4] not in links:
+            out.append((len(out) + 1, best[0], value(best)))
+            links.add(best[4])
+            merchants[best[2].lower()] = merchants.get(best[2].lower(), 0) + 1
+            groups[best[3]] = groups.get(best[3], 0) + 1
+    return out
+
+
+def test_greedy_diversity_looks_at_all_rows(spark):
+    """A merchant, or copies of one link, that hold the best thousand rows do not hide the rest."""
+    hot = [(f"h{i:04}", 90.0 - i % 7, "Hot" if i % 2 else "hot", f"g{i % 3}", f"l{i}") for i in range(1_500)]
+    copies = [(f"c{i:04}", 95.0, "copy", "g0", "same") for i in range(1_500)]
+    rest = [(f"r{i:03}", 70.0 - i % 11, f"m{i % 9}", f"g{i % 5}", f"k{i % 50}") for i in range(120)]
+    for rows, count in ((copies + rest, 20), (hot + copies + rest, 20), (hot + rest, 5)):
+        df = spark.createDataFrame(rows, "id string, score double, merchant string, grp string, link string").repartition(3)
+        found = sorted((r["place"], r["id"], r["adjusted"]) for r in ranking.greedy_diverse(df, count, 1_000).collect())
+        assert found == greedy_uncapped(rows, count)
+        assert sorted((r["place"], r["id"], r["adjusted"]) for r in ranking.greedy_diverse(df, count, 7).collect()) == found
+
+
 def test_votes_drop_ties(spark):
     rows = [("s", 1, 0, 50.0, 0.0), ("s", 1, 1, 55.0, 0.0), ("s", 2, 0, 50.1, 0.0), ("s", 3, 0, 58.0, 0.0), ("s", 3, 1, 40.0, 0.0)]
     df = spark.createDataFrame(rows, "source string, entry int, option int, lat double, lng double")

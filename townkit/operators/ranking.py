@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townkit.operators.stages import written
+
 
 def dense_order(rows: DataFrame, group: list[str], order: list[Column], name: str = "place") -> DataFrame:
     """1..n in a total order within each group."""
@@ -50,16 +52,20 @@ def two_level_round_robin(rows: DataFrame, source: str, item: str, order: list[C
 def greedy_diverse(rows: DataFrame, count: int, candidates: int = 1_000) -> DataFrame:
     """place, id, adjusted: the best `count` rows where each taken row costs later ones of its merchant 12 and of its group 6 points.
 
-    rows: id, score, merchant, grp, link. Each choice depends on all before it, so the best `candidates` rows (a bound of the operator)
-    go to one task. A row whose link is taken already is used up without a place.
+    rows: id, score, merchant, grp, link. A row whose link is taken already is used up without a place. Within a merchant and group the
+    order is that of the scores, so of these the best row of each link and the best `count` rows are enough. The best `candidates` of
+    them are tried in one task; their choice stands if its last row beats every score left out. Else each place is a maximum over all.
     """
-    best = rows.select("id", "score", "merchant", "grp", "link").orderBy(F.desc("score"), "id").limit(candidates).withColumn("_all", F.lit(1))
+    own = rows.select("id", F.col("score").cast("double").alias("score"), F.lower(F.coalesce(F.col("merchant").cast("string"), F.lit(""))).alias("merchant"), F.coalesce(F.col("grp").cast("string"), F.lit("")).alias("grp"), "link")
+    links = own.groupBy("merchant", "grp", "link").agg(F.min(F.struct((-F.col("score")).alias("minus"), "id")).alias("best"))
+    links = links.select("best.id", (-F.col("best.minus")).alias("score"), "merchant", "grp", "link")
+    kept = written(first_in(links, ["merchant", "grp"], [F.desc("score"), F.col("id")], count), "diverse")
+    best = kept.orderBy(F.desc("score"), "id").limit(candidates + 1).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("_all", F.lit(1))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.to_dict("records")
+        pdf = pdf.sort_values("_n")
+        left, rest = pdf[:candidates].to_dict("records"), pdf["score"][candidates:].tolist()
         merchants, groups, links, out = {}, {}, set(), []
-        for r in left:
-            r["merchant"] = str(r["merchant"] or "").lower()
         while left and len(out) < count:
             value = lambda r: r["score"] - 12 * merchants.get(r["merchant"], 0) - 6 * groups.get(r["grp"], 0)
             best_row = min(left, key=lambda r: (-value(r), r["id"]))
@@ -70,9 +76,37 @@ def greedy_diverse(rows: DataFrame, count: int, candidates: int = 1_000) -> Data
             links.add(best_row["link"])
             merchants[best_row["merchant"]] = merchants.get(best_row["merchant"], 0) + 1
             groups[best_row["grp"]] = groups.get(best_row["grp"], 0) + 1
+        if rest and (len(out) < count or out[-1][2] <= rest[0]):
+            out = []  # a row that was left out may come before
         return pd.DataFrame(out, columns=["place", "id", "adjusted"])
 
-    return best.groupBy("_all").applyInPandas(choose, "place int, id string, adjusted double")
+    chosen = written(best.groupBy("_all").applyInPandas(choose, f"place int, id {dict(rows.dtypes)['id']}, adjusted double"), "chosen")
+    return greedy_rounds(kept, count) if chosen.isEmpty() else chosen
+
+
+def greedy_rounds(kept: DataFrame, count: int) -> DataFrame:
+    """The same choice, place by place: each is the best row of all, of which only that row comes to the driver."""
+    merchants, groups, links, out = {}, {}, [], []
+
+    def costs(column: str, taken: dict, points: int) -> Column:
+        pairs = [F.lit(x) for pair in taken.items() for x in pair]
+        return points * F.coalesce(F.create_map(*pairs)[F.col(column)], F.lit(0)) if pairs else F.lit(0)
+
+    while len(out) < count:
+        value = F.col("score") - costs("merchant", merchants, 12) - costs("grp", groups, 6)
+        free = F.lit(True)
+        if any(x is None for x in links):
+            free = F.col("link").isNotNull()
+        if some := [x for x in links if x is not None]:
+            free = free & (F.col("link").isNull() | ~F.col("link").isin(some))
+        top = kept.where(free).withColumn("adjusted", value).orderBy(F.desc("adjusted"), "id").limit(1).collect()
+        if not top:
+            break
+        out.append((len(out) + 1, top[0]["id"], top[0]["adjusted"]))
+        links.append(top[0]["link"])
+        merchants[top[0]["merchant"]] = merchants.get(top[0]["merchant"], 0) + 1
+        groups[top[0]["grp"]] = groups.get(top[0]["grp"], 0) + 1
+    return kept.sparkSession.createDataFrame(out, f"place int, id {dict(kept.dtypes)['id']}, adjusted double")
 
 
 def allocate(sizes: dict, total: int, least: int) -> dict:

@@ -44,9 +44,9 @@ def best_offer_per_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hundred offers, each taken merchant and group making later ones of it worth less."""
+    """The best hundred of the items' best offers, each taken merchant and group making later ones of it worth less."""
     rows = eligibility.eligible_offers(offers(spark, sf_dir), TODAY, 30).withColumn("score", eligibility.offer_score(TODAY).cast("double"))
-    return ranking.greedy_diverse(rows, 100)
+    return ranking.greedy_diverse(identity.best_per_key(rows.select("item", "id", "score", "merchant", "grp", "link"), "item", "score"), 100)
 
 
 @query("SELECT p_type AS grp, count(*)::BIGINT AS n, round(avg(l_extendedprice), 4) AS mean FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10 GROUP BY 1")
