@@ -7,6 +7,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,94 +21,138 @@ WORD = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """examples: the most labelled rows of each label that are used (the documented bound of the fit); terms: the most terms kept;
-    neighbours: votes for a score; block: examples in a block of the index; pull: weight of the prior against the votes."""
+    """examples, postings: the most labelled rows of each label that are used, and the most distinct words that these hold together (the
+    documented bounds of the fit; rows are taken in the order of a hash); neighbours: votes for a score; block: examples in a block
+    of the index; pull: weight of the prior against the votes; folds: one of so many is held out."""
 
     examples: int = 2_000
-    terms: int = 2_048
+    postings: int = 600_000
     neighbours: int = 25
-    block: int = 64
+    block: int = 512
     pull: float = 0.25
     folds: int = 5
-    least_docs: int = 4
-    least_z: float = 3.0
 
 
 def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The whole numbers of all [start, stop), one after the other."""
+    sizes = stops - starts
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+def relevance(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """The squared deviations by which a term's odds differ between toxic and clean examples, given how many of each hold it.
+
+    Log odds are smoothed by one document that is dealt to the labels by their sizes, so a term of no example has relevance 0.
+    """
+    n = max(1, n_toxic + n_clean)
+    share1, share0 = n_toxic / n, n_clean / n
+    a, b = toxic + share1, clean + share0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log(a / (n_toxic - toxic + share1)) - np.log(b / (n_clean - clean + share0))
+        z2 = odds * odds / (1 / a + 1 / b)
+    return np.where(np.isfinite(z2), z2, 0.0)
+
+
 @dataclass
 class Index:
-    """Examples as unit vectors over the terms: each block's postings (term, place in the block, weight), and the greatest weight of
-    each term in each block. Postings are sparse, as every Python worker holds an index of its own."""
+    """The examples as unit vectors over all their terms, in blocks.
+
+    For each term there is an entry for each block that holds it: its greatest weight in the block, and its postings there (place in
+    the block, weight). A term that many examples of a block hold has a row of weights there instead. Every Python worker holds an
+    index of its own, so nothing in it is larger than the postings.
+    """
 
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray  # of the terms: idf times relevance
     example_ids: np.ndarray
     toxic: np.ndarray
     class_weight: np.ndarray
-    block: int
     settings: Settings
-    counts: list[dict[int, int]] = field(default_factory=list)  # term counts of the examples
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # by block
-    most: np.ndarray = field(default=None)  # terms x blocks
+    counts: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # (terms, counts) of the examples
+    entry_of: np.ndarray = field(default=None)  # of each term: where its entries begin
+    entry_block: np.ndarray = field(default=None)
+    entry_most: np.ndarray = field(default=None)
+    entry_row: np.ndarray = field(default=None)  # of each entry: its row in the block, -1 for postings
+    posting_of: np.ndarray = field(default=None)  # of each entry: where its postings begin
+    member: np.ndarray = field(default=None)
+    posted: np.ndarray = field(default=None)
+    rows: list[np.ndarray] = field(default_factory=list)  # of each block: rows x places
     steps: tuple[np.ndarray, np.ndarray] = field(default=None)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, weights) of length 1 from term counts, rising by term."""
-        at = np.array(sorted(counts), np.int64)
-        if not len(at):
-            return at, np.zeros(0)
-        w = (1 + np.log(np.array([counts[t] for t in at.tolist()], float))) * self.idf[at]
-        return at, w / math.sqrt(float(w @ w))
+    @property
+    def blocks(self) -> int:
+        return max(1, math.ceil(len(self.example_ids) / self.settings.block))
 
-    def fill(self, example_counts: list[dict[int, int]]) -> None:
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, weights) of length 1 from term counts: (1 + ln count) * idf * relevance. Words of no example have relevance 0."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        norm = math.sqrt(float(w @ w))
+        return terms, w / norm if norm else w
+
+    def fill(self, counts: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Examples that share terms should share blocks: they are ordered by label and strongest term before they are cut into blocks."""
-        vectors = [self.vector(c) for c in example_counts]
+        vectors = [self.vector(*c) for c in counts]
         strongest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
         order = sorted(range(len(vectors)), key=lambda i: (self.toxic[i], strongest[i], self.example_ids[i]))
-        self.counts = [example_counts[i] for i in order]
+        self.counts = [counts[i] for i in order]
         self.example_ids, self.toxic, self.class_weight = self.example_ids[order], self.toxic[order], self.class_weight[order]
-        blocks = max(1, math.ceil(len(order) / self.block))
-        self.most, self.postings = np.zeros((len(self.terms), blocks)), []
-        for b in range(blocks):
-            own = [vectors[i] for i in order[b * self.block : (b + 1) * self.block]]
-            for t, w in own:
-                self.most[t, b] = np.maximum(self.most[t, b], w)
-            none = np.zeros(0, np.int64)
-            members = np.repeat(np.arange(len(own)), [len(t) for t, _ in own]).astype(np.int64)
-            self.postings.append((np.concatenate([none, *(t for t, _ in own)]).astype(np.int32), members.astype(np.int32), np.concatenate([none, *(w for _, w in own)])))
-
-    @property
-    def weights(self) -> np.ndarray:
-        """Terms x places, whole: to look at, not to search in."""
-        out = np.zeros((len(self.terms), len(self.postings) * self.block))
-        for b, (terms, members, weights) in enumerate(self.postings):
-            out[terms, b * self.block + members] = weights
-        return out
-
-    def nearest(self, counts: dict[int, int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        term = np.concatenate([none, *(vectors[i][0] for i in order)])
+        weight = np.concatenate([none.astype(float), *(vectors[i][1] for i in order)])
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by_term = np.lexsort((place, term))
+        term, place, posted = term[by_term], place[by_term], weight[by_term]
+        size = self.settings.block
+        block, member = place // size, place % size
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])[: len(term)])
+        n = np.diff(np.append(new, len(term)))
+        self.entry_of = np.searchsorted(term[new], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.entry_block, self.entry_most = block[new].astype(np.int16), np.maximum.reduceat(posted, new) if len(new) else np.zeros(0)
+        self.entry_row, self.rows = np.full(len(new), -1, np.int32), []
+        for b in range(self.blocks):
+            common = np.flatnonzero((self.entry_block == b) & (n * 12 > size))
+            self.entry_row[common] = np.arange(len(common))
+            at = spans(new[common], new[common] + n[common])
+            self.rows.append(np.zeros((len(common), size)))
+            self.rows[b][np.repeat(np.arange(len(common)), n[common]), member[at]] = posted[at]
+        sparse = np.repeat(self.entry_row < 0, n)
+        self.member, self.posted = member[sparse].astype(np.int32), posted[sparse]
+        self.posting_of = np.concatenate([[0], np.cumsum(np.where(self.entry_row < 0, n, 0))]).astype(np.int32)
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the nearest examples with a cosine above 0, best first, ties by place; exact.
 
         Blocks are looked at by falling upper bound, and no further once the bound is below the last neighbour's cosine.
         """
-        t, w = self.vector(counts)
-        if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds, query = w @ self.most[t], np.zeros(len(self.terms))
-        query[t] = w
+        t, w = self.vector(terms, counts)
+        size, most = self.settings.block, self.settings.neighbours
         places, cosines, last = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
+        first, stop = self.entry_of[t], self.entry_of[t + 1]
+        entries, weight = spans(first, stop), np.repeat(w, stop - first)
+        block = self.entry_block[entries]
+        bounds = np.bincount(block, weight * self.entry_most[entries], self.blocks)
+        by_block = np.argsort(block, kind="stable")
+        entries, weight = entries[by_block], weight[by_block]
+        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
+        for b in np.argsort(-bounds, kind="stable").tolist():
             if bounds[b] <= 0 or bounds[b] < last - 1e-12:
                 break
-            terms, members, weights = self.postings[b]
-            here = np.bincount(members, query[terms] * weights, self.block)
-            found = np.flatnonzero(here > 0)
-            found = found[found + b * self.block != skip]
-            places, cosines = np.concatenate([places, found + b * self.block]), np.concatenate([cosines, here[found]])
-            if len(places) >= self.settings.neighbours:
-                best = np.lexsort((places, -np.round(cosines, 12)))[: self.settings.neighbours]
+            own, factor = entries[edges[b] : edges[b + 1]], weight[edges[b] : edges[b + 1]]
+            row = self.entry_row[own]
+            common, begin, end = row >= 0, self.posting_of[own], self.posting_of[own + 1]
+            at = spans(begin, end)
+            cosine = factor[common] @ self.rows[b][row[common]] + np.bincount(self.member[at], np.repeat(factor, end - begin) * self.posted[at], size)
+            found = np.flatnonzero((cosine > 0) & (cosine >= last - 1e-12))
+            place = found + b * size
+            keep = place != skip
+            places, cosines = np.concatenate([places, place[keep]]), np.concatenate([cosines, cosine[found[keep]]])
+            if len(places) >= most:
+                best = np.lexsort((places, -np.round(cosines, 12)))[:most]
                 places, cosines = places[best], cosines[best]
                 last = float(cosines[-1])
         best = np.lexsort((places, -np.round(cosines, 12)))
@@ -126,7 +171,7 @@ class Index:
     def calibrate(self) -> None:
         """Isotonic steps from the votes of each example by the others."""
         places = np.arange(len(self.example_ids))
-        votes = np.array([self.vote(*self.nearest(self.counts[i], i), self.prior) for i in places]) if len(places) else np.zeros(0)
+        votes = np.array([self.vote(*self.nearest(*self.counts[i], i), self.prior) for i in places]) if len(places) else np.zeros(0)
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # vote, weight, toxic weight
         for i in order:
@@ -137,8 +182,8 @@ class Index:
                 pools[-1][2] += toxic
         self.steps = (np.array([p[0] for p in pools]), np.array([(p[2] + self.prior) / (p[1] + 1) for p in pools]))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.nearest(counts)
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        places, cosines = self.nearest(terms, counts)
         vote = self.vote(places, cosines, self.prior)
         starts, rates = self.steps
         rate = rates[max(0, int(np.searchsorted(starts, vote, "right")) - 1)] if len(starts) else self.prior
@@ -147,91 +192,102 @@ class Index:
 
 
 def training_rows(labels: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, toxic, weight: at most settings.examples rows of each label, the least by a hash, outside the held-out fold."""
+    """doc_id, toxic, total: at most settings.examples rows of each label, the least by a hash, outside the held-out fold; total counts all of the label."""
     fold = F.crc32(F.col("doc_id").cast("string")) % settings.folds
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold != 0)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    sizes = {row["toxic"]: row["n"] for row in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {row["toxic"]: row["n"] for row in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).where("toxic IN (0, 1)").collect()}
     picked = None
     for toxic in (0, 1):
-        n = sizes.get(toxic, 0)
         rows = usable.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(settings.examples)
-        rows = rows.withColumn("weight", F.lit(n / max(1, min(n, settings.examples))))
+        rows = rows.withColumn("total", F.lit(sizes.get(toxic, 0)).cast("long"))
         picked = rows if picked is None else picked.union(rows)
     return picked
 
 
+EXAMPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("total", pa.int64()), ("size", pa.int64()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
+FREQUENCIES = pa.schema([("term", pa.int32()), ("n", pa.int64())])
+SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
+#: Term counts of documents whose score a worker remembers.
+REMEMBERED = 20_000
+
+
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Index:
-    """The index from labelled rows of docs. Everything that comes to the driver is bounded by settings.examples and settings.terms;
-    document frequencies of the kept terms count all documents."""
+    """The index from labelled rows of docs: all terms of the chosen examples, with document frequencies over all documents.
+
+    Of a doc_id with several texts the greatest text is the example. What comes to the driver is bounded by settings.examples and
+    settings.postings: of each label the examples by their hash, as long as all distinct words together are within the bound.
+    """
     texts = id_and_text(docs)
     rows = training_rows(labels, settings)
-    examples = texts.join(F.broadcast(rows), "doc_id")  # at most 2 * settings.examples ids
+    examples = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "toxic", "total").agg(F.max("text").alias("text"))  # at most 2 * settings.examples ids
 
     def counted(batches):
         for batch in batches:
-            for doc_id, text, toxic, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc_id, toxic, total, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 counts = Counter(words(text))
-                n = len(counts)
-                yield batch_of(COUNTS, [[doc_id] * n, [toxic] * n, [weight] * n, list(counts), list(counts.values())])
-                yield batch_of(COUNTS, [[doc_id], [toxic], [weight], [""], [0]])  # examples without words count too
-
-    counts = written(examples.mapInArrow(counted, "doc_id long, toxic int, weight double, term string, n long").groupBy("doc_id", "toxic", "weight", "term").agg(F.max("n").alias("n")), "example-terms")
-    sizes = {row["toxic"]: row["n"] for row in counts.where("term = ''").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
-    # terms that one label uses more: difference of the shares of documents in standard deviations
-    share = counts.where("term <> ''").groupBy("term").agg(F.sum(F.expr("1 - toxic")).alias("a"), F.sum("toxic").alias("b"))
-    z = F.expr(f"abs(b / {max(1, n1)}D - a / {max(1, n0)}D) / sqrt((a + b + 1D) / {n0 + n1 + 2}D * (1 - (a + b + 1D) / {n0 + n1 + 2}D) * (1 / {max(1, n0)}D + 1 / {max(1, n1)}D))")
-    kept = share.where(F.col("a") + F.col("b") >= settings.least_docs).withColumn("z", z).where(F.col("z") >= settings.least_z)
-    terms = [row["term"] for row in kept.orderBy(F.desc("z"), "term").limit(settings.terms).select("term").collect()]
-    places = {t: i for i, t in enumerate(terms)}
+                yield batch_of(EXAMPLES, [[doc_id], [toxic], [total], [len(counts)], [list(counts)], [list(counts.values())]])
+
+    counts = written(examples.mapInArrow(counted, "doc_id long, toxic int, total long, size long, words array<string>, counts array<long>"), "examples")
+    sizes = counts.select("doc_id", "toxic", "total", "size").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").collect()  # at most 2 * settings.examples
+    chosen, about = [], {}
+    for toxic in (0, 1):
+        held, own = 0, []
+        for row in (r for r in sizes if r["toxic"] == toxic):
+            held += row["size"]
+            if held > settings.postings and own:
+                break
+            own.append(row)
+        chosen += [row["doc_id"] for row in own if row["size"] <= settings.postings]
+        about |= {row["doc_id"]: (toxic, row["total"] / len(own)) for row in own}
+    wanted = counts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    picked = counts.join(F.broadcast(wanted), "doc_id").select("doc_id", "words", "counts").collect()  # at most 2 * settings.postings words
+    places: dict[str, int] = {}
+    by_doc: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for doc_id, held, n in sorted(picked):
+        t = np.array([places.setdefault(w, len(places)) for w in held], np.int64)
+        rising = np.argsort(t)
+        by_doc[doc_id] = (t[rising], np.array(n, float)[rising])
+    ids = sorted(by_doc)
+    toxic = np.array([about[i][0] for i in ids], np.int64)
 
     def frequencies(batches):
         n, seen = 0, Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                seen.update({places[w] for w in words(text) if w in places})
-        yield batch_of(FREQUENCIES, [[-1, *seen], [n, *seen.values()]])
+                seen.update(shared.value.keys() & set(words(text)))
+        yield batch_of(FREQUENCIES, [[-1, *map(shared.value.__getitem__, seen)], [n, *seen.values()]])
 
+    shared = docs.sparkSession.sparkContext.broadcast(places)  # bounded by settings.postings
     summed = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = dict(summed.collect())  # at most settings.terms + 1 rows
+    df = dict(summed.collect())  # a row a term
+    shared.unpersist()
     n_docs = df.get(-1) or 0
-    idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
-    chosen = counts.sparkSession.createDataFrame([(t,) for t in ["", *terms]], "term string")
-    rows = counts.join(F.broadcast(chosen), "term").collect()
-    by_doc: dict[int, dict[int, int]] = {}
-    about: dict[int, tuple[int, float]] = {}
-    for row in rows:
-        about[row["doc_id"]] = (row["toxic"], row["weight"])
-        own = by_doc.setdefault(row["doc_id"], {})
-        if row["term"]:
-            own[places[row["term"]]] = row["n"]
-    ids = sorted(by_doc)
-    index = Index(places, idf, np.array(ids, np.int64), np.array([about[i][0] for i in ids], np.int64), np.array([about[i][1] for i in ids], float), settings.block, settings)
+    idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(places))], float))) + 1
+    held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(by_doc[i][0] for i, y in zip(ids, toxic, strict=True) if y == label)]), minlength=len(places)).astype(float) for label in (1, 0)]
+    weights = idf * relevance(*held, int(toxic.sum()), int((1 - toxic).sum()))
+    index = Index(places, weights, np.array(ids, np.int64), toxic, np.array([about[i][1] for i in ids], float), settings)
     index.fill([by_doc[i] for i in ids])
     index.calibrate()
+    index.counts = []  # only calibration needs them
     return index
 
 
-COUNTS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("weight", pa.float64()), ("term", pa.string()), ("n", pa.int64())])
-FREQUENCIES = pa.schema([("term", pa.int32()), ("n", pa.int64())])
-SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
-#: Term counts of documents whose score a worker remembers.
-REMEMBERED = 20_000
-
-
 class Scorer:
     def __init__(self, index: Index):
         self.index, self.known = index, {}
 
     def __call__(self, text: str) -> tuple[float, list[int], list[float]]:
         terms = self.index.terms
-        counts = Counter(terms[w] for w in words(text) if w in terms)
-        key = hashlib.blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
+        counted = Counter(words(text))
+        pairs = np.array([list(map(terms.get, counted, repeat(-1))), list(counted.values())], np.int64)
+        pairs = pairs[:, pairs[0] >= 0]
+        pairs = pairs[:, np.argsort(pairs[0])]
+        key = hashlib.blake2b(pairs.tobytes(), digest_size=16).digest()
         if key not in self.known:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
-            score, places, cosines = self.index.score(counts)
+            score, places, cosines = self.index.score(pairs[0], pairs[1].astype(float))
             self.known[key] = (score, self.index.example_ids[places[:3]].tolist(), np.round(cosines[:3], 6).tolist())
         return self.known[key]
 
@@ -239,11 +295,13 @@ class Scorer:
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the three nearest examples, for every whole text.
 
-    Null and empty texts, and those without a kept term, get the score of no votes: the prior, calibrated. A null doc_id is scored and
-    not held out. Repeated rows are all returned; further columns are left out. Without labels every score is 0.
+    The cosine is exact over the vectors of whole texts, (1 + ln count) * idf * relevance of every word; relevance is the weight of
+    the labels' evidence on a word (see there), and 0 for words of no example. Null and empty texts, and those without a word of any
+    example, get the score of no votes: the prior, calibrated. A null doc_id is scored and not held out. Repeated rows are all
+    returned; further columns are left out. Without labels every score is 0. Very long texts are counted whole.
     Only texts enter a score; labels are learnt from the rows outside the held-out fold.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))  # bounded by examples and terms
+    index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))  # bounded by examples and postings
 
     def score(batches):
         scorer = Scorer(index.value)
@@ -257,7 +315,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """docs without the rows that are predicted toxic; all columns stay."""
+    """docs without the rows that are predicted toxic; all columns and all other rows stay, repeated ones too.
+
+    Null and empty texts are scored as `toxicity` says; an empty table stays empty.
+    """
     index = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, settings))
     at = docs.columns.index("text")
 
