@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from townkit.llm import tokens
 
@@ -29,21 +30,42 @@ def test_ids_are_the_tokenizers(strings, name):
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in expected]
 
 
+def encoded(text):
+    return len(tokens.tokenizer(tokens.vocabulary_path(BYTES)).encode(text, add_special_tokens=False).ids)
+
+
+def mixed_texts(n, seed, length=50):
+    r = random.Random(seed)
+    alphabets = ["abcdefgh éß1 '\n.st", "ab'sStTrRelLvVmMdD1 2\n\t\x0b\x1c\x85\xa0\u2003\u3000  .,!-_ñÉß€–½² ªİ中文 ́😀", "Москва музей и парк 12 ", "北京博物馆，公园 と かな "]
+    pieces = ["<|endoftext|>", "<|endof", "<|", " <|endoftext|>", "'re", "'ll", "   ", "they've"]
+    return ["".join(r.choice(pieces) if r.random() < 0.05 else r.choice(alphabets[k % 4]) for _ in range(r.randint(0, length))) for k in range(n)]
+
+
 def test_every_prefix():
-    path = tokens.vocabulary_path(BYTES)
-    tokenizer = tokens.tokenizer(path)
-    r = random.Random(6)
-    for text in ["The museum's unbelievable 12345 dinosaurs!!  Don't they'll \n\n x", *("".join(r.choice("abcdefgh éß1 '\n.st") for _ in range(60)) for _ in range(25))]:
-        prefixes = tokens.prefix_counts(path).text(text)
-        assert [prefixes.at(n) for n in range(len(text) + 1)] == [len(tokenizer.encode(text[:n], add_special_tokens=False).ids) for n in range(len(text) + 1)]
-        for budget in range(0, 30, 3):
-            n = prefixes.longest_within(budget)
-            assert prefixes.at(n) <= budget
-
-
-def test_other_texts_have_no_prefixes():
-    with pytest.raises(ValueError):
-        tokens.prefix_counts(tokens.vocabulary_path(BYTES)).text("中文")
+    """Of any script, inside chunks, contractions, spaces and special strings."""
+    counter = tokens.prefix_counts(tokens.vocabulary_path(BYTES))
+    fixed = ["The museum's unbelievable 12345 dinosaurs!!  Don't they'll \n\n x", "", "a<|endoftext|><|endoftext|> b", "x !<|endoftext|>'re", "  <|endoftext|>  ", "中文<|endoftext|>É"]
+    for text in [*fixed, *mixed_texts(160, 6)]:
+        assert counter.prefixes(text).tolist() == [encoded(text[:n]) for n in range(len(text) + 1)], text
+
+
+def test_cuts_and_budgets_in_columns(spark):
+    texts = [*mixed_texts(60, 8), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    table = tokens.prefix_table(docs)
+    budget = F.col("doc_id").cast("int") % 25
+    rows = table.select("doc_id", "text", tokens.tokens_at(budget).alias("at"), tokens.longest_within(budget).alias("longest"), tokens.truncated(budget).alias("cut")).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        text, b = texts[row["doc_id"]] or "", row["doc_id"] % 25
+        longest = max(n for n in range(len(text) + 1) if encoded(text[:n]) <= b)
+        assert row["text"] == text and row["at"] == encoded(text[:b]) and row["longest"] == longest and row["cut"] == text[:longest]
+
+
+def test_prefixes_of_awkward_rows(awkward, no_documents):
+    rows = tokens.prefix_table(awkward).selectExpr("doc_id", "text", "prefixes[size(prefixes) - 1] AS n", "size(prefixes) AS size").collect()
+    assert sorted(repr((r["doc_id"], r["size"], r["n"])) for r in rows) == sorted(repr((r["doc_id"], len(r["text"] or "") + 1, encoded(r["text"] or ""))) for r in awkward.collect())
+    assert tokens.prefix_table(no_documents).count() == 0
 
 
 def test_awkward_rows(awkward, no_documents):

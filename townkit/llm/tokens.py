@@ -2,7 +2,7 @@
 
 A byte-pair tokenizer first cuts a text into chunks and never merges across them. Both halves here rest on that: `PrefixCounts`
 runs a prefix dynamic programme over the bytes of each distinct chunk, and `ChunkIds` asks the tokenizer for each distinct chunk once.
-Texts with characters outside a plain range, or with special strings, go through the tokenizer whole.
+Special strings are set apart first. Where all characters are of a plain range, a pattern cuts the chunks; elsewhere the tokenizer's own cutter.
 """
 
 from __future__ import annotations
@@ -10,13 +10,13 @@ from __future__ import annotations
 import json
 import re
 import struct
-from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate, chain
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from townkit.llm.shared import batch_of, id_and_text, text_groups
 
@@ -28,6 +28,8 @@ OTHER_CHARACTER = re.compile("[^\t\n\r -~¡-įı-ɏ‐-‧‰-⁞€]")
 BYTE_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
 WORD_CHUNKS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+#: The characters that Unicode calls white space.
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: Chunks that a Python worker remembers; beyond that it starts anew.
 REMEMBERED = 300_000
 
@@ -64,7 +66,12 @@ class PrefixCounts:
     """
 
     def __init__(self, path: str):
-        model = json.loads(open(path, encoding="utf-8").read())["model"]
+        import regex
+
+        whole = json.loads(open(path, encoding="utf-8").read())
+        model, added = whole["model"], sorted((t["content"] for t in whole["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.cutter = tokenizer(path).pre_tokenizer
         alphabet = byte_alphabet()
         spelled = {token: bytes(map(alphabet.__getitem__, token)) for token in model["vocab"] if all(c in alphabet for c in token)}
         self.ids = {spelled[token]: i for token, i in model["vocab"].items() if token in spelled}
@@ -135,39 +142,57 @@ class PrefixCounts:
             counts[chunk] = self.of_chunk(chunk)
         return counts
 
-    def text(self, text: str) -> TextPrefixes:
-        return TextPrefixes(self, text)
-
-
-class TextPrefixes:
-    """Token counts of the prefixes of one plain text; answers cuts and budgets from stored counts."""
-
-    def __init__(self, counts: PrefixCounts, text: str):
-        if not is_plain(text):
-            raise ValueError("prefixes are kept for texts of plain characters without special strings")
-        self.counts, self.text = counts, text
-        self.chunks = BYTE_CHUNKS.findall(text)
-        self.ends = [0, *accumulate(map(len, self.chunks))]
-        self.totals = [0, *accumulate(map(counts.of_chunk, self.chunks))]
-
-    def at(self, n_chars: int) -> int:
-        """Tokens of text[:n_chars]."""
-        word_end = n_chars
-        while word_end and self.text[word_end - 1].isspace():
-            word_end -= 1
-        if word_end < n_chars:  # spaces at the end are one chunk, whatever follows them in the text
-            return self.totals[bisect_right(self.ends, word_end) - 1] + self.counts.of_chunk(self.text[word_end:n_chars])
-        k = bisect_right(self.ends, n_chars) - 1
-        if k == len(self.chunks) or self.ends[k] == n_chars:
-            return self.totals[k]
-        part = self.chunks[k][: n_chars - self.ends[k]]
-        if self.chunks[k] in CONTRACTIONS:  # a piece of a contraction is cut otherwise
-            return self.totals[k] + sum(map(self.counts.of_chunk, BYTE_CHUNKS.findall(part)))
-        return self.totals[k] + self.counts.of_bytes(self.chunks[k].encode())[len(part.encode())]
-
-    def longest_within(self, budget: int) -> int:
-        """Characters of the longest prefix, cut between chunks, of at most `budget` tokens."""
-        return self.ends[bisect_right(self.totals, budget) - 1]
+    def segments(self, text: str) -> list[tuple[int, int, bool]]:
+        """(start, end, whether it is a special string) of the parts of a text that are cut into chunks by themselves."""
+        if self.special is None or "<" not in text:
+            return [(0, len(text), False)]
+        out, at = [], 0
+        for m in self.special.finditer(text):
+            out += [(at, m.start(), False), (m.start(), m.end(), True)]
+            at = m.end()
+        return [*out, (at, len(text), False)]
+
+    def chunks(self, segment: str) -> list[str]:
+        if not OTHER_CHARACTER.search(segment):
+            return BYTE_CHUNKS.findall(segment)
+        return [segment[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(segment)]
+
+    def cut(self, text: str) -> tuple[list[str], int]:
+        """(chunks of a whole text, special strings in it)."""
+        parts = self.segments(text)
+        return [c for a, b, special in parts if not special for c in self.chunks(text[a:b])], sum(special for *_, special in parts)
+
+    def prefixes(self, text: str) -> np.ndarray:
+        """Exact token counts of text[:n] for n = 0 ... len(text), as if each prefix were encoded by itself."""
+        out = np.zeros(len(text) + 1, np.int32)
+        total = 0  # tokens of all before the segment
+        for start, end, special in self.segments(text):
+            if special:
+                # a prefix that ends inside the special string is plain text from the last chunk before it on
+                for n in range(start + 1, end):
+                    out[n] = total_before + sum(map(self.of_chunk, self.chunks(text[tail:n])))
+                total = out[end] = out[start] + 1
+                continue
+            at, tail, total_before = start, start, total
+            segment = text[start:end]
+            for chunk in self.chunks(segment):
+                tail, total_before = at, total
+                counts, place = self.of_bytes(chunk.encode("utf-8", "replace")), 0
+                for k, c in enumerate(chunk, at + 1):
+                    place += 1 if c < "\x80" else len(c.encode("utf-8", "replace"))
+                    out[k] = total + counts[place]
+                if len(chunk) == 3 and chunk in CONTRACTIONS:  # "'r" of "'re" is no contraction: two chunks
+                    out[at + 2] = total + self.of_chunk(chunk[0]) + self.of_chunk(chunk[1])
+                at += len(chunk)
+                total = total + counts[-1]
+            # spaces at the end of a prefix are one chunk, whatever follows them
+            for m in SPACES.finditer(segment):
+                counts, place, a = self.of_bytes(m[0].encode()), 0, start + m.start()
+                for k, c in enumerate(m[0], a + 1):
+                    place += len(c.encode())
+                    out[k] = out[a] + counts[place]
+            out[end] = total
+        return out
 
 
 def is_plain(text: str) -> bool:
@@ -183,10 +208,10 @@ def count_tokens(texts: list[str], path: str) -> list[int]:
     """Tokens of each text as the tokenizer gives them."""
     counter, out = prefix_counts(path), [0] * len(texts)
     for start, end in text_groups(texts):
-        cut = [BYTE_CHUNKS.findall(t) if is_plain(t) else None for t in texts[start:end]]
-        counts = counter.learn(set(chain.from_iterable(c for c in cut if c)))
-        for i, chunks in enumerate(cut, start):
-            out[i] = sum(map(counts.__getitem__, chunks)) if chunks is not None else len(tokenizer(path).encode(texts[i], add_special_tokens=False).ids)
+        cut = list(map(counter.cut, texts[start:end]))
+        counts = counter.learn(set(chain.from_iterable(chunks for chunks, _ in cut)))
+        for i, (chunks, special) in enumerate(cut, start):
+            out[i] = sum(map(counts.__getitem__, chunks)) + special
     return out
 
 
@@ -197,7 +222,8 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     A null text counts as empty: 0 bytes, 0 tokens. A null doc_id stays null, repeated rows are all returned, further columns are
-    left out, and an empty table gives an empty result. One narrow pass: no shuffle. The vocabulary is a byte-level .json file name.
+    left out, and an empty table gives an empty result. Very long texts are counted whole. One narrow pass: no shuffle. The counts are
+    the last ones of the prefix programme; `prefix_table` keeps all of them. The vocabulary is a byte-level .json file name.
     """
 
     def count(batches):
@@ -210,6 +236,42 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     return id_and_text(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
+PREFIXES = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("prefixes", pa.list_(pa.int32()))])
+
+
+def prefix_table(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
+    """doc_id, text, and prefixes: element n is the exact token count of the first n characters (element 0 of none).
+
+    Once it is written, `tokens_at`, `longest_within` and `truncated` answer questions of cuts and budgets in columns, without encoding
+    a text again. Nulls, repeats, further columns and empty tables are as in `token_counts`. One narrow pass; four bytes a character,
+    so a batch is cut where it holds many of them.
+    """
+
+    def count(batches):
+        counter = prefix_counts(vocabulary_path(vocabulary))
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in text_groups(texts):
+                yield batch_of(PREFIXES, [batch.column(0).slice(a, b - a), texts[a:b], [counter.prefixes(t) for t in texts[a:b]]])
+
+    return id_and_text(docs).mapInArrow(count, "doc_id long, text string, prefixes array<int>")
+
+
+def tokens_at(n_chars: Column, prefixes: str = "prefixes") -> Column:
+    """Tokens of the first n_chars characters (of all, if there are fewer)."""
+    return F.element_at(F.col(prefixes), F.least(n_chars, F.size(prefixes) - 1) + 1)
+
+
+def longest_within(budget: Column, prefixes: str = "prefixes") -> Column:
+    """Characters of the longest prefix of at most `budget` tokens. Counts can fall where a character completes a longer token."""
+    return F.size(prefixes) - F.array_position(F.reverse(F.transform(F.col(prefixes), lambda n: n <= budget)), True)
+
+
+def truncated(budget: Column, prefixes: str = "prefixes") -> Column:
+    """The longest prefix of the text of at most `budget` tokens."""
+    return F.substring(F.col("text"), F.lit(1), longest_within(budget, prefixes).cast("int"))
+
+
 class ChunkIds:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes; each distinct chunk goes through the tokenizer once."""
 
