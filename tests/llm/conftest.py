@@ -25,3 +25,11 @@ def awkward(spark):
 @pytest.fixture(scope="session")
 def no_documents(awkward):
     return awkward.limit(0)
+
+
+@pytest.fixture(params=["broadcast", "shuffle"])
+def joins(request, monkeypatch):
+    """Both sides of the operators' size checks."""
+    if request.param == "shuffle":
+        monkeypatch.setattr("townkit.llm.shared.BROADCAST_BYTES", -1)
+    return request.param

@@ -37,12 +37,30 @@ def test_equal_strings_have_equal_anchors():
     for _ in range(20):
         before = bytes(r.choice(b"abcdefgh") for _ in range(r.randint(0, 80)))
         data = before + shared + bytes(r.choice(b"abcdefgh") for _ in range(r.randint(0, 80)))
-        key, place, lo, hi = suffixes.anchors(data, settings)
+        ((key, place, lo, hi),) = suffixes.anchors(data, settings)
         k = next(k for k in range(len(key)) if lo[k] <= len(before) <= hi[k])
         found.add((int(key[k]), int(place[k]) - len(before)))
     assert len(found) == 1
 
 
+def test_windows_of_a_long_text():
+    """Every start of a string belongs to one anchor, and to the same one whatever the window."""
+    r = random.Random(4)
+    data = bytes(r.choice(b"ab") for _ in range(700)) * 2
+
+    def of_start(window):
+        out = {}
+        for key, place, lo, hi in suffixes.anchors(data, suffixes.Repeats(length=50, gram=12, window=window)):
+            for k, p, a, b in zip(key.tolist(), place.tolist(), lo.tolist(), hi.tolist(), strict=True):
+                for start in range(a, b + 1):
+                    assert start not in out and start <= p <= start + 38
+                    out[start] = (k, p)
+        return out
+
+    whole = of_start(1 << 20)
+    assert sorted(whole) == list(range(len(data) - 49)) and all(of_start(w) == whole for w in (1, 97, 700))
+
+
 def brute(texts, n):
     counts = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
     out = []
@@ -57,14 +75,14 @@ def brute(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 3])
-def test_against_brute_force(spark, hot):
-    """With hot at 3, groups are split by where strings start, down to single strings."""
+@pytest.mark.parametrize(("hot", "window"), [(4096, 1 << 20), (3, 1 << 20), (4096, 90)])
+def test_against_brute_force(spark, joins, hot, window):
+    """With hot at 3, groups are split by where strings start, down to single strings; with small windows segments are cut."""
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdéfg ") for _ in range(r.randint(20, 160)))
     passage, other = word() + "x" * 70, word() + word()
     texts = [word() + passage + word() for _ in range(14)] + [word() + other + word() + other for _ in range(3)] + [other, other, "", "ab" * 100, word()]
-    settings = suffixes.Repeats(length=60, gram=16, hot=hot, steps=(8, 1), batch=3000)
+    settings = suffixes.Repeats(length=60, gram=16, hot=hot, steps=(8, 1), batch=3000, window=window)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     found = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(df, settings).collect()}
     assert found == dict(enumerate(brute([t.encode() for t in texts], 60)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -12,19 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from townkit.llm.jaccard import groups_of
-from townkit.llm.shared import BROADCAST_ROWS, batch_of, id_and_text, written
+from townkit.llm.shared import batch_of, id_and_text, sized, written
 
 
 @dataclass(frozen=True)
 class Repeats:
     """length: of the repeated strings; gram: bytes of an anchor; hot: distinct segments of a group beyond which the group is split;
-    steps: string starts that a segment of a split group holds, by round; batch: bytes in one suffix array."""
+    steps: string starts that a segment of a split group holds, by round; batch: bytes in one suffix array; window: bytes of a text whose
+    anchors are found at a time, 2^24 at most."""
 
     length: int = 400
     gram: int = 96
     hot: int = 4_096
     steps: tuple[int, ...] = (24, 1)
     batch: int = 2_000_000
+    window: int = 1 << 20
+
+
+#: Bits of a place in a window.
+PLACES = np.uint64(24)
 
 
 @lru_cache(1)
@@ -41,7 +48,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each run of `gram` bytes."""
-    up, down = powers(1 << max(16, len(data).bit_length()))
+    up, down = powers(1 << max(16, len(data).bit_length()))  # kept for the longest window
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[: len(data)], out=sums[1:])
     h = (sums[gram:] - sums[:-gram]) * up[: len(data) - gram + 1]
@@ -51,24 +58,26 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def anchors(data: bytes, settings: Repeats) -> list[tuple[np.ndarray, ...]]:
-    """(hash, place, first start, last start) of each anchor: every string of `length` bytes belongs to the least gram in it.
+def anchors(data: bytes, settings: Repeats) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, place, first start, last start) of each anchor, by windows: every string of `length` bytes belongs to the least gram in it.
 
-    Equal strings have the same anchor at the same place in them, as the choice depends on their bytes alone (ties: the leftmost).
+    Equal strings have the same anchor at the same place in them, as the choice depends on their bytes alone: 40 bits of the grams'
+    hashes, of equal ones the leftmost. Windows bound the memory for a very long text. A segment that goes on over a window's end is
+    two segments of one anchor, whose strings start at different places.
     """
-    window = settings.length - settings.gram + 1
-    h = gram_hashes(np.frombuffer(data, np.uint8), settings.gram)
-    bits = np.uint64(max(1, (len(h) - 1).bit_length()))
-    least = ((h >> bits) << bits) | np.arange(len(h), dtype=np.uint64)
-    done = 1
-    while done < window:
-        by = min(done, window - done)
-        least = np.minimum(least[:-by], least[by:])
-        done += by
-    place = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    last = np.concatenate([first[1:] - 1, [len(place) - 1]])
-    return h[place[first]], place[first], first, last
+    for begin in range(0, len(data) - settings.length + 1, settings.window):
+        part = np.frombuffer(data, np.uint8)[begin : begin + settings.window + settings.length - 1]
+        h = gram_hashes(part, settings.gram)
+        least = ((h >> PLACES) << PLACES) | np.arange(len(h), dtype=np.uint64)
+        done, span = 1, settings.length - settings.gram + 1
+        while done < span:
+            by = min(done, span - done)
+            least = np.minimum(least[:-by], least[by:])
+            done += by
+        place = (least & ((np.uint64(1) << PLACES) - np.uint64(1))).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+        last = np.concatenate([first[1:] - 1, [len(place) - 1]])
+        yield h[place[first]], place[first] + begin, first + begin, last + begin
 
 
 def smaller_than_next(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -198,10 +207,10 @@ def anchor_segments(texts: DataFrame, settings: Repeats) -> DataFrame:
                 data = text.encode("utf-8", "replace")
                 if len(data) < settings.length:
                     continue
-                key, place, lo, hi = anchors(data, settings)
-                whole = [xxhash.xxh3_64_intdigest(data[a : b + settings.length], p - a) for p, a, b in zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                n = len(key)
-                yield batch_of(SEGMENTS, [[doc_id] * n, [text_hash] * n, key.view(np.int64), signed(whole), place, lo, hi])
+                for key, place, lo, hi in anchors(data, settings):
+                    whole = [xxhash.xxh3_64_intdigest(data[a : b + settings.length], p - a) for p, a, b in zip(place.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                    n = len(key)
+                    yield batch_of(SEGMENTS, [[doc_id] * n, [text_hash] * n, key.view(np.int64), signed(whole), place, lo, hi])
 
     return texts.select("doc_id", "text_hash", "text").mapInArrow(whole_batches(make), SEGMENTS_SQL)
 
@@ -226,8 +235,7 @@ def whole_batches(make, rows: int = 20_000):
 def with_texts(texts: DataFrame, rows: DataFrame, columns: str) -> DataFrame:
     """doc_id, text_hash, text and `wanted`, the rows' columns as an array: each text that has rows once."""
     wanted = written(rows.groupBy("doc_id", "text_hash").agg(F.collect_list(F.expr(f"struct({columns})")).alias("wanted")), "wanted")
-    total = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("n")).collect()[0]["n"]
-    side = (F.broadcast(wanted) if total <= BROADCAST_ROWS else wanted).withColumnRenamed("doc_id", "wanted_id").withColumnRenamed("text_hash", "wanted_hash")
+    side = sized(wanted.withColumnsRenamed({"doc_id": "wanted_id", "text_hash": "wanted_hash"}))
     found = texts.join(side, texts["doc_id"].eqNullSafe(side["wanted_id"]) & (texts["text_hash"] == side["wanted_hash"]))
     return found.select("doc_id", "text_hash", "text", "wanted")
 
@@ -339,8 +347,7 @@ def remove_repeats(docs: DataFrame, settings: Repeats = Repeats()) -> DataFrame:
     texts = id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
     merged = "aggregate(array_sort(collect_list(struct(lo, hi))), cast(array() AS array<struct<lo:int,hi:int>>), (a, x) -> if(size(a) > 0 AND x.lo <= element_at(a, -1).hi, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).lo AS lo, greatest(element_at(a, -1).hi, x.hi) AS hi))), concat(a, array(x))))"
     spans = written(repeated_spans(docs, settings).groupBy("doc_id", "text_hash").agg(F.expr(merged).alias("spans")), "spans")
-    total = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("n")).collect()[0]["n"]
-    side = (F.broadcast(spans) if total <= BROADCAST_ROWS else spans).withColumnRenamed("doc_id", "span_id").withColumnRenamed("text_hash", "span_hash")
+    side = sized(spans.withColumnsRenamed({"doc_id": "span_id", "text_hash": "span_hash"}))
     joined = texts.join(side, texts["doc_id"].eqNullSafe(side["span_id"]) & (texts["text_hash"] == side["span_hash"]), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
