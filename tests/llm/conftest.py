@@ -27,9 +27,7 @@ def no_documents(awkward):
     return awkward.limit(0)
 
 
-@pytest.fixture(params=["broadcast", "shuffle"])
-def joins(request, monkeypatch):
-    """Both sides of the operators' size checks."""
-    if request.param == "shuffle":
-        monkeypatch.setattr("townkit.llm.shared.BROADCAST_BYTES", -1)
-    return request.param
+@pytest.fixture
+def shuffles(monkeypatch):
+    """Nothing is small enough for a broadcast: the other side of the operators' size checks."""
+    monkeypatch.setattr("townkit.llm.shared.BROADCAST_BYTES", -1)

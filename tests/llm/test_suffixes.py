@@ -76,8 +76,16 @@ def brute(texts, n):
 
 
 @pytest.mark.parametrize(("hot", "window"), [(4096, 1 << 20), (3, 1 << 20), (4096, 90)])
-def test_against_brute_force(spark, joins, hot, window):
+def test_against_brute_force(spark, hot, window):
     """With hot at 3, groups are split by where strings start, down to single strings; with small windows segments are cut."""
+    compare(spark, hot, window)
+
+
+def test_by_shuffles(spark, shuffles):
+    compare(spark, 3, 1 << 20)
+
+
+def compare(spark, hot, window):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdéfg ") for _ in range(r.randint(20, 160)))
     passage, other = word() + "x" * 70, word() + word()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townkit.llm.shared import batch_of, components, id_and_text, sized, text_groups, written
+from townkit.llm.shared import batch_of, components, id_and_text, sized, spread_join, text_groups, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a Python worker remembers.
@@ -26,9 +27,10 @@ REMEMBERED = 200_000
 class Join:
     """threshold, n: the similarity of the join and the words of a shingle.
 
-    runs: independent runs of the chosen-path tree. A pair of similarity s meets in a run's root bucket with probability s, and stays
-    together through a split, which samples `splits` tokens, with 1 - (1 - s)^splits; `levels` splits at most. At 0.8 a run finds a pair
-    with 0.8 * 0.96^2 = 0.74 if all its buckets are split, 10 runs with 1 - 1.4e-6, more where buckets are small.
+    recall: the chance that a pair at the threshold is found; runs of the chosen-path tree are repeated until it is reached. A pair of
+    similarity s meets in a run's root bucket with probability s, and stays together through a split, which samples `splits` tokens, with
+    1 - (1 - s)^splits; `levels` splits at most. At 0.8 a run finds a pair with 0.8 * 0.96^2 = 0.74 if all its buckets are split, so that
+    10 runs are needed for 1 - 2e-6; pairs above the threshold, or in small buckets, are found more often.
     small: buckets of up to so many sets are compared pair by pair. coordinates: tokens that stand for a set (its MinHash values).
     maybe: estimated similarity from which a pair is verified; 0.2 below the threshold is over five deviations.
     block_sets, block_shingles: what one side of a verifying task holds.
@@ -36,7 +38,7 @@ class Join:
 
     threshold: float = 0.8
     n: int = 5
-    runs: int = 10
+    recall: float = 1 - 2e-6
     splits: int = 2
     levels: int = 2
     small: int = 128
@@ -45,6 +47,11 @@ class Join:
     block_sets: int = 2_048
     block_shingles: int = 500_000
 
+    @property
+    def runs(self) -> int:
+        found = self.threshold * (1 - (1 - self.threshold) ** self.splits) ** self.levels
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - found)))
+
 
 class Shingler:
     """Hashes of the n-word shingles of texts; word hashes are remembered."""
@@ -107,11 +114,16 @@ def set_key(shingles: np.ndarray) -> str:
     return base64.b64encode(hashlib.md5(shingles.tobytes()).digest()[:12]).decode()
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("node", pa.string()), ("shingles", pa.int64()), ("path", pa.list_(pa.int32())), ("sketch", pa.binary())])
+SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("node", pa.string()), ("shingles", pa.int64()), ("path", pa.list_(pa.int32())), ("sketch", pa.binary())])
+
+
+def rows_of(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty) and text_hash, which tell rows apart."""
+    return id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
 def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, node (name of the set, null without words), shingles, path (the runs' sampled tokens), sketch (16 bits of each coordinate)."""
+    """doc_id, text_hash, node (name of the set, null without words), shingles, path (the runs' sampled tokens), sketch (16 bits of each coordinate)."""
     used = join.runs * (1 + join.splits * join.levels)
     picked = np.resize(np.random.Generator(np.random.PCG64(5)).permutation(join.coordinates), used)
 
@@ -119,17 +131,17 @@ def shingle_sets(docs: DataFrame, join: Join) -> DataFrame:
         cutter = shingler(join.n)
         for batch in batches:
             out = [[] for _ in SETS]
-            for doc_id, shingles in zip(batch.column(0).to_pylist(), cutter(batch.column(1).to_pylist()), strict=True):
+            for shingles in cutter(batch.column(1).to_pylist()):
                 if len(shingles):
                     least = minhash(shingles, join.coordinates)
-                    row = (doc_id, set_key(shingles), len(shingles), least[picked].view(np.int32), least.astype("<u2").tobytes())
+                    row = (set_key(shingles), len(shingles), least[picked].view(np.int32), least.astype("<u2").tobytes())
                 else:
-                    row = (doc_id, None, 0, None, None)
-                for column, value in zip(out, row, strict=True):
+                    row = (None, 0, None, None)
+                for column, value in zip(out[2:], row, strict=True):
                     column.append(value)
-            yield batch_of(SETS, out)
+            yield batch_of(SETS, [batch.column(0), batch.column(2), *out[2:]])
 
-    return id_and_text(docs).mapInArrow(make, "doc_id long, node string, shingles long, path array<int>, sketch binary")
+    return rows_of(docs).mapInArrow(make, "doc_id long, text_hash long, node string, shingles long, path array<int>, sketch binary")
 
 
 def union_find(size: int, pairs: np.ndarray) -> np.ndarray:
@@ -193,10 +205,10 @@ def candidate_links(nodes: DataFrame, join: Join) -> DataFrame:
         large = buckets.where(F.col("size") > join.small)
         if level == join.levels:
             # sets that stay together through all splits are most likely copies: linked without a comparison, the verifier looks at all
-            edges = edges.union(rows.join(large.select("key", "least"), "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
+            edges = edges.union(spread_join(rows, large.select("key", "least", "size"), ["key"], "size").select(F.col("node").alias("a"), F.col("least").alias("b")))
         else:
             tokens = f"transform(sequence(0, {join.splits - 1}), j -> struct(xxhash64(key, j, rest[j + {level * join.splits}]) AS key, rest AS rest))"
-            rows = written(rows.join(large.select("key"), "key").select("node", F.inline(F.expr(tokens))), "split")
+            rows = written(spread_join(rows, large.select("key", "size"), ["key"], "size").select("node", F.inline(F.expr(tokens))), "split")
             if rows.isEmpty():
                 break
     return edges
@@ -301,40 +313,61 @@ def spanning(similar: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np
             return label
 
 
+def repeated_rows(sets: DataFrame) -> DataFrame:
+    """doc_id and text_hash of rows that are there more than once."""
+    return written(sets.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated")
+
+
+def row_classes(docs: DataFrame, sets: DataFrame, repeated: DataFrame, join: Join) -> DataFrame:
+    """doc_id, text_hash, class_id, n_links and `kept` (the row of the class that has the smallest doc_id) for each row that has words."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
+        first, F.count(F.lit(1)).alias("weight"), F.max("shingles").alias("shingles"), F.max("path").alias("path"), F.max("sketch").alias("sketch")
+    )
+    nodes = written(nodes, "nodes")
+    members = written(components(candidate_links(nodes, join)).withColumnRenamed("component", "group"), "groups")
+    placed = written(members.join(nodes.select("node", "first", "weight", "shingles"), "node"), "candidates")
+    blocks = placed.groupBy("group").agg(F.count(F.lit(1)).alias("size"), F.greatest(F.ceil(F.count(F.lit(1)) / join.block_sets), F.ceil(F.sum("shingles") / join.block_shingles)).alias("blocks"))
+    placed = spread_join(placed, written(blocks, "blocks"), ["group"], "size").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    placed = written(placed.select("node", "group", "first", "weight", "blocks", "block"), "placed")
+    links = written(cells(docs, repeated, placed, join), "verified")
+    classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    named = nodes.select("node", "first", "weight").join(classes, "node", "left").join(counted, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    named = written(named.select("node", "class", "first", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "named")
+    # the first row of a class; minima are summed up before they are shuffled
+    firsts = written(named.groupBy("class").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("size")), "firsts")
+    named = written(spread_join(named, firsts, ["class"], "size").select("node", "kept", "n_links", "weight"), "classes")
+    known = spread_join(sets.select("doc_id", "text_hash", "node").where(F.col("node").isNotNull()), named, ["node"], "weight")
+    return known.select("doc_id", "text_hash", F.col("kept.doc_id").alias("class_id"), "n_links", "kept")
+
+
 def jaccard_classes(docs: DataFrame, join: Join = Join()) -> DataFrame:
     """doc_id, class_id, n_links for every row: class_id is the smallest doc_id that links reach, n_links the rows linked directly.
 
     Rows link if the Jaccard similarity of their n-word shingle sets is at least the threshold. Words are runs of letters and digits,
     lower-cased; a text of fewer than n words has one shingle, all its words; a null text, or one without words, links with nothing.
     Repeated rows and ids are rows of their own, which link. A null doc_id takes part in links; a class of null ids alone has a null
-    class_id. Further columns are left out; an empty table gives an empty result.
+    class_id. Very long texts count whole. Further columns are left out; an empty table gives an empty result.
 
     Equal sets are one node, and all work on pairs is on nodes. The chosen paths give candidate links; the components of these are
     verified exactly, large ones in cells of two blocks, so that no task holds a whole component and no row stands for a pair.
     """
     sets = written(shingle_sets(docs, join), "sets")
-    nodes = sets.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("weight"), F.max("shingles").alias("shingles"), F.max("path").alias("path"), F.max("sketch").alias("sketch")
-    )
-    nodes = written(nodes, "nodes")
-    members = written(components(candidate_links(nodes, join)).withColumnRenamed("component", "group"), "groups")
-    placed = members.join(nodes.select("node", "first_id", "weight", "shingles"), "node")
-    blocks = placed.groupBy("group").agg(F.greatest(F.ceil(F.count(F.lit(1)) / join.block_sets), F.ceil(F.sum("shingles") / join.block_shingles)).alias("blocks"))
-    placed = placed.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    placed = written(placed.select("node", "group", "first_id", "weight", "blocks", "block"), "placed")
-    links = cells(docs, sets, placed, join)
-    links = written(links, "verified")
-    classes = components(links.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = nodes.select("node", "first_id", "weight").join(classes, "node", "left").join(counted, "node", "left").withColumn("class", F.coalesce("component", "node"))
-    # the least id of a class; few classes have more than a node, and the minima are summed up before they are shuffled
-    ids = named.groupBy("class").agg(F.min("first_id").alias("class_id"))
-    named = written(named.join(ids, "class").select("node", "class_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
-    known = sets.select("doc_id", "node").where(F.col("node").isNotNull()).join(sized(named), "node")
-    return known.select("doc_id", "class_id", "n_links").union(sets.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    found = row_classes(docs, sets, repeated_rows(sets), join).select("doc_id", "class_id", "n_links")
+    return found.union(sets.where(F.col("node").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def one_of_each(rows: DataFrame, repeated: DataFrame, keys: list[str]) -> DataFrame:
+    """rows, but only one of those that `repeated` holds; only these are shuffled, and summed up before that."""
+    if repeated.isEmpty():
+        return rows
+    side = sized(repeated.withColumnsRenamed({"doc_id": "again_id", "text_hash": "again_hash"}))
+    again = rows["doc_id"].eqNullSafe(side["again_id"]) & (rows["text_hash"] == side["again_hash"])
+    return rows.join(side, again, "left_anti").unionByName(rows.join(side, again, "left_semi").dropDuplicates(keys))
 
 
-def cells(docs: DataFrame, sets: DataFrame, placed: DataFrame, join: Join) -> DataFrame:
+def cells(docs: DataFrame, repeated: DataFrame, placed: DataFrame, join: Join) -> DataFrame:
     """node, links, other of the verified links; shingles are made again, from one row of each node that has candidates."""
 
     def make(batches):
@@ -345,30 +378,32 @@ def cells(docs: DataFrame, sets: DataFrame, placed: DataFrame, join: Join) -> Da
                 data = [s.tobytes() for s in cutter(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("group", "node", "weight", "blocks", "block")), pa.array(data, pa.binary())], names=["group", "node", "weight", "blocks", "block", "data"])
 
-    # the set is told by its name, as rows of one id may have other texts
-    texts = id_and_text(docs)
-    chosen = placed.select("first_id", "node", "group", "weight", "blocks", "block")
-    rows = texts.join(sized(chosen), texts["doc_id"].eqNullSafe(chosen["first_id"])).select("group", "node", "weight", "blocks", "block", "text")
-    made = rows.mapInArrow(make_checked(make), "group string, node string, weight long, blocks long, block long, data binary")
+    texts = rows_of(docs)
+    chosen = sized(placed.select(F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash"), "node", "group", "weight", "blocks", "block"))
+    rows = texts.join(chosen, texts["doc_id"].eqNullSafe(chosen["first_id"]) & (texts["text_hash"] == chosen["first_hash"]))
+    rows = one_of_each(rows, repeated, ["node"])
+    made = rows.select("group", "node", "weight", "blocks", "block", "text").mapInArrow(make, "group string, node string, weight long, blocks long, block long, data binary")
     pairs = F.expr("transform(sequence(0, blocks - 1), k -> struct(least(block, k) AS i, greatest(block, k) AS j))")
     dealt = made.select("group", F.inline(pairs), "node", "block", "weight", "data")
     return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j", "node").mapInArrow(verify(join), "node string, links long, other string")
 
 
-def make_checked(make):
-    """Drops rows whose text is not the node's: another row of the same id."""
-
-    def checked(batches):
-        for batch in make(batches):
-            keep = [set_key(np.frombuffer(d, np.uint64)) == n for d, n in zip(batch.column("data").to_pylist(), batch.column("node").to_pylist(), strict=True)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return checked
-
-
 def keep_one(docs: DataFrame, join: Join = Join()) -> DataFrame:
-    """docs with one document of each class, that of the smallest doc_id; all columns stay. Rows of one doc_id stay or go together,
-    and rows of a null doc_id stay."""
-    gone = written(jaccard_classes(docs, join).where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    gone = sized(gone)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    """docs with one row of each class, that of the smallest doc_id (of equal ones the least hash of its text); all columns stay.
+
+    Rows are told apart by doc_id (null too) and text, so a row stays although another of its id goes; of repeated rows one stays.
+    Null texts and texts without words are no copies of anything: all of them stay. An empty table stays empty.
+    """
+    sets = written(shingle_sets(docs, join), "sets")
+    repeated = repeated_rows(sets.where(F.col("node").isNotNull()))
+    classes = row_classes(docs, sets, repeated, join)
+    other = ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash")))
+    gone = written(classes.where(other).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
+    gone = sized(gone.select(F.col("gone_id").alias("_gone_id"), F.col("gone_hash").alias("_gone_hash")))
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    stay = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (text_hash == gone["_gone_hash"]), "left_anti")
+    if repeated.isEmpty():
+        return stay
+    side = sized(repeated.select(F.col("doc_id").alias("_again_id"), F.col("text_hash").alias("_again_hash")))
+    again = stay["doc_id"].cast("long").eqNullSafe(side["_again_id"]) & (F.xxhash64(F.coalesce(stay["text"], F.lit(""))) == side["_again_hash"])
+    return stay.join(side, again, "left_anti").union(stay.join(side, again, "left_semi").dropDuplicates(["doc_id", "text"]))
