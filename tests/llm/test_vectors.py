@@ -33,18 +33,29 @@ def brute(rows, threshold=0.98):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_against_brute_force(spark, block):
+def some_rows():
     r = np.random.Generator(np.random.PCG64(1))
     centres = r.normal(size=(12, 16))
     rows = [(1000 - i, (centres[i % 12] + r.normal(size=16) * (0.02 + 0.1 * (i % 3))).astype(np.float32).tolist(), int(i % 12) % 3) for i in range(260)]
     rows += [(2000 + i, rows[0][1], rows[0][2]) for i in range(20)] + [(2100 + i, rows[0][1], 2) for i in range(2)]
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_against_brute_force(spark, block):
+    rows = some_rows()
     settings = vectors.Quantiser(lists=16, a_list=10, parts=4, codes=8, block=block)
     found = vectors.near_duplicates(frame(spark, rows), settings).collect()
     assert sorted(repr((x["vec_id"], x["n_links"], x["component_id"])) for x in found) == brute(rows)
     assert all(x["kept"] == (x["vec_id"] == x["component_id"]) for x in found)
 
 
+def test_by_shuffles(spark, shuffles):
+    rows = some_rows()
+    found = vectors.near_duplicates(frame(spark, rows), vectors.Quantiser(lists=16, a_list=10, parts=4, codes=8)).collect()
+    assert sorted(repr((x["vec_id"], x["n_links"], x["component_id"])) for x in found) == brute(rows)
+
+
 def test_awkward_vectors(spark):
     a, b = [1.0, 0.0, 0.5], [1.0, 0.01, 0.5]
     rows = [

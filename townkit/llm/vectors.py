@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townkit.llm.jaccard import groups_of, spanning
-from townkit.llm.shared import batch_of, components, sized, written
+from townkit.llm.shared import batch_of, components, spread_join, written
 
 
 @dataclass(frozen=True)
@@ -178,8 +178,8 @@ def near_duplicates(vectors: DataFrame, settings: Quantiser = Quantiser()) -> Da
                 yield batch_of(LISTED, [part.column("label").take(take), part.column("dims").take(take).cast(pa.int64()), at, own, part.column("node").take(take), part.column("weight").take(take), part.column("x").take(take), [coded[k] for k in of], error[of], home[of], [probed[k] for k in of]])
 
     listed = written(nodes.select("node", "label", "dims", "x", "weight").mapInArrow(place, LISTED_SQL), "lists")
-    sizes = listed.groupBy("label", "dims", "list").agg(F.ceil(F.sum(F.col("own").cast("long")) / settings.block).alias("blocks"), F.ceil(F.count(F.lit(1)) / settings.block).alias("sides")).where("blocks > 0")
-    dealt = listed.join(sizes, ["label", "dims", "list"])
+    sizes = listed.groupBy("label", "dims", "list").agg(F.ceil(F.sum(F.col("own").cast("long")) / settings.block).alias("blocks"), F.ceil(F.count(F.lit(1)) / settings.block).alias("sides"), F.count(F.lit(1)).alias("rows")).where("blocks > 0")
+    dealt = spread_join(listed, written(sizes, "list-sizes"), ["label", "dims", "list"], "rows")
     # the stored side is cut into blocks, each of which meets every block of queries
     stored = dealt.where("own").select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("i"), F.explode(F.expr("sequence(0L, sides - 1)")).alias("j"), F.lit(False).alias("query"))
     asked = dealt.select("*", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("i"), F.pmod(F.xxhash64("node"), F.col("sides")).alias("j"), F.lit(True).alias("query"))
@@ -228,10 +228,11 @@ def near_duplicates(vectors: DataFrame, settings: Quantiser = Quantiser()) -> Da
     grouped = components(found.select("a", "b")).withColumnRenamed("component", "group")
     counted = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = nodes.select("node", "first_id", "weight").join(counted, "node", "left").join(grouped, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    least = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    named = written(named.join(least, "group").select("node", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-nodes")
+    named = written(named.select("node", "group", "first_id", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "vector-groups")
+    least = written(named.groupBy("group").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("size")), "vector-firsts")
+    named = written(spread_join(named, least, ["group"], "size").select("node", "component_id", "n_links", "weight"), "vector-nodes")
     # rows that cannot link have no node
     keyed = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    keyed = usable_vectors(keyed).select("vec_id", "node").join(sized(named), "node").select("vec_id", "n_links", "component_id")
+    keyed = spread_join(usable_vectors(keyed).select("vec_id", "node"), named, ["node"], "weight").select("vec_id", "n_links", "component_id")
     rest = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), unusable().alias("out")).where("out").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return keyed.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
