@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,9 @@ from townkit.llm.tokens import chunk_ids
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("lot", pa.int64())])
 PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, lot long"
 PLACED = pa.schema([*[PIECES.field(i) for i in range(5)], ("sequence_id", pa.int64()), ("offset", pa.int64())])
+OPEN = PLACED.append(pa.field("open", pa.bool_()))
 PLACED_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-#: Pieces that one packing task takes; each lot leaves a few sequences part full at most.
+#: Pieces that one packing task takes; what lots leave part full is packed again together.
 LOT = 16_384
 
 
@@ -31,7 +33,9 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, lots: i
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32, and the lot that packs it."""
 
     def cut(batches):
-        encoder, end = chunk_ids(vocabulary), int(end_id).to_bytes(4, "little")
+        from pyspark import TaskContext
+
+        encoder, end, part, row = chunk_ids(vocabulary), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId(), 0
         for batch in batches:
             out = [[] for _ in PIECES]
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
@@ -39,8 +43,8 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, lots: i
                 start = 0
                 for k, length in enumerate(cut_lengths(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    # equal texts are dealt by their id, so that a large group of copies is spread over all lots
-                    lot = zlib.crc32(f"{doc_id}:{k}:{crc}".encode()) % lots
+                    # dealt by the row's place in its task: copies, repeated rows and rows without an id are spread over all lots
+                    lot, row = zlib.crc32(f"{part}:{row}".encode()) % lots, row + 1
                     for column, value in zip(out, (doc_id, k, start, length, crc, lot), strict=True):
                         column.append(value)
                     start += length
@@ -81,20 +85,56 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets
 
 
+def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) of each piece, in the given order: the fullest bin that still holds it."""
+    gaps, bins, offsets, n_bins = [], np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
+    for i, size in enumerate(lengths.tolist()):
+        at = bisect_left(gaps, (size, -1))
+        gap, b = gaps.pop(at) if at < len(gaps) else (capacity, n_bins)
+        n_bins = max(n_bins, b + 1)
+        bins[i], offsets[i] = b, capacity - gap
+        if gap > size:
+            insort(gaps, (gap - size, b))
+    return bins, offsets
+
+
+def again(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) by the rule, or by best fit where that leaves fewer bins."""
+    by_rule, by_fit = sum_of_squares(lengths, capacity), best_fit(lengths, capacity)
+    return by_fit if len(lengths) and by_fit[0].max() < by_rule[0].max() else by_rule
+
+
 def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.json", end_id: int = 0, lot_size: int = LOT) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset; sequences have at most `capacity` tokens.
 
     Null and empty texts are documents of one token (end_id). Only documents of more than `capacity` tokens are cut. Rows with equal
     or null ids are packed one by one like others; further columns are left out; an empty table gives an empty result.
 
-    Texts are encoded where they are read. Only lengths are shuffled, to lots of about lot_size pieces by a hash; the number of lots
-    follows the number of documents, so the share of part-full sequences does not grow. In a lot the longest pieces come first
-    (ties: checksum, doc_id), which makes the sum-of-squares rule an offline one and the result the same in every run.
+    Texts are encoded where they are read. Only lengths are shuffled, to lots of about lot_size pieces by their row; the number of lots
+    follows the number of pieces. In a lot the longest pieces come first (ties: checksum, doc_id), which makes the sum-of-squares rule
+    an offline one. The pieces of sequences that a lot leaves part full are packed again, in ever fewer lots, until one lot holds them
+    all or another round would not lessen them.
     """
     lots = max(1, math.ceil(docs.count() / lot_size))
     # written once: the lots' tasks must not encode the texts again after a lost executor
     cut = written(pieces(docs, capacity, vocabulary, end_id, lots), "pieces")
-    dealt = cut.repartition(lots, "lot").sortWithinPartitions("lot", F.col("length").desc(), "ids_crc32", "doc_id", "piece")
+    done, round_ = None, 0
+    while True:
+        dealt = cut.repartition(lots, "lot").sortWithinPartitions("lot", F.col("length").desc(), "ids_crc32", "doc_id", "piece")
+        placed = written(dealt.mapInArrow(place_lots(capacity, round_), f"{PLACED_SQL}, open boolean"), "placed")
+        n_open = placed.where("open").count()
+        fewer = math.ceil(n_open / lot_size)
+        last = not n_open or (round_ and fewer >= lots) or round_ > 9
+        full = placed.where("true" if last else "NOT open").drop("open")
+        done = full if done is None else done.union(full)
+        if last:
+            return done
+        lots, round_ = fewer, round_ + 1
+        cut = placed.where("open").select(*PIECES.names[:5], F.pmod(F.xxhash64("sequence_id"), F.lit(lots)).alias("lot"))
+
+
+def place_lots(capacity: int, round_: int):
+    """Packs each lot; `open` tells pieces of sequences that are not full. Later rounds also try best fit."""
 
     def place(batches):
         held: list[pa.RecordBatch] = []
@@ -113,8 +153,10 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str = "byte_bpe_50k.
 
     def placed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
-        bins, offsets = sum_of_squares(table.column("length").to_numpy(), capacity)
-        ids = bins + (table.column("lot")[0].as_py() << 32)
-        return batch_of(PLACED, [*(table.column(i).combine_chunks() for i in range(5)), ids, offsets])
+        lengths = table.column("length").to_numpy()
+        bins, offsets = again(lengths, capacity) if round_ else sum_of_squares(lengths, capacity)
+        filled = np.bincount(bins, lengths)
+        ids = bins + (table.column("lot")[0].as_py() << 28) + (round_ << 59)
+        return batch_of(OPEN, [*(table.column(i).combine_chunks() for i in range(5)), ids, offsets, filled[bins] < capacity])
 
-    return dealt.mapInArrow(place, PLACED_SQL)
+    return place
