@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,7 +38,9 @@ class FrameWriter:
 
         self.out, self.width, self.frame_bytes = out, width, frame_bytes
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
-        self.frames, self.entries, self.held, self.held_bytes, self.at = [], [], [], 0, 0
+        self.frames, self.held, self.held_bytes, self.at = [], [], 0, 0
+        # 17 bytes a document
+        self.ids, self.nulls, self.tokens = array("q"), array("B"), array("Q")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         data = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
@@ -45,7 +48,9 @@ class FrameWriter:
             self.flush()
         self.held.append(data)
         self.held_bytes += len(data)
-        self.entries.append((doc_id or 0, doc_id is None, len(ids)))
+        self.ids.append(doc_id or 0)
+        self.nulls.append(doc_id is None)
+        self.tokens.append(len(ids))
 
     def flush(self) -> None:
         if self.held:
@@ -57,8 +62,10 @@ class FrameWriter:
 
     def close(self) -> None:
         self.flush()
-        table = self.zstd.compress(np.array(self.frames, FRAME).tobytes() + np.array(self.entries, ENTRY).tobytes())
-        self.out.write(table + FOOTER.pack(self.at, len(table), len(self.frames), len(self.entries), self.width, zlib.crc32(table), MAGIC))
+        entries = np.zeros(len(self.ids), ENTRY)
+        entries["doc_id"], entries["null"], entries["tokens"] = self.ids, self.nulls, self.tokens
+        table = self.zstd.compress(np.array(self.frames, FRAME).tobytes() + entries.tobytes())
+        self.out.write(table + FOOTER.pack(self.at, len(table), len(self.frames), len(entries), self.width, zlib.crc32(table), MAGIC))
 
 
 class FrameReader:
@@ -97,6 +104,22 @@ class FrameReader:
         k = int(np.searchsorted(self.first, i, "right")) - 1
         return self.frame(k)[i - self.first[k]]
 
+    def places(self, doc_ids: np.ndarray) -> np.ndarray:
+        """Places in the file of all documents of these ids; entries rise by id, null ids first."""
+        nulls = int(self.entries["null"].sum())
+        known = self.entries["doc_id"][nulls:]
+        return np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) + nulls for a, b in zip(np.searchsorted(known, doc_ids), np.searchsorted(known, doc_ids, "right"), strict=True))])
+
+    def documents(self, places: np.ndarray):
+        """(id, ids) of the documents at these rising places; a frame is read once."""
+        held, at = None, -1
+        for i in places.tolist():
+            k = int(np.searchsorted(self.first, i, "right")) - 1
+            if k != at:
+                held, at = self.frame(k), k
+            entry = self.entries[i]
+            yield None if entry["null"] else int(entry["doc_id"]), held[i - self.first[k]]
+
     def __iter__(self):
         for k in range(len(self.frames)):
             for entry, ids in zip(self.entries[self.first[k] : self.first[k + 1]], self.frame(k), strict=True):
@@ -112,67 +135,87 @@ def filesystem(folder: str):
 
 @dataclass
 class TokenFiles:
-    """The folder and the Spark table of its files: part, path, n_docs, n_tokens, start (tokens in the files before it)."""
+    """The folder and the Spark table of its files: part, file, path, n_docs, n_tokens, first_id, last_id, start (tokens in the files before it)."""
 
     folder: str
     manifest: DataFrame
 
 
-MANIFEST = pa.schema([("part", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
+MANIFEST_SQL = "part long, file long, path string, n_docs long, n_tokens long, first_id long, last_id long"
 READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-
-def write_token_files(docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, files: int | None = None) -> TokenFiles:
-    """Encodes every whole text and writes its ids, with end_id after each, to files of rising doc_id (part by part).
-
-    Null texts are empty: only the end id. Null doc_ids come first; equal doc_ids are ordered by text. An empty table makes no file.
-    Spark ranges the rows by doc_id, and each partition writes one file under another name and then moves it into its place, so a
-    task that runs twice leaves the same file. `files` is by default the session's number of shuffle partitions.
+#: Bytes of text that one writing task gets, ids that one file holds, and documents that one file holds.
+TASK_BYTES, FILE_BYTES, FILE_DOCUMENTS = 512 << 20, 256 << 20, 1_000_000
+#: Documents of a batch that a reader hands on.
+READ_AT_ONCE = 2_000
+
+
+def write_token_files(
+    docs: DataFrame, folder: str | None = None, vocabulary: str = "word_bpe_49k.json", end_id: int = 1, tasks: int | None = None, file_bytes: int = FILE_BYTES, file_documents: int = FILE_DOCUMENTS
+) -> TokenFiles:
+    """Encodes every whole text and writes its ids, with end_id after each, to files of rising doc_id (part by part, file by file).
+
+    Null texts are empty: only the end id. Null doc_ids come first; rows of equal doc_ids are in the order of a hash of their text. An
+    empty table makes no file. A very long text is a frame of its own. Spark ranges the rows by doc_id, and within an id by text and
+    row, so that no id makes one task long; there are as many tasks as the session has shuffle partitions, more where these would get
+    over TASK_BYTES. A task goes on to its next file at file_bytes or file_documents, and moves each file into its place when it is
+    whole, so a task that runs twice leaves the same files.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = id_and_text(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    texts = id_and_text(docs)
+    if tasks is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).collect()[0]["n"]
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    keyed = texts.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(tasks, "doc_id", "text_hash", "row").sortWithinPartitions("doc_id", "text_hash").select("doc_id", "text")
 
     def write(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         store, root = filesystem(folder)
-        encoder, writer, n_docs, n_tokens = chunk_ids(vocabulary), None, 0, 0
+        encoder, writer, file = chunk_ids(vocabulary), None, 0
         width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        name, own = f"{root}/part-{part:06d}.tok", f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                store.create_dir(root, recursive=True)
-                out = store.open_output_stream(own)
-                writer = FrameWriter(out, width)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids = np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id))
-                writer.add(doc_id, ids)
-                n_docs, n_tokens = n_docs + 1, n_tokens + len(ids)
-        if writer is not None:
+
+        def whole():
             writer.close()
             out.close()
+            name = f"{root}/part-{part:06d}-{file:04d}.tok"
             store.move(own, name)
-            yield batch_of(MANIFEST, [[part], [name], [n_docs], [n_tokens]])
+            known = [i for i, null in ((writer.ids[0], writer.nulls[0]), (writer.ids[-1], writer.nulls[-1])) if not null]
+            first = known[0] if len(known) == 2 else -(2**63) if known else None  # null ids come first
+            return batch_of(MANIFEST, [[part], [file], [name], [len(writer.ids)], [sum(writer.tokens)], [first], [known[-1] if known else None]])
+
+        for batch in batches:
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+                if writer is None:
+                    store.create_dir(root, recursive=True)
+                    own = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(own)
+                    writer, held = FrameWriter(out, width), 0
+                writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
+                held += len(ids) * width // 4
+                if held >= file_bytes or len(writer.ids) >= file_documents:
+                    yield whole()
+                    writer, file = None, file + 1
+        if writer is not None:
+            yield whole()
 
     # one small row a file, kept beside the files: reading does not write them again
-    ordered.mapInArrow(write, "part long, path string, n_docs long, n_tokens long").write.parquet(f"{folder}/manifest")
+    ordered.mapInArrow(write, MANIFEST_SQL).write.parquet(f"{folder}/manifest")
     return TokenFiles(folder, open_token_files(spark, folder))
 
 
 def open_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row a file; the running sum needs them in one order, and files are few against documents."""
-    manifest = spark.read.schema("part long, path string, n_docs long, n_tokens long").parquet(f"{folder}/manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    manifest = spark.read.schema(MANIFEST_SQL).parquet(f"{folder}/manifest")
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
 def read_token_files(files: TokenFiles) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: frames are checked and decompressed one by one."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: frames are checked, decompressed and handed on one by one."""
     folder = files.folder
 
     def read(batches):
@@ -185,7 +228,31 @@ def read_token_files(files: TokenFiles) -> DataFrame:
                         for column, value in zip(out, (doc_id, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())), strict=True):
                             column.append(value)
                         start += len(ids)
+                        if len(out[0]) >= READ_AT_ONCE:
+                            yield batch_of(READ, out)
+                            out = [[] for _ in READ]
                 yield batch_of(READ, out)
 
     parts = files.manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return files.manifest.select("path", "start").repartition(int(parts), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int64()))])
+
+
+def documents_of(files: TokenFiles, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of the documents asked for (a list that the caller holds): only files whose range of ids has one of them are opened,
+    and only the frames that hold one are read. Ids that no document has give no row; of repeated ids every document is returned."""
+    wanted, folder = sorted(set(doc_ids)), files.folder
+    has_one = F.exists(F.array(*map(F.lit, wanted)), lambda i: (i >= F.col("first_id")) & (i <= F.col("last_id"))) if wanted else F.lit(False)
+
+    def read(batches):
+        store, _ = filesystem(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_file(path) as source:
+                    reader = FrameReader(source)
+                    for doc_id, ids in reader.documents(reader.places(np.array(wanted, np.int64))):
+                        yield batch_of(DOCUMENTS, [[doc_id], [ids]])
+
+    return files.manifest.where(F.col("last_id").isNotNull() & has_one).select("path").mapInArrow(read, "doc_id long, ids array<long>")
