@@ -48,7 +48,7 @@ def test_empty_tables(spark):
     assert hosts.judge_urls(pages.limit(0), labels).count() == 0
 
 
-def test_one_hot_host_and_many_cold(spark):
+def test_one_hot_host_and_many_cold(spark, shuffles):
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, "http://hot.com/x").otherwise(F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/x"))).alias("url"))
     labels = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("quality"))
     found = hosts.judge_urls(pages, labels)
@@ -59,3 +59,11 @@ def test_one_hot_host_and_many_cold(spark):
 def test_domains(spark, host, domain, suffix):
     a, b = hosts.domain_columns(F.lit(host))
     assert tuple(spark.range(1).select(a.alias("a"), b.alias("b")).collect()[0]) == (domain, suffix)
+
+
+def test_both_joins_judge_alike(spark, monkeypatch):
+    pages, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("pages", "labels"))
+    rows = lambda: sorted(map(repr, hosts.judge_urls(pages, labels).collect()))
+    small = rows()
+    monkeypatch.setattr("townkit.llm.shared.BROADCAST_BYTES", -1)
+    assert rows() == small

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townkit.llm.shared import written
+from townkit.llm.shared import fits, spread_join, written
 
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains where the url's path starts with its path.
 RULES = (
@@ -64,21 +64,24 @@ def host_reputation(outcomes: DataFrame, settings: Reputation = Reputation()) ->
     Its strength is 1/rho - 1, where rho is the moment estimate of the correlation within the level's groups:
     sum((k - n*mu)^2 - n*mu*(1-mu)) / sum(n*(n-1)*mu*(1-mu)). A host without labels takes its domain's mean, and that its suffix's.
     """
-    lo, hi = settings.least_correlation, settings.most_correlation
-    total = outcomes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).select(F.expr("(coalesce(k, 0) + 1D) / (coalesce(n, 0) + 2D)").alias("mean"))
+    summed = [F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("size")]
 
     def level(groups: DataFrame) -> DataFrame:
-        """groups: n, k, and the mean mu of the level above; adds mean and strength of the posterior."""
-        rho = groups.agg(
-            F.expr("sum((k - n * mu) * (k - n * mu) - n * mu * (1 - mu))").alias("over"), F.expr("sum(n * (n - 1D) * mu * (1 - mu))").alias("pairs")
-        ).select(F.expr(f"greatest({lo}D, least({hi}D, if(pairs > 0, over / pairs, {hi}D)))").alias("rho"))
-        # one row on the other side
-        return groups.join(F.broadcast(rho.select(F.expr("1 / rho - 1").alias("prior")))).withColumn("mean", F.expr("(mu * prior + k) / (prior + n)")).withColumn("strength", F.expr("prior + n"))
-
-    suffixes = level(outcomes.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).join(F.broadcast(total.withColumnRenamed("mean", "mu"))))
-    domains = outcomes.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    domains = level(domains.join(suffixes.select("suffix", F.col("mean").alias("mu")), "suffix"))
-    hosts = level(outcomes.join(domains.select("suffix", "domain", F.col("mean").alias("mu")), ["suffix", "domain"]))
+        """groups: n, k, and the mean mu of the level above; adds mean and strength of the posterior. One row comes to the driver."""
+        sums = groups.agg(F.expr("sum((k - n * mu) * (k - n * mu) - n * mu * (1 - mu))").alias("over"), F.expr("sum(n * (n - 1D) * mu * (1 - mu))").alias("pairs")).collect()[0]
+        rho = sums["over"] / sums["pairs"] if (sums["pairs"] or 0) > 0 else settings.most_correlation
+        prior = F.lit(1 / max(settings.least_correlation, min(settings.most_correlation, rho)) - 1)
+        return groups.withColumns({"mean": (F.col("mu") * prior + F.col("k")) / (prior + F.col("n")), "strength": prior + F.col("n")})
+
+    def under(groups: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+        return spread_join(groups, above.select(*keys, F.col("mean").alias("mu"), F.col("size").alias("below")), keys, "below").drop("below")
+
+    domains = written(outcomes.groupBy("suffix", "domain").agg(*summed), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(*summed), "suffixes")
+    total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).collect()[0]
+    suffixes = level(suffixes.withColumn("mu", F.lit(((total["k"] or 0) + 1) / ((total["n"] or 0) + 2))))
+    domains = written(level(under(domains, suffixes, ["suffix"])), "domain-means")
+    hosts = level(under(outcomes, domains, ["suffix", "domain"]))
     return hosts.select("host", "domain", "suffix", "rows", F.col("n").alias("labelled"), F.col("k").alias("good"), "mean", F.expr("sqrt(mean * (1 - mean) / (strength + 1))").alias("deviation"))
 
 
@@ -89,8 +92,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, settings: Reputation = Reput
     reputation of the empty host. Repeated pages are all returned; several labels of one page all count; null labels do not.
     Further columns are left out; empty labels leave a prior mean of 1/2 with its full width, which blocks nothing.
 
-    Only DataFrame functions. Hosts are summed up before the shuffle. A host with over 1/hot_share of all rows is joined by
-    broadcast (there are fewer than hot_share of those), the others by a shuffle in which their rows cannot be many.
+    Only DataFrame functions. Hosts are summed up before the shuffle. Reputations are broadcast if they are small; otherwise a host
+    with over 1/hot_share of all rows is joined by broadcast (there are fewer than hot_share of those), the others by a shuffle.
     """
     host, path = url_parts(F.col("url"))
     urls = pages.select(F.col("page_id"), "url").withColumns({"host": host, "path": path}).drop("url")
@@ -101,16 +104,20 @@ def judge_urls(pages: DataFrame, labels: DataFrame, settings: Reputation = Reput
         .agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
     )
     domain, suffix = domain_columns(F.col("host"))
-    by_host = by_host.withColumns({"domain": domain, "suffix": suffix})
+    # one row a host, written once: all levels read it
+    by_host = written(by_host.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     reputation = host_reputation(by_host, settings).withColumn("upper", F.expr(f"mean + {settings.z}D * deviation")).select("host", "rows", "mean", "upper")
-    # one row a host, written once: both joins below read it
     reputation = written(reputation, "reputation")
-    total = pages.count()
-    hot = reputation.where(F.col("rows") * hot_share > total)
-    judged = urls.join(F.broadcast(hot.select("host", F.col("mean").alias("hot_mean"), F.col("upper").alias("hot_upper"))), "host", "left")
-    # rows of a hot host have their answer: in the shuffled join they get keys that meet nothing
-    key = F.when(F.col("hot_mean").isNull(), F.col("host")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("path")))
-    judged = judged.withColumn("key", key).join(reputation.where(F.col("rows") * hot_share <= total).select(F.col("host").alias("key"), "mean", "upper"), "key", "left")
+    if fits(reputation):
+        known = F.broadcast(reputation.withColumnsRenamed({"mean": "hot_mean", "upper": "hot_upper"}))
+        judged = urls.join(known, "host", "left").withColumns({"mean": F.col("hot_mean"), "upper": F.col("hot_upper")})
+    else:
+        total = pages.count()
+        hot = reputation.where(F.col("rows") * hot_share > total)
+        judged = urls.join(F.broadcast(hot.select("host", F.col("mean").alias("hot_mean"), F.col("upper").alias("hot_upper"))), "host", "left")
+        # rows of a hot host have their answer: in the shuffled join they get keys that meet nothing
+        key = F.when(F.col("hot_mean").isNull(), F.col("host")).otherwise(F.concat(F.lit("\u0000"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("path")))
+        judged = judged.withColumn("key", key).join(reputation.where(F.col("rows") * hot_share <= total).select(F.col("host").alias("key"), "mean", "upper"), "key", "left")
     mean, upper = F.coalesce("hot_mean", "mean"), F.coalesce("hot_upper", "upper")
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return judged.select(
