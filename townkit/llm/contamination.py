@@ -13,19 +13,38 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def shingles(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """A row for each place of n words: keys and `shingle`, the hash of the words there. Texts of fewer words have none."""
-    placed = rows.select(*keys, words_of(F.col("text")).alias("words")).where(F.size("words") >= n)
+def shingles(rows: DataFrame, keys: list[str], n: int, whole: bool = False) -> DataFrame:
+    """A row for each place of n words: keys and `shingle`, the hash of the words there. Texts of fewer words have none, with `whole` nor
+    have those of more."""
+    placed = rows.select(*keys, words_of(F.col("text")).alias("words")).where(F.size("words") == n if whole else F.size("words") >= n)
     placed = placed.select(*keys, "words", F.explode(F.expr(f"sequence(0, size(words) - {n})")).alias("at"))
     return placed.select(*keys, F.xxhash64(*(F.expr(f"words[at + {i}]") for i in range(n))).alias("shingle"))
 
 
-def item_shingles(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, shingle, n_shingles: the distinct shingles of each item."""
-    each = shingles(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull()), ["item_id"], n).distinct()
+def short_lengths(benchmark: DataFrame, n: int) -> list[int]:
+    """The word counts under n of items that have fewer than n words: at most n - 1 numbers."""
+    lengths = benchmark.where(F.col("item_id").isNotNull()).select(F.size(words_of(F.coalesce("text", F.lit("")))).alias("m")).where(f"m > 0 AND m < {n}").distinct()
+    return sorted(row["m"] for row in lengths.collect())
+
+
+def item_shingles(benchmark: DataFrame, n: int, short: list[int]) -> DataFrame:
+    """item_id, shingle, n_shingles: the distinct shingles of each item; an item of 1 to n - 1 words has one, all its words."""
+    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
+    each = shingles(items, ["item_id"], n)
+    for m in short:
+        each = each.union(shingles(items, ["item_id"], m, whole=True))
+    each = each.distinct()
     return each.join(each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles")), "item_id")
 
 
+def document_shingles(rows: DataFrame, keys: list[str], n: int, short: list[int]) -> DataFrame:
+    """Shingles of n words, and of those short lengths that items have."""
+    each = shingles(rows, keys, n)
+    for m in short:
+        each = each.union(shingles(rows, keys, m))
+    return each
+
+
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
     """item_id and shingle: the MinHash sketch of each item, its least shingles in a random order.
 
@@ -43,7 +62,8 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """doc_id, text_hash, item_id, shared, item_shingles, containment: each document and item of which it holds at least the threshold's share of shingles.
 
-    Null texts are empty; texts and items of fewer than n words have no shingles and meet nothing; null item_ids are left out. Rows
+    An item of fewer than n words is one shingle of all of them, and is looked up among the documents' runs of that length. Null texts
+    are empty; texts without words meet nothing, very long ones are searched whole; null item_ids are left out. Rows
     are told apart by doc_id (null too) and text: equal rows give one result row, rows of one id with other texts their own. Further
     columns are left out.
 
@@ -52,17 +72,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    items = written(item_shingles(benchmark, n), "items")
+    short = short_lengths(benchmark, n)
+    items = written(item_shingles(benchmark, n, short), "items")
     keys = ["doc_id", "text_hash"]
     sketch = written(sketches(items, threshold), "sketches")
-    found = shingles(texts, keys, n).join(sized(sketch), "shingle").select(*keys, "item_id").distinct()
+    found = document_shingles(texts, keys, n, short).join(sized(sketch), "shingle").select(*keys, "item_id").distinct()
     found = written(found, "candidates")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     rows = found.select(*keys).distinct()
     rows = sized(rows)
     # equal rows hold the same shingles: counting distinct ones per key needs no distinct rows
     searched = texts.join(rows, same(texts, rows), "left_semi")
-    hits = shingles(searched, keys, n).join(sized(items), "shingle").select(*keys, "item_id", "shingle", "n_shingles").distinct()
+    hits = document_shingles(searched, keys, n, short).join(sized(items), "shingle").select(*keys, "item_id", "shingle", "n_shingles").distinct()
     shared = hits.groupBy(*keys, "item_id", "n_shingles").agg(F.count(F.lit(1)).alias("shared"))
     kept = shared.where(F.col("shared") >= F.col("n_shingles") * threshold - 1e-9)
     # only candidates of the search count
@@ -71,7 +92,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """docs without the rows that hold a benchmark item; all columns stay."""
+    """docs without the rows that hold a benchmark item; all columns and all other rows stay, repeated ones and null texts too.
+
+    Rows are told apart by doc_id (null too) and text. An empty table stays empty, and an empty benchmark takes nothing away.
+    """
     dirty = written(contaminated(docs, benchmark, threshold, n).select(F.col("doc_id").alias("dirty_id"), F.col("text_hash").alias("dirty_hash")).distinct(), "dirty")
     dirty = sized(dirty)
     return docs.join(dirty, docs["doc_id"].cast("long").eqNullSafe(dirty["dirty_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == dirty["dirty_hash"]), "left_anti")

@@ -83,11 +83,12 @@ SELECT page_id, host, path, split_part(fit, ' ', 1) AS rule, coalesce(split_part
 #: Exact containment of each item in each document that shares a shingle with it; text_hash is left to Spark's hash, so it is not compared.
 OP7_SQL = r"""
 WITH item_words AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
-items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+items AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM item_words WHERE len(w) > 0)),
 sized AS (SELECT item_id, s, count(*) OVER (PARTITION BY item_id) AS item_shingles FROM items),
+lengths AS (SELECT DISTINCT least(len(w), 5) AS m FROM item_words WHERE len(w) > 0),
 doc_words AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
-places AS (SELECT doc_id, text, w, unnest(range(1, len(w) - 3)) AS i FROM doc_words),
-held AS (SELECT DISTINCT doc_id, text, item_id, s, item_shingles FROM (SELECT doc_id, text, array_to_string(w[i:i + 4], ' ') AS s FROM places) JOIN sized USING (s))
+places AS (SELECT doc_id, text, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM doc_words, lengths),
+held AS (SELECT DISTINCT doc_id, text, item_id, s, item_shingles FROM (SELECT doc_id, text, array_to_string(w[i:i + m - 1], ' ') AS s FROM places) JOIN sized USING (s))
 SELECT doc_id, item_id, count(*) AS shared, item_shingles, round(count(*) / item_shingles, 6) AS containment
 FROM held GROUP BY doc_id, text, item_id, item_shingles HAVING count(*) >= 0.8 * item_shingles - 1e-9
 """
