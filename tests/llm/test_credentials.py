@@ -41,6 +41,8 @@ def test_awkward_rows(awkward, no_documents, spark):
     assert credentials.find_secrets(no_documents).count() == 0
     row = credentials.find_secrets(spark.createDataFrame([(1, SECRETS)], "doc_id long, text string")).collect()[0]
     assert (row["n_assign"], row["n_access"], row["n_hex"]) == (3, 1, 1)
+    assert row.asDict().keys() >= {"n_novel", "added_bytes"} and list(row.asDict())[:6] == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert all(int(n) > 0 for n in row["added_bytes"].split(",")) and row["added_bytes"].count(",") == 4
     assert row["spans"].split(",") == [f"{credentials.KINDS[k]}:{a}:{b}" for a, k, b in credentials.base_spans(SECRETS)]
 
 
@@ -49,7 +51,9 @@ def test_redaction(spark, awkward):
     found = {r["doc_id"]: r for r in credentials.redact(df).collect()}
     assert "q8Zr" not in found[1]["text"] and "longenough" not in found[1]["text"] and found[1]["text"].count("[secret]") == 5 and found[1]["n_chars"] == len(found[1]["text"])
     assert found[2]["text"] is None and found[3]["text"] == "clean" and found[3]["extra"] == "z"
-    assert credentials.redact(awkward).columns == awkward.columns
+    masked = credentials.redact(awkward)
+    assert masked.columns == awkward.columns and sorted(map(repr, masked.select("doc_id", "text").collect())) == sorted(map(repr, awkward.select("doc_id", "text").collect()))
+    assert credentials.redact(awkward.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("seam", ["\n", "\\n", '"\n"'])
@@ -71,3 +75,39 @@ def test_marginal_bytes_decide():
     assert found("this credential " + "is held for the museum " * 8 + letters) == [letters]
     assert found(f"{letters} is the credential") == [letters]
     assert found("credential " + "the museum and the park " * 20 + letters) == []
+
+
+def code(r, i):
+    """A text with sensitive words, names and paths, and in two of three a string that no base pattern covers."""
+    names = ["connection_pool_settings", "default_request_headers", "refreshCredentialCache", "application/json; charset=utf-8", "https://www.example.com/session/login", "AbstractSessionFactoryBuilder"]
+    lines = [f"credential store {r.choice(names)} for session {r.randint(1, 99)}", f"def authenticate_user_{i % 7}(self, {r.choice(names)}):", f"    # see {r.choice(names)} and {r.choice(names)}", "    return self.signature_header"]
+    kinds = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    planted = "".join(r.choices(kinds[i % 3], k=r.randint(20, 48))) if i % 3 else None
+    if planted:
+        lines.insert(r.randint(0, 3), f"client credential -> {planted}")
+    return planted, "\n".join(lines)
+
+
+def test_planted_strings_that_no_pattern_covers(spark):
+    """Recall and precision of the measure, with dictionaries learnt from the texts; a string in many copies is found in each."""
+    import random
+
+    r = random.Random(11)
+    rows = [code(r, i) for i in range(300)]
+    rows += [rows[1]] * 50
+    found = credentials.find_secrets(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    hits = wrong = 0
+    for row in found:
+        planted, text = rows[row["doc_id"]]
+        strings = [text[int(a) : int(b)] for a, b in (s.split(":")[1:] for s in row["spans"].split(",") if s)]
+        hits += planted in strings
+        wrong += sum(s != planted for s in strings)
+    n = sum(p is not None for p, _ in rows)
+    assert hits >= 0.99 * n and wrong <= 0.05 * (hits + wrong), (hits, n, wrong, [s for s in strings if s != planted])
+    assert {row["spans"] for row in found if row["doc_id"] >= 300} == {next(row["spans"] for row in found if row["doc_id"] == 1)} != {""}
+
+
+def test_learnt_words_are_parts_and_no_secrets(spark):
+    texts = [f"session alpha_beta gammaDelta q8Zr2Lw9XtB4nV7cK1mS x{i} qwrtyuiopasdfghjklzx" for i in range(5)] + ["no such words: omega omega"] * 9
+    words = credentials.learn_identifiers(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).split()
+    assert set(words) == {"session", "alpha", "beta", "gamma", "Delta"}

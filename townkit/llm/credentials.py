@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from townkit.llm.shared import batch_of, id_and_text, small_batches
 
@@ -40,26 +41,51 @@ TAIL = re.compile(r"""(?:\\[nr]|[\s"'`+,;>|#*\\])*([A-Za-z0-9+/=_]{1,15})(?=(?:\
 
 @dataclass(frozen=True)
 class Novelty:
-    """before: characters of context on each side, in which a sensitive word counts; least: marginal compressed bytes a character."""
+    """before: characters of context on each side, in which a sensitive word counts; least: marginal compressed bytes a character, beside
+    `fixed` ones that any string takes; identifiers: the most words of the corpus that the dictionary takes (a documented bound); in_texts: the least texts with such a word."""
 
     before: int = 400
     least: float = 0.62
+    fixed: float = 1.0
+    identifiers: int = 2_000
+    in_texts: int = 3
 
 
-@lru_cache(1)
-def compressor():
+def learn_identifiers(docs: DataFrame, settings: Novelty = Novelty()) -> str:
+    """The corpus' own words for the compressor's dictionary: the words of 4 to 15 letters, alone or as parts of identifiers (between
+    signs, digits and humps), that most texts with a sensitive word hold, rarest first. Columns only, summed up before the shuffle; at
+    most settings.identifiers words come here.
+
+    A word is lower case but for its first letter and ends where its letters end. So no string that is long enough to be reported is
+    learnt, nor more than a few letters of a random one, however many copies of it there are.
+    """
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).where(F.lower("text").rlike("|".join(map(re.escape, SENSITIVE))))
+    parts = F.regexp_extract_all("text", F.lit(r"(?<![a-z])[a-z]{4,15}(?![a-z])|[A-Z][a-z]{3,14}(?![a-z])"), F.lit(0))
+    each = texts.select(F.explode(F.array_distinct(parts)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= settings.in_texts)
+    rows = each.orderBy(F.desc("n"), "word").limit(settings.identifiers).collect()
+    return " ".join(row["word"] for row in reversed(rows))
+
+
+@lru_cache(4)
+def compressor(learnt: str = ""):
     import zstandard
 
-    words = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words = zstandard.ZstdCompressionDict(f"{learnt} {IDENTIFIERS}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    words.precompute_compress(level=9)
     return zstandard.ZstdCompressor(level=9, dict_data=words, write_checksum=False, write_content_size=False)
 
 
-def marginal_bytes(context: str, candidate: str) -> int:
-    """Compressed bytes that the candidate adds after its context, with the identifier dictionary primed."""
-    zstd, base = compressor(), context.encode("utf-8", "replace")
+def marginal_bytes(context: str, candidate: str, learnt: str = "") -> int:
+    """Compressed bytes that the candidate adds after its context, with the identifier dictionaries primed."""
+    zstd, base = compressor(learnt), context.encode("utf-8", "replace")
     return len(zstd.compress(base + candidate.encode())) - len(zstd.compress(base))
 
 
+def around(text: str, start: int, end: int, settings: Novelty) -> str:
+    """The surrounding text on both sides of a span."""
+    return text[max(0, start - settings.before) : start] + "\n" + text[end : end + settings.before] + "\n"
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the patterns' matches, leftmost and non-overlapping for each kind."""
     found = []
@@ -72,8 +98,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]], settings: Novelty = Novelty()) -> list[tuple[int, int, int]]:
-    """Strings of 16 characters or more in sensitive context, outside base spans, that context and dictionary hardly compress.
+def novel_spans(text: str, base: list[tuple[int, int, int]], settings: Novelty = Novelty(), learnt: str = "") -> list[tuple[int, int, int]]:
+    """Strings of 16 characters or more in sensitive context, outside base spans, that context and dictionaries hardly compress.
 
     Strings that only line ends or quotes part, as the lines of a key, are in context together as long as each hardly compresses.
     """
@@ -90,8 +116,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], settings: Novelty =
         return k < len(words) and words[k] < end + settings.before
 
     def novel(start: int, end: int) -> bool:
-        context = text[max(0, start - settings.before) : start] + "\n" + text[end : end + settings.before] + "\n"
-        return marginal_bytes(context, text[start:end]) >= settings.least * (end - start)
+        return marginal_bytes(around(text, start, end, settings), text[start:end], learnt) >= settings.least * (end - start) + settings.fixed
 
     found: list[tuple[int, int, int]] = []
     for pattern in (CANDIDATE, SIGNED):
@@ -133,32 +158,41 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[kind]}:{start}:{end}" for start, kind, end in sorted(spans))
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("n_novel", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_novel", pa.int64()), ("added_bytes", pa.string())])
+FOUND_SQL = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, added_bytes string"
 
 
 def find_secrets(docs: DataFrame, settings: Novelty = Novelty()) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans for every whole text; spans are kind:start:end in code points.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, added_bytes for every whole text; spans are kind:start:end in code points.
 
-    A null text is empty and has no spans (the hash of the empty string); null ids stay null; repeated rows are all returned; further
-    columns are left out. One narrow pass without a shuffle.
+    added_bytes gives for each span, base ones too, the compressed bytes that it adds to its surroundings, as evidence; base spans stay
+    whatever these are. A null text is empty and has no spans (the hash of the empty string); null ids stay null; repeated rows are all
+    returned; very long texts are scanned whole; further columns are left out; an empty table gives an empty result. The dictionary is
+    learnt from all texts by one aggregate; the scan is a narrow pass.
     """
+    learnt = learn_identifiers(docs, settings)
 
     def scan(batches):
         for batch in batches:
             out = [[] for _ in FOUND]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = base_spans(text)
-                spans = base + novel_spans(text, base, settings)
+                spans = sorted(base + novel_spans(text, base, settings, learnt))
                 counts = [sum(kind == k for _, kind, _ in spans) for k in range(4)]
-                for column, value in zip(out, (doc_id, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)), strict=True):
+                added = ",".join(str(marginal_bytes(around(text, a, b, settings), text[a:b], learnt)) for a, _, b in spans)
+                for column, value in zip(out, (doc_id, *counts[:3], hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), counts[3], added), strict=True):
                     column.append(value)
             yield batch_of(FOUND, out)
 
-    return id_and_text(docs).mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return id_and_text(docs).mapInArrow(scan, FOUND_SQL)
 
 
 def redact(docs: DataFrame, mask: str = "[secret]", settings: Novelty = Novelty()) -> DataFrame:
-    """docs (text, and n_chars if there is one) with every span replaced by the mask; all other columns and rows as they are."""
+    """docs (text, and n_chars if there is one) with every span replaced by the mask; all other columns and rows as they are.
+
+    Null texts stay null, repeated rows are all masked alike, an empty table stays empty.
+    """
+    learnt = learn_identifiers(docs, settings)
     schema, text_at = docs.schema, docs.columns.index("text")
     count_at = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
@@ -170,7 +204,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", settings: Novelty = Novelty(
                 if not text:
                     continue
                 base = base_spans(text)
-                spans = sorted(base + novel_spans(text, base, settings))
+                spans = sorted(base + novel_spans(text, base, settings, learnt))
                 if not spans:
                     continue
                 parts, at = [], 0
