@@ -1,4 +1,7 @@
-"""The corpus pipeline: five stages, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+All stages take null, empty and very long texts, repeated rows, null ids and empty tables; the operators' docstrings say what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,27 @@ from townkit.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic (5)."""
+    """Documents that are not predicted toxic (5); null and empty texts get the score of no votes, repeated rows stay or go alike."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near copies (9)."""
+    """The row of the smallest id of each class of near copies (9), one of repeated rows; null texts and texts without words stay."""
     return jaccard.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item (7)."""
+    """Documents that hold no benchmark item (7); null texts and texts without words hold none."""
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked in their texts (10)."""
+    """All documents, with secrets masked in their texts (10); null texts stay null."""
     return credentials.redact(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes (6)."""
+    """Where each piece of each document goes (6); null and empty texts are the end id alone."""
     return packing.pack(docs)
 
 
