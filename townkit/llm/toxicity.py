@@ -240,13 +240,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         chosen += [row["doc_id"] for row in own if row["size"] <= settings.postings]
         about |= {row["doc_id"]: (toxic, row["total"] / len(own)) for row in own}
     wanted = counts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
-    picked = counts.join(F.broadcast(wanted), "doc_id").select("doc_id", "words", "counts").collect()  # at most 2 * settings.postings words
+    picked = counts.join(F.broadcast(wanted), "doc_id").select("doc_id", "words", "counts").toArrow()  # at most 2 * settings.postings words
     places: dict[str, int] = {}
     by_doc: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for doc_id, held, n in sorted(picked):
+    for k in np.argsort(picked.column("doc_id").to_numpy(), kind="stable").tolist():  # row by row: as Python strings they are many times larger
+        doc_id, held, n = (picked.column(c)[k].as_py() for c in range(3))
         t = np.array([places.setdefault(w, len(places)) for w in held], np.int64)
         rising = np.argsort(t)
         by_doc[doc_id] = (t[rising], np.array(n, float)[rising])
+    del picked
     ids = sorted(by_doc)
     toxic = np.array([about[i][0] for i in ids], np.int64)
 
@@ -260,10 +262,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
 
     shared = docs.sparkSession.sparkContext.broadcast(places)  # bounded by settings.postings
     summed = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    df = dict(summed.collect())  # a row a term
+    summed = summed.toArrow()  # a row a term
     shared.unpersist()
-    n_docs = df.get(-1) or 0
-    idf = np.log((1 + n_docs) / (1 + np.array([df.get(i, 0) for i in range(len(places))], float))) + 1
+    df = np.zeros(len(places) + 1)
+    df[summed.column("term").to_numpy()] = summed.column("n").to_numpy()  # the last is the number of documents
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     held = [np.bincount(np.concatenate([np.zeros(0, np.int64), *(by_doc[i][0] for i, y in zip(ids, toxic, strict=True) if y == label)]), minlength=len(places)).astype(float) for label in (1, 0)]
     weights = idf * relevance(*held, int(toxic.sum()), int((1 - toxic).sum()))
     index = Index(places, weights, np.array(ids, np.int64), toxic, np.array([about[i][1] for i in ids], float), settings)
