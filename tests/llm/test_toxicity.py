@@ -156,7 +156,7 @@ def test_nearest_is_exact(tables):
 def test_every_word_of_the_examples_is_a_term(tables):
     rows, docs, labels = tables
     index = toxicity.fit(docs, labels)
-    assert set(index.terms) == {w for i, t, _ in rows if i in set(index.example_ids.tolist()) for w in t.split()}
+    assert index.terms.tolist() == sorted(toxicity.word_hashes({w for i, t, _ in rows if i in set(index.example_ids.tolist()) for w in t.split()}).tolist())
     assert len(index.example_ids) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in rows)
     fewer = toxicity.fit(docs, labels, toxicity.Settings(postings=500))
     assert 10 < len(fewer.example_ids) < 60 and fewer.class_weight.min() > 1

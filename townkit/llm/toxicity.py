@@ -7,7 +7,6 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,19 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def word_hashes(found) -> np.ndarray:
+    """64-bit hashes, which stand for words: a worker holds no strings of the index."""
+    import xxhash
+
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64)
+
+
+def known_terms(terms: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the rising terms, whether each hash is there)."""
+    at = np.minimum(np.searchsorted(terms, hashes), max(0, len(terms) - 1))
+    return at, terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
+
+
 def spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """The whole numbers of all [start, stop), one after the other."""
     sizes = stops - starts
@@ -67,7 +79,7 @@ class Index:
     index of its own, so nothing in it is larger than the postings.
     """
 
-    terms: dict[str, int]
+    terms: np.ndarray  # the words' hashes, rising: a term is its place here
     weights: np.ndarray  # of the terms: idf times relevance
     example_ids: np.ndarray
     toxic: np.ndarray
@@ -146,7 +158,7 @@ class Index:
             row = self.entry_row[own]
             common, begin, end = row >= 0, self.posting_of[own], self.posting_of[own + 1]
             at = spans(begin, end)
-            cosine = factor[common] @ self.rows[b][row[common]] + np.bincount(self.member[at], np.repeat(factor, end - begin) * self.posted[at], size)
+            cosine = np.einsum("i,ij->j", factor[common], self.rows[b][row[common]]) + np.bincount(self.member[at], np.repeat(factor, end - begin) * self.posted[at], size)
             found = np.flatnonzero((cosine > 0) & (cosine >= last - 1e-12))
             place = found + b * size
             keep = place != skip
@@ -208,7 +220,7 @@ EXAMPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("total", p
 FREQUENCIES = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 #: Term counts of documents whose score a worker remembers.
-REMEMBERED = 20_000
+REMEMBERED = 4_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Index:
@@ -241,24 +253,30 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         about |= {row["doc_id"]: (toxic, row["total"] / len(own)) for row in own}
     wanted = counts.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
     picked = counts.join(F.broadcast(wanted), "doc_id").select("doc_id", "words", "counts").toArrow()  # at most 2 * settings.postings words
-    places: dict[str, int] = {}
-    by_doc: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for k in np.argsort(picked.column("doc_id").to_numpy(), kind="stable").tolist():  # row by row: as Python strings they are many times larger
+    held_words: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for k in range(picked.num_rows):  # row by row: as Python strings they are many times larger
         doc_id, held, n = (picked.column(c)[k].as_py() for c in range(3))
-        t = np.array([places.setdefault(w, len(places)) for w in held], np.int64)
-        rising = np.argsort(t)
-        by_doc[doc_id] = (t[rising], np.array(n, float)[rising])
+        held_words[doc_id] = (word_hashes(held), np.array(n, float))
     del picked
+    places = np.unique(np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in held_words.values())]))
+    by_doc: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for doc_id, (hashes, n) in held_words.items():
+        rising = np.argsort(hashes)
+        by_doc[doc_id] = (np.searchsorted(places, hashes[rising]), n[rising])
     ids = sorted(by_doc)
     toxic = np.array([about[i][0] for i in ids], np.int64)
 
     def frequencies(batches):
-        n, seen = 0, Counter()
+        n, seen = 0, np.zeros(len(shared.value), np.int64)
         for batch in batches:
+            found = []
             for text in batch.column(0).to_pylist():
-                n += 1
-                seen.update(shared.value.keys() & set(words(text)))
-        yield batch_of(FREQUENCIES, [[-1, *map(shared.value.__getitem__, seen)], [n, *seen.values()]])
+                at, known = known_terms(shared.value, word_hashes(set(words(text))))
+                found.append(at[known])
+            n += len(found)
+            seen += np.bincount(np.concatenate([np.zeros(0, np.int64), *found]), minlength=len(seen))
+        some = np.flatnonzero(seen)
+        yield batch_of(FREQUENCIES, [np.append(some, -1), np.append(seen[some], n)])
 
     shared = docs.sparkSession.sparkContext.broadcast(places)  # bounded by settings.postings
     summed = texts.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -281,10 +299,9 @@ class Scorer:
         self.index, self.known = index, {}
 
     def __call__(self, text: str) -> tuple[float, list[int], list[float]]:
-        terms = self.index.terms
         counted = Counter(words(text))
-        pairs = np.array([list(map(terms.get, counted, repeat(-1))), list(counted.values())], np.int64)
-        pairs = pairs[:, pairs[0] >= 0]
+        at, known = known_terms(self.index.terms, word_hashes(counted))
+        pairs = np.array([at[known], np.fromiter(counted.values(), np.int64, len(counted))[known]])
         pairs = pairs[:, np.argsort(pairs[0])]
         key = hashlib.blake2b(pairs.tobytes(), digest_size=16).digest()
         if key not in self.known:
