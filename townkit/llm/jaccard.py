@@ -44,8 +44,8 @@ class Join:
     small: int = 128
     coordinates: int = 128
     maybe: float = 0.6
-    block_sets: int = 2_048
-    block_shingles: int = 500_000
+    block_sets: int = 512
+    block_shingles: int = 250_000
 
     @property
     def runs(self) -> int:
