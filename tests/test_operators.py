@@ -1,5 +1,7 @@
 """Operators on small fixtures: order independence, one-field changes, borders, and failure states."""
 
+import random
+import re
 from datetime import date, datetime
 
 import pytest
@@ -96,6 +98,95 @@ def test_fuzzy_fold(spark):
     assert fold(COHORT) == fold(COHORT[::-1]) == expected
 
 
+def folded_by_hand(rows):
+    """From the rule on raw strings: (id, merged) of the survivors of rows (id, title, venue, start, url, venue_id, camp, programme)."""
+
+    def plain(s):
+        s = re.sub(r"[^a-z0-9]+", " ", (s or "").lower().replace("&", " and "))
+        return " ".join(w for w in s.split() if w not in ("a", "an", "the"))
+
+    def share(a, b):
+        return len(a & b) / len(a | b) if a and b else 0
+
+    def same(r, o):
+        if not r[3] or r[3] != o[3] or (r[5] and o[5] and r[5] != o[5]):
+            return False
+        if r[7] and r[7] == o[7]:
+            return True
+        v, w = plain(r[2]), plain(o[2])
+        near = v and w and (v == w or v in w or w in v or share(set(v.split()), set(w.split())) >= 0.75)
+        if r[4] and r[4] == o[4] and plain(r[1]) == plain(o[1]) and near:
+            return True
+        if r[6] or o[6] or any(re.search(r"(?i)\b(weekly|every\s+(?:mon|tue|wed|thu|fri|sat|sun)|term[- ]?time|class|lesson|session|club|course)\b", x[1]) for x in (r, o)):
+            return False
+        stop = {"the", "and", "for", "with", "at", "in", "of", "to", "a", "an"}
+        a, b = ({w for w in plain(x[1]).split() if len(w) > 1 and w not in stop} for x in (r, o))
+        return bool(near) and (plain(r[1]) == plain(o[1]) or (len(a) >= 3 and len(b) >= 3 and share(a, b) >= 0.8))
+
+    kept = []
+    for row in rows:
+        for k, (other, merged) in enumerate(kept):
+            if same(row, other):
+                first = row if (len(row[1]), -row[0]) > (len(other[1]), -other[0]) else other
+                kept[k] = (first, [*merged, (other if first is row else row)[0]])
+                break
+        else:
+            kept.append((row, []))
+    return sorted((r[0], merged) for r, merged in kept)
+
+
+FOLD_SCHEMA = "id long, title string, venue_name string, start string, event_url string, venue_id string, is_holiday_camp boolean, programme string"
+
+
+def test_fold_against_the_rule(spark):
+    r = random.Random(5)
+    words, venues = ["Story", "Time", "the", "Castle", "&", "Kids", "Fun", "on", "Weekly", "x"], [None, "", "Town Hall", "The Town Hall", "Old Town Hall Main Room", "Castle & Keep", "Castle and Keep Grounds East"]
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 5))), r.choice(venues), r.choice(["2024-05-01", "2024-05-02", None]), r.choice([None, "u1", "u2"]), r.choice([None, None, "v1", "v2"]), r.random() < 0.2, r.choice([None] * 9 + ["p"])) for i in range(400)]
+    found = identity.fuzzy_fold(spark.createDataFrame(rows, FOLD_SCHEMA).repartition(3), ["start"], ["id"])
+    assert sorted((x["id"], x["merged"]) for x in found.collect()) == folded_by_hand(rows)
+
+
+def test_fold_keeps_what_is_not_known_apart(spark):
+    """Rows without a venue, camps and recurring listings do not fold on alike titles."""
+
+    def fold(*rows):
+        return identity.fuzzy_fold(spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], FOLD_SCHEMA), ["start"], ["id"]).count()
+
+    day, hall = "2024-05-01", "Town Hall"
+    assert fold(("Story time", None, day, None, None, False, None), ("Story time", None, day, None, None, False, None)) == 2
+    assert fold(("Story time", hall, day, None, None, False, None), ("The story time", hall, day, None, None, False, None)) == 1
+    assert fold(("Story time", hall, day, None, None, True, None), ("Story time", hall, day, None, None, True, None)) == 2
+    assert fold(("Story time", hall, day, "u", None, True, None), ("Story time", hall, day, "u", None, True, None)) == 1
+    assert fold(("Chess club", hall, day, None, None, False, None), ("Chess club", hall, day, None, None, False, None)) == 2
+    assert fold(("One", None, day, None, None, True, "p"), ("Two", "Castle", day, None, None, True, "p")) == 1
+    assert fold(("Story time", hall, day, None, "a", False, None), ("Story time", hall, day, None, "b", False, None)) == 2
+    assert fold(("Story time", hall, None, None, None, False, None), ("Story time", hall, None, None, None, False, None)) == 2
+
+
+def test_the_whole_fuzzy_dedupe_query(spark):
+    from townkit.plans import listings as plans
+    from townkit.sources.tables import listings
+
+    rows = listings(spark, "/root/testdata/sf0.001").select("id", "title", F.concat(F.lit("Venue "), F.col("venue_id") % 20).alias("v"), "start", "end", "status").orderBy("start", "id").collect()
+    expected = folded_by_hand([(r["id"], r["title"], r["v"], (r["start"], r["end"], r["status"]), None, None, False, None) for r in rows])
+    assert sorted((x["id"], x["merged"]) for x in plans.fuzzy_dedupe(spark, "/root/testdata/sf0.001").collect()) == expected
+
+
+def test_votes_near_the_pole_and_at_the_distance(spark):
+    """Against all pairs; nearer than km counts, km itself does not."""
+    import math
+
+    def km(a, b):
+        la, lo, lb, lp = map(math.radians, (a[3], a[4], b[3], b[4]))
+        return 12742 * math.asin(min(1.0, math.sqrt(math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin((lp - lo) / 2) ** 2)))
+
+    r = random.Random(3)
+    rows = [("s", i // 2, i % 2, base + r.uniform(-1, 1), r.uniform(-3, 3)) for i, base in enumerate([0.0, 52.0, 66.0, 78.0] * 40)]
+    found = {(x["entry"], x["option"], x["votes"]) for x in ranking.neighbour_votes(spark.createDataFrame(rows, "source string, entry int, option int, lat double, lng double"), strict=False).collect()}
+    votes = {(a[1], a[2]): len({b[1] for b in rows if b[1] != a[1] and km(a, b) < 40}) for a in rows}
+    assert found == {(e, *max(((o, votes[e, o]) for o in (0, 1)), key=lambda x: (x[1], -x[0]))) for e in {row[1] for row in rows}}
+
+
 def test_best_per_key_breaks_ties_by_id(spark):
     rows = spark.createDataFrame([("k", 2, 5.0), ("k", 1, 5.0), ("k", 3, 4.0)], "key string, id int, score double")
     assert rows_of(identity.best_per_key(rows, "key", "score"), "key", "id") == [("k", 1)]
@@ -110,12 +201,30 @@ def test_round_robin_order(spark):
     assert [r["id"] for r in found.collect()] == [1, 2, 5, 3, 4]
 
 
-def test_allocation():
-    assert ranking.allocate({"a": 3, "b": 2}, 10, 1) == {"a": 3, "b": 2}
-    assert ranking.allocate({"a": 90, "b": 9, "c": 1}, 10, 1) == {"a": 8, "b": 1, "c": 1}
-    for total in range(1, 60):
-        given = ranking.allocate({"a": 50, "b": 20, "c": 3}, total, 1)
-        assert sum(given.values()) == max(total, 3)
+def given_by_hand(sizes, total, least):
+    """Of all ways to give whole parts: by the rule's own words, unit by unit, over a small table."""
+    n = sum(sizes.values())
+    if n <= total:
+        return dict(sizes)
+    low = {g: min(least, size) for g, size in sizes.items()}
+    parts = {g: max(low[g], total * size // n) for g, size in sizes.items()}
+    missing = total - sum(parts.values())
+    if missing >= 0:
+        first = sorted((g for g in sizes if parts[g] < sizes[g]), key=lambda g: (parts[g] * n - total * sizes[g], g))[:missing]
+        return {g: p + (g in first) for g, p in parts.items()}
+    units = sorted(((-u, g) for g, p in parts.items() for u in range(low[g] + 1, p + 1)))[:-missing]
+    return {g: p - sum(h == g for _, h in units) for g, p in parts.items()}
+
+
+@pytest.mark.parametrize(("sizes", "total", "least"), [({"a": 3, "b": 2}, 10, 1), ({"a": 90, "b": 9, "c": 1}, 10, 1), ({"a": 50, "b": 20, "c": 3}, 2, 1), ({"a": 50, "b": 50, "c": 3, "d": 2, "e": 2}, 11, 3), ({"a": 7, "b": 7, "c": 7}, 10, 0), ({"x": 1}, 1, 5)])
+def test_allocation(spark, sizes, total, least):
+    rows = spark.createDataFrame([(g, i) for g, n in sizes.items() for i in range(n)], "g string, i int")
+    found = {r["g"]: r["quota"] for r in ranking.allocation(rows, "g", total, least).collect()}
+    assert found == given_by_hand(sizes, total, least)
+    low = sum(min(least, n) for n in sizes.values())
+    assert sum(found.values()) == min(sum(sizes.values()), max(total, low)) and all(min(least, sizes[g]) <= found[g] <= sizes[g] for g in sizes)
+    drawn = ranking.stratified(rows, "g", "i", total, least)
+    assert {r["g"]: r["count"] for r in drawn.groupBy("g").count().collect()} == {g: n for g, n in found.items() if n}
 
 
 def test_greedy_diversity(spark):

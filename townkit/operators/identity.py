@@ -65,11 +65,10 @@ def mark_duplicates(rows: DataFrame, key: list[str], order: list[Column]) -> Dat
     return rows.withColumn("_n", n).withColumn("reason", F.when(F.col("_n") > 1, "duplicate")).drop("_n")
 
 
-def with_duplicate_ids(rows: DataFrame, key: str, id_column: str = "id", most: int = 100) -> DataFrame:
-    """key, id (the least), n, and the `most` least other ids in order: the first hundred, so that no key's list is unbounded."""
-    ranked = rows.select(key, id_column).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(id_column)))
-    listed = ranked.where(F.col("_n") <= most + 1).groupBy(key).agg(F.min(id_column).alias("id"), F.sort_array(F.collect_list(F.when(F.col("_n") > 1, F.col(id_column)))).alias("others"))
-    return listed.join(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")), key)
+def duplicate_members(rows: DataFrame, key: str, id_column: str = "id") -> DataFrame:
+    """key, id (the least of the key) and other: a row for each further id of a key, all of them, so that no key's list is unbounded."""
+    least = rows.groupBy(key).agg(F.min(id_column).alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return rows.select(key, F.col(id_column).alias("other")).join(least, key).where(F.col("other") != F.col("_least")).select(key, F.col("_least").alias("id"), "other")
 
 
 def reuse_keys(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -110,38 +109,65 @@ def near_titles(rows: DataFrame, threshold: float = 0.6, least: int = 4) -> Data
     return found.withColumn("similarity", text.jaccard(F.col("x"), F.col("_w"))).where(F.col("similarity") >= threshold).select("id", "first_id", "similarity")
 
 
+#: Words that do not tell listings' titles apart, and what marks a listing that comes again and again.
+FOLD_STOP_WORDS = ("a", "an", "and", "at", "for", "in", "of", "the", "to", "with")
+RECURRING = r"\b(weekly|every\s+(mon|tue|wed|thu|fri|sat|sun)|term[- ]?time|class|lesson|session|club|course)\b"
+
+
 def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame:
     """Survivors of listings that mean the same, by a fold in order within each block; adds `merged`, the ids that each took in.
 
-    A row joins the first survivor with a similar venue (equal, one in the other, or words 0.75 alike) and title (equal, or both of three
-    words and 0.8 alike). The longer title survives, then the smaller id. Each comparison needs the survivors so far, so a block, which
-    holds only rows of equal times, prices and ages, is folded in one task. rows: id, title, venue_name, and the block's columns.
+    block: the start first (rows without one stay apart), then what else must be equal, such as end, time, age and price. A row joins
+    the first survivor that it may be the same as. Both need a venue: equal, one in the other, or 0.75 of the words alike; of two
+    venue_ids only equal ones. Then either url and title are equal, or the titles are equal or, with three words each, 0.8 alike; the
+    latter never for holiday camps and listings that recur. Rows of one reviewed programme are the same without any of that. The longer
+    title survives, then the smaller id. rows: id, title, venue_name, the block's columns, and where they are known event_url,
+    description, recurrence, venue_id, is_holiday_camp, programme. Each comparison needs the survivors so far: a block is folded in one task.
     """
-    schema = rows.select("id", "title", "venue_name", *block).schema
-    out = T.StructType([*schema.fields, T.StructField("merged", T.ArrayType(T.LongType()))])
-
-    def words(value: str) -> set[str]:
-        return set(value.split()) - set(text.STOP_WORDS)
-
-    def alike(a: set[str], b: set[str]) -> float:
-        return len(a & b) / len(a | b) if a | b else 0.0
-
-    def fold(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        for row in rows:
-            title, venue = (" ".join("".join(c if c.isalnum() else " " for c in str(row[k] or "").lower()).split()) for k in ("title", "venue_name"))
-            row |= {"_t": title, "_v": venue, "merged": []}
-            for other in kept:
-                same_venue = venue == other["_v"] or (venue and other["_v"] and (venue in other["_v"] or other["_v"] in venue)) or alike(words(venue), words(other["_v"])) >= 0.75
-                a, b = words(title), words(other["_t"])
-                if same_venue and (title == other["_t"] or (len(a) >= 3 and len(b) >= 3 and alike(a, b) >= 0.8)):
-                    winner, loser = (row, other) if (-len(row["title"] or ""), row["id"]) < (-len(other["title"] or ""), other["id"]) else (other, row)
-                    winner["merged"] = [*other["merged"], *row["merged"], loser["id"]]
-                    kept[kept.index(other)] = winner
-                    break
-            else:
-                kept.append(row)
-        return kept
+    kept_columns = ["id", "title", "venue_name", *block]
+    out = T.StructType([*rows.select(*kept_columns).schema.fields, T.StructField("merged", T.ArrayType(T.LongType()))])
+
+    def known(name: str, other: str = "") -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(other)) if name in rows.columns else F.lit(other)
+
+    title, venue = text.norm_title(F.col("title")), text.norm_title(F.col("venue_name"))
+    recurs = (F.lower(known("recurrence")) == "recurring") | F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), known("description"))).rlike(RECURRING)
+    words = F.array_except(F.filter(F.split(title, " "), lambda w: F.length(w) > 1), F.array(*map(F.lit, FOLD_STOP_WORDS)))
+    prepared = rows.select(
+        *kept_columns, title.alias("_title"), F.array_distinct(words).alias("_words"), venue.alias("_venue"), F.array_distinct(F.split(venue, " ")).alias("_venue_words"),
+        known("event_url").alias("_url"), known("venue_id").alias("_venue_id"), known("programme").alias("_programme"), (recurs | (known("is_holiday_camp", "false") == "true")).alias("_exact"),
+        (F.coalesce(F.col(block[0]).cast("string"), F.lit("")) != "").alias("_dated"),
+    )
+
+    def alike(a: list[str], b: list[str]) -> float:
+        shared = len(set(a) & set(b))
+        return shared / (len(a) + len(b) - shared)
+
+    def same(a: dict, b: dict) -> bool:
+        if not a["_dated"] or (a["_venue_id"] and b["_venue_id"] and a["_venue_id"] != b["_venue_id"]):
+            return False
+        if a["_programme"] and a["_programme"] == b["_programme"]:
+            return True
+        v, w = a["_venue"], b["_venue"]
+        if not v or not w or not (v in w or w in v or alike(a["_venue_words"], b["_venue_words"]) >= 0.75):
+            return False
+        if a["_title"] == b["_title"] and ((a["_url"] and a["_url"] == b["_url"]) or not (a["_exact"] or b["_exact"])):
+            return True
+        x, y = a["_words"], b["_words"]
+        return not (a["_exact"] or b["_exact"]) and min(len(x), len(y)) >= 3 and alike(x, y) >= 0.8
+
+    def fold(records: list[dict]) -> list[dict]:
+        survivors: list[dict] = []
+        for row in records:
+            row["merged"] = []
+            place = next((k for k, other in enumerate(survivors) if same(row, other)), None)
+            if place is None:
+                survivors.append(row)
+                continue
+            winner, loser = sorted((row, survivors[place]), key=lambda r: (-len(r["title"] or ""), r["id"]))
+            winner["merged"] = [*survivors[place]["merged"], *([] if row is survivors[place] else row["merged"]), loser["id"]]
+            survivors[place] = winner
+        return survivors
 
     def fold_blocks(batches):
         records = (row for batch in batches for row in batch.to_pylist())
@@ -150,5 +176,5 @@ def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame
 
     out_arrow = to_arrow_schema(out)
     # blocks stand together in a partition and are read one after another
-    dealt = rows.select("id", "title", "venue_name", *block).repartition(*block).sortWithinPartitions(*block, *(c for c in order if c not in block))
+    dealt = prepared.repartition(*block).sortWithinPartitions(*block, *(c for c in order if c not in block))
     return dealt.mapInArrow(fold_blocks, out)

@@ -109,37 +109,34 @@ def greedy_rounds(kept: DataFrame, count: int) -> DataFrame:
     return kept.sparkSession.createDataFrame(out, f"place int, id {dict(kept.dtypes)['id']}, adjusted double")
 
 
-def allocate(sizes: dict, total: int, least: int) -> dict:
-    """Rows for each stratum: in proportion, at least `least` of each, summing to `total`; ties by the strata's order."""
-    n = sum(sizes.values())
-    if n <= total:
-        return dict(sizes)
-    floors = {g: min(least, s) for g, s in sizes.items()}
-    given = {g: min(s, max(floors[g], total * s // n)) for g, s in sizes.items()}
-    while sum(given.values()) > total:
-        over = [g for g in given if given[g] > floors[g]]
-        if not over:
-            break
-        given[max(over, key=lambda g: given[g])] -= 1
-    while sum(given.values()) < total:
-        room = [g for g in given if given[g] < sizes[g]]
-        given[max(room, key=lambda g: sizes[g] * total / n - given[g])] += 1
-    return given
-
+def allocation(rows: DataFrame, stratum: str, total: int, least: int) -> DataFrame:
+    """stratum, size, quota: how many of `total` samples each stratum gives, in columns over the strata's sizes.
 
-def stratified(rows: DataFrame, stratum: str, key: str, total: int, least: int = 1, seed: int = 7, strata: int = 10_000) -> DataFrame:
+    All rows if there are no more than `total`. Else a stratum's part is its share, rounded down, but `least` (or its size) at least.
+    What is then missing goes to the greatest remainders, one each; what is too much is taken from the highest parts, one by one, down
+    to no less than the least. Ties: the stratum that sorts first. Windows see one row a stratum, and one row for each unit too many.
+    """
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("size"))
+    whole = Window.partitionBy()  # a row a stratum
+    sizes = sizes.withColumn("_n", F.sum("size").over(whole)).withColumn("_least", F.least(F.lit(least), "size"))
+    part = F.when(F.col("_n") <= total, F.col("size")).otherwise(F.greatest("_least", F.floor(F.lit(total) * F.col("size") / F.col("_n"))))
+    parts = sizes.withColumn("_part", part).withColumn("_over", F.sum("_part").over(whole) - F.least(F.lit(total), "_n"))
+    remainder = F.lit(total) * F.col("size") - F.col("_part") * F.col("_n")
+    by_remainder = F.row_number().over(whole.orderBy(F.desc(F.when(F.col("_part") < F.col("size"), remainder)), stratum))
+    parts = written(parts.withColumn("_given", F.when(by_remainder <= -F.col("_over"), 1).otherwise(0)), "parts")
+    units = parts.where("_over > 0 AND _part > _least").select(stratum, "_over", F.explode(F.expr("sequence(_least + 1, _part)")).alias("_unit"))
+    taken = units.withColumn("_place", F.row_number().over(whole.orderBy(F.desc("_unit"), stratum))).where("_place <= _over").groupBy(stratum).agg(F.count(F.lit(1)).alias("_taken"))
+    return parts.join(taken, stratum, "left").select(stratum, "size", (F.col("_part") + F.col("_given") - F.coalesce("_taken", F.lit(0))).alias("quota"))
+
+
+def stratified(rows: DataFrame, stratum: str, key: str, total: int, least: int = 1, seed: int = 7) -> DataFrame:
     """`total` rows of all strata: each gets its allocation, and gives the rows of the least hash of seed and key.
 
-    Only the sizes of the strata come to the driver; more than `strata` of them raise.
+    No stratum gives more than `total` rows, so only so many of each leave a task.
     """
-    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).orderBy(stratum).limit(strata + 1).collect()
-    if len(sizes) > strata:
-        raise ValueError(f"more than {strata} strata")
-    given = allocate({r[stratum]: r["n"] for r in sizes}, total, least)
-    spark = rows.sparkSession
-    quota = spark.createDataFrame([(g, n) for g, n in given.items()], f"{stratum} {dict(rows.dtypes)[stratum]}, quota long")
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key)))
-    return rows.join(F.broadcast(quota), stratum).withColumn("draw", place).where(F.col("draw") <= F.col("quota")).drop("quota")
+    quota = allocation(rows, stratum, total, least).select(stratum, "quota")
+    drawn = dense_order(rows, [stratum], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], "draw").where(F.col("draw") <= total)
+    return drawn.join(quota, stratum).where(F.col("draw") <= F.col("quota")).drop("quota")
 
 
 def every(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
@@ -150,20 +147,27 @@ def every(rows: DataFrame, group: list[str], order: list[Column], most: int) ->
 
 
 def neighbour_votes(candidates: DataFrame, km: float = 40.0, strict: bool = True) -> DataFrame:
-    """entry, option of the best candidate point of each entry: the one that most other entries of the source have a candidate near.
+    """entry, option of the best candidate point of each entry: the one that most other entries of the source have a candidate nearer than km.
 
-    candidates: source, entry, option, lat, lng. Points meet through half-degree cells, so only neighbours are compared. strict drops
-    entries of several options whose best is tied or has no votes; else the first option wins.
+    candidates: source, entry, option, lat, lng. Points meet through cells, so only neighbours are compared: bands of latitude, each cut
+    into cells as wide as km is long at the poleward edge of the band beyond. strict drops entries of several options whose best is tied
+    or has no votes; else the first option wins.
     """
     from townkit.functions import geo
 
     size = km / 111.0
-    home = candidates.withColumns({"_y": F.floor(F.col("lat") / size), "_x": F.floor(F.col("lng") / (2 * size))})
+
+    def width(band: Column) -> Column:
+        edge = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
+        return F.least(F.lit(360.0), size / F.cos(F.radians(edge)))
+
+    home = candidates.withColumn("_y", F.floor(F.col("lat") / size)).withColumn("_x", F.floor(F.col("lng") / width(F.col("_y"))))
     around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    asked = home.withColumn("_d", F.explode(around)).select(
-        "source", F.col("entry").alias("e"), F.col("option").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"), (F.col("_y") + F.col("_d.dy")).alias("_y"), (F.col("_x") + F.col("_d.dx")).alias("_x")
+    asked = home.withColumn("_d", F.explode(around)).withColumn("_band", F.col("_y") + F.col("_d.dy")).select(
+        "source", F.col("entry").alias("e"), F.col("option").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"),
+        F.col("_band").alias("_y"), (F.floor(F.col("lng") / width(F.col("_band"))) + F.col("_d.dx")).alias("_x"),
     )
-    near = asked.join(home, ["source", "_y", "_x"]).where((F.col("e") != F.col("entry")) & (geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")) <= km))
+    near = asked.join(home, ["source", "_y", "_x"]).where((F.col("e") != F.col("entry")) & (geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")) < km))
     votes = near.groupBy("source", "e", "o").agg(F.count_distinct("entry").alias("votes"))
     scored = candidates.join(votes.select("source", F.col("e").alias("entry"), F.col("o").alias("option"), "votes"), ["source", "entry", "option"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
     group = Window.partitionBy("source", "entry")

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where it is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a local one only where it is unset and driver and executors are one machine, as in tests."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="townkit-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")

@@ -146,7 +146,7 @@ def page_host_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT source, entry, option, votes FROM (
   WITH c AS (SELECT council AS source, id // 3 AS entry, id % 3 AS option, lat, lng FROM venues),
-  v AS (SELECT a.source, a.entry, a.option, count(DISTINCT b.entry) FILTER (WHERE b.entry <> a.entry AND {km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 40)::BIGINT AS votes FROM c a JOIN c b USING (source) GROUP BY 1, 2, 3),
+  v AS (SELECT a.source, a.entry, a.option, count(DISTINCT b.entry) FILTER (WHERE b.entry <> a.entry AND {km_sql('a.lat', 'a.lng', 'b.lat', 'b.lng')} < 40)::BIGINT AS votes FROM c a JOIN c b USING (source) GROUP BY 1, 2, 3),
   w AS (SELECT *, count(*) OVER g AS options, max(votes) OVER g AS top, row_number() OVER (PARTITION BY source, entry ORDER BY votes DESC, option) AS n FROM v WINDOW g AS (PARTITION BY source, entry)),
   x AS (SELECT *, sum(CASE WHEN votes = top THEN 1 ELSE 0 END) OVER (PARTITION BY source, entry) AS tied FROM w)
   SELECT * FROM x WHERE n = 1 AND (options = 1 OR (votes > 0 AND tied = 1)))""", VENUES)

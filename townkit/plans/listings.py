@@ -79,10 +79,10 @@ def keep_first_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.groupBy("kind").agg(F.count(F.when(F.col("reason").isNull(), 1)).alias("kept"), F.count("reason").alias("duplicates"))
 
 
-@query("SELECT url, min(id) AS id, array_to_string(list(id ORDER BY id)[2:101], ',') AS others, count(*)::BIGINT AS n FROM listings GROUP BY url", LISTINGS)
+@query("SELECT url, first_id AS id, id AS other FROM (SELECT url, id, min(id) OVER (PARTITION BY url) AS first_id FROM listings WHERE url IS NOT NULL) WHERE id <> first_id", LISTINGS)
 def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identity.with_duplicate_ids(listings(spark, sf_dir).select("id", "url"), "url")
-    return found.select("url", "id", F.array_join(F.col("others").cast("array<string>"), ",").alias("others"), "n")
+    """Every further id of a url beside its first."""
+    return identity.duplicate_members(listings(spark, sf_dir).select("id", "url"), "url")
 
 
 @query("SELECT count(*)::BIGINT AS groups, sum(n)::BIGINT AS rows FROM (SELECT count(*) AS n FROM listings GROUP BY venue_id, title HAVING count(*) > 1)", LISTINGS)

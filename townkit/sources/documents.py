@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose text is not content, elements that end a line, and elements without an end tag.
-BOILERPLATE = ("script", "style", "nav", "header", "footer", "aside", "noscript", "template", "form")
+BOILERPLATE = ("script", "style", "noscript", "svg", "iframe", "form", "nav", "footer")
 BLOCKS = ("p", "div", "section", "article", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "title")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
@@ -30,7 +30,7 @@ class PageReader(HTMLParser):
     def __init__(self, base: str = ""):
         super().__init__(convert_charrefs=True)
         self.base, self.skip, self.parts, self.links, self.rows, self.scripts = base, [], [], [], [], []
-        self.title, self.heading, self._in, self._script, self._href, self._cell = "", "", "", None, None, None
+        self.title, self.heading, self._in, self._script, self._href, self._cell, self._label = "", "", "", None, None, None, False
 
     def handle_starttag(self, tag, attrs):
         values = dict(attrs)
@@ -47,7 +47,7 @@ class PageReader(HTMLParser):
         if tag in ("title", "h1"):
             self._in = tag
         if tag == "a" and values.get("href"):
-            self._href = self.links[-1]
+            self._href, self._label = self.links[-1], False
         if tag == "tr":
             self.rows.append([])
         if tag in ("td", "th"):
@@ -68,7 +68,8 @@ class PageReader(HTMLParser):
         if tag == self._in:
             self._in = ""
         if tag == "a" and self._href:
-            self.parts.append(f" [{self._href}] ")
+            if self._label:  # a link without words has no address in the text
+                self.parts.append(f" [{self._href}] ")
             self._href = None
         if tag in ("td", "th") and self._cell is not None and self.rows:
             self.rows[-1].append(" ".join("".join(self._cell).split()))
@@ -80,6 +81,7 @@ class PageReader(HTMLParser):
         if self.skip:
             return
         self.parts.append(data)
+        self._label = self._label or bool(data.strip())
         if self._cell is not None:
             self._cell.append(data)
         if self._in == "title":
