@@ -109,7 +109,7 @@ def status_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT p_brand, count(*) AS size FROM part GROUP BY 1),
   p AS (SELECT *, sum(size) OVER () AS n, least(1, size) AS least FROM s),
   q AS (SELECT *, CASE WHEN n <= 60 THEN size ELSE greatest(least, 60 * size // n) END AS part FROM p),
-  o AS (SELECT *, sum(part) OVER () - least(60, n) AS over FROM q),
+  o AS (SELECT p_brand, size::BIGINT AS size, n::BIGINT AS n, least::BIGINT AS least, part::BIGINT AS part, (sum(part) OVER () - least(60, n))::BIGINT AS over FROM q),
   g AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY CASE WHEN part < size THEN 60 * size - part * n END DESC NULLS LAST, p_brand) <= -over THEN 1 ELSE 0 END AS given FROM o),
   u AS (SELECT p_brand, over, unnest(range(least + 1, part + 1)) AS unit FROM o WHERE over > 0 AND part > least),
   t AS (SELECT p_brand, count(*) AS taken FROM (SELECT *, row_number() OVER (ORDER BY unit DESC, p_brand) AS place FROM u) WHERE place <= over GROUP BY 1)
