@@ -121,3 +121,10 @@ def test_change_feed_versions_are_idempotent(spark, tmp_path):
     whole = current_items(events.select(F.get_json_object("props", "$.k").cast("int").alias("item"), "event_id"), "item", "event_id", F.lit(False))
     found = spark.read.parquet(f"{tmp_path}/v1")
     assert sorted(map(tuple, found.select("item", "event_id").collect())) == sorted(map(tuple, whole.select("item", "event_id").collect()))
+
+
+def test_what_of_a_page_is_text():
+    """Headers, asides and templates are content; menus, footers, forms, frames and drawings are not; a link's address follows its words."""
+    html = """<header>Top</header><nav>Menu</nav><aside>Side</aside><svg><text>drawn</text></svg><iframe>frame</iframe><template>kept</template>
+      <form>ask</form><p>See <a href="/a">this  page</a> and <a href="/b"><img src="x"></a>now</p><footer>End</footer><script>x()</script><noscript>none</noscript><style>p{}</style>"""
+    assert " ".join(documents.read_page(html, "https://h.example/x").text.split()) == "Top Side kept See this page [https://h.example/a] and now"

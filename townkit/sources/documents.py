@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 #: Elements whose text is not content, elements that end a line, and elements without an end tag.
 BOILERPLATE = ("script", "style", "noscript", "svg", "iframe", "form", "nav", "footer")
-BLOCKS = ("p", "div", "section", "article", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "title")
+BLOCKS = ("p", "div", "section", "article", "header", "aside", "main", "template", "li", "tr", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "title")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
 
 
