@@ -1,3 +1,3 @@
 """Loads every module that registers queries."""
 
-from townkit.plans import directory, listings, news, offers, places, reports, signals, values  # noqa: F401
+from townkit.plans import collection, directory, listings, news, offers, places, reports, signals, values  # noqa: F401
