@@ -211,3 +211,30 @@ def read_events(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(out, schema=EVENTS)
 
     return pages.select("page_id", "url", "html").mapInArrow(read, "page_id long, place_in_page long, name string, start string, end string, place string, url string")
+
+
+def _records(rows: DataFrame, key: str, column: str, parse, fields: tuple[str, ...], numbered: bool) -> DataFrame:
+    """key and fields of what parse makes of each document, with its place in the document where there can be several."""
+    schema = pa.schema([(key, pa.int64()), *([("place", pa.int32())] if numbered else []), *((f, pa.string()) for f in fields)])
+
+    def read(batches):
+        for batch in batches:
+            out = [
+                {key: k, "place": at, **record}
+                for k, document in zip(*(c.to_pylist() for c in batch.columns), strict=True)
+                for at, record in enumerate(parse(document))
+            ]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    columns = ", ".join([f"{key} long", *(["place int"] if numbered else []), *(f"`{f}` string" for f in fields)])
+    return rows.select(F.col(key).cast("long"), column).mapInArrow(read, columns)
+
+
+def read_feeds(feeds: DataFrame, key: str, xml: str) -> DataFrame:
+    """key, place, title, link, published, summary of the first items of each RSS or Atom feed; null and broken feeds have none."""
+    return _records(feeds, key, xml, feed_items, ("title", "link", "published", "summary"), True)
+
+
+def read_calendars(calendars: DataFrame, key: str, ics: str) -> DataFrame:
+    """key, summary, start, end, place of each calendar with one timed event; null, recurring and all-day ones have none."""
+    return _records(calendars, key, ics, lambda text: [e] if (e := calendar_event(text)) else [], ("summary", "start", "end", "place"), False)
