@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from townkit.llm import contamination, credentials, frames, hosts, jaccard, packing, suffixes, tokens, toxicity, vectors
+from townkit.llm import contamination, credentials, frames, hosts, jaccard, mixing, packing, periods, suffixes, tokens, toxicity, treaps, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_array_dedup, op3_token_counts, op4_embedding_near_dedup, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans)}
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(periods.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_suffix_array_dedup, op3_token_counts, op4_embedding_near_dedup, op5_toxicity, op6_best_fit_packing, op7_benchmark_decontamination, op8_token_frames, op9_ngram_jaccard_join, op10_secret_scans, op11_ranked_search, op12_source_mixing, op13_periodic_runs)}
 
 #: The reputation of op1 in SQL: the same moment estimates and posteriors.
 OP1_SQL = r"""
@@ -117,4 +129,39 @@ SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, (SELECT
        vec_id = (SELECT min(b) FROM reach WHERE a = vec_id) AS kept FROM embeddings
 """
 
-ORACLE_SQL = {"op4_embedding_near_dedup": OP4_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
+#: Every score of every item and document, by the same whole numbers.
+OP11_SQL = r"""
+WITH cut AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+asked AS (SELECT DISTINCT i, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark)),
+stats AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS l FROM cut WHERE len(w) > 0),
+held AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM cut) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM held, stats GROUP BY term),
+impacts AS (SELECT r, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // l))) AS impact FROM held JOIN weights USING (term), stats),
+scores AS (SELECT i, item_id, r, doc_id, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING sum(impact) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores
+QUALIFY row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) <= 50
+"""
+
+#: The level of the targets by rounds, and each pass by running totals in the order of the same hash.
+OP12_SQL = r"""
+WITH RECURSIVE sizes AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS h FROM documents),
+sources AS (SELECT source, size, 3 * size AS stop, ([5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, sum(size)::BIGINT AS size FROM sizes GROUP BY source)),
+level(i, x) AS (
+  SELECT 0, (SELECT sum(size)::BIGINT / sum(w)::BIGINT FROM sources)
+  UNION ALL
+  SELECT i + 1, ((SELECT sum(size) FROM sources) - coalesce((SELECT sum(stop) FROM sources WHERE stop < w * x), 0))::BIGINT / ((SELECT sum(w) FROM sources) - coalesce((SELECT sum(w) FROM sources WHERE stop < w * x), 0))::BIGINT FROM level WHERE i < 30),
+planned AS (SELECT source, size AS source_size, CASE WHEN stop < w * x THEN stop::DOUBLE ELSE w * x END AS target FROM sources, (SELECT x FROM level ORDER BY i DESC LIMIT 1)),
+p0 AS (SELECT r, doc_id, s.size, s.h, p.source, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS times, target - times * source_size AS open, false AS more
+       FROM sizes s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source),
+PASSES
+SELECT doc_id, size, source_size, target, (size * (times + more::INT))::BIGINT AS taken FROM p5
+"""
+#: One pass: of what is not taken and (but for the first pass) fits, the rows whose running total stays within what is open.
+OP12_PASS = """
+q{n} AS (SELECT r, CASE WHEN {fits} AND open > target * 0.001 AND NOT more THEN sum(CASE WHEN {fits} AND NOT more THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h) END AS upto FROM p{n}),
+p{next} AS (SELECT p{n}.* REPLACE (more OR coalesce(upto <= open, false) AS more, open - coalesce(sum(CASE WHEN upto <= open THEN size END) OVER (PARTITION BY source), 0) AS open) FROM p{n} JOIN q{n} USING (r))"""
+OP12_SQL = OP12_SQL.replace("PASSES", ",".join(OP12_PASS.format(n=n, next=n + 1, fits="size <= open" if n else "true") for n in range(5)))
+
+ORACLE_SQL = {"op11_ranked_search": OP11_SQL, "op12_source_mixing": OP12_SQL, "op4_embedding_near_dedup": OP4_SQL, "op9_ngram_jaccard_join": OP9_SQL, "op1_url_filters": OP1_SQL, "op7_benchmark_decontamination": OP7_SQL}
