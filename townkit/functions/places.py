@@ -17,6 +17,12 @@ def normalise_postcode(value: Column) -> Column:
     return F.when(F.length(compact) >= 5, F.regexp_replace(compact, r"(.{3})$", " $1")).otherwise(compact)
 
 
+def stated_postcode(value: Column) -> Column:
+    """As normalise_postcode, but only white space is taken out; empty if there is none."""
+    compact = F.regexp_replace(F.upper(F.coalesce(value, F.lit(""))), r"\s+", "")
+    return F.when(F.length(compact) >= 5, F.regexp_replace(compact, r"(.{3})$", " $1")).otherwise(compact)
+
+
 def find_postcode(text: Column) -> Column:
     found = F.regexp_extract(F.upper(F.coalesce(text, F.lit(""))), rf"\b{POSTCODE}\b", 0)
     return F.when(found != "", normalise_postcode(found))
