@@ -311,13 +311,6 @@ def test_worth_having(spark, saving, pct, ok):
     assert spark.range(1).select(eligibility.worth_having(F.lit(saving), F.lit(pct)).alias("v")).collect()[0]["v"] is ok
 
 
-@pytest.mark.parametrize(("term", "title", "hit"), [("party", "kids parties", True), ("toy", "toys", True), ("toy", "toyota", False), ("dress", "dresses", False), ("shoes", "a shoe", True), ("shoes", "shoehorn", False), ("shoes", "red shoes!", True)])
-def test_terms(spark, term, title, hit):
-    df = spark.createDataFrame([(1, title)], "id int, title string")
-    terms = spark.createDataFrame([("x", term)], "item string, term string")
-    assert (eligibility.match_terms(df, terms).count() == 1) is hit
-
-
 # merges
 
 

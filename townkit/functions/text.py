@@ -50,6 +50,12 @@ def norm_terms(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9&+ ]", " "), " +", " "))
 
 
+def norm_listing(value: Column) -> Column:
+    """Lower case, apostrophes removed, signs that part words as spaces; other signs stay. Null is empty."""
+    plain = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"['’]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-_/|,:;()\[\]&+]+", " "), r"\s+", " "))
+
+
 def category_slug(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), r"[\s&-]+", "_")
 

@@ -1,11 +1,11 @@
-"""Rules over offers and items: reasons, applicability, term matching, counters."""
+"""Rules over offers and items: reasons, applicability, counters."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townkit.functions import text, urls
+from townkit.functions import urls
 
 
 def first_reason(*rules: tuple[str, Column]) -> Column:
@@ -55,32 +55,3 @@ def offer_score(today: str) -> Column:
 def reason_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     """reason, n: reasons without what follows a colon, with the kept rows as 'kept'."""
     return rows.groupBy(F.coalesce(F.regexp_extract(reason, r"^[^:]*", 0), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def term_pattern(term: Column) -> Column:
-    """A pattern of a term between word borders: plural or not, a final y or s that may change."""
-    plain = text.norm_terms(term)
-    stem = F.when(plain.rlike(r"[^aeiou]y$"), F.concat(F.regexp_replace(plain, "y$", ""), F.lit("(?:y|ies)"))).when(plain.endswith("s"), F.concat(plain, F.lit("?"))).otherwise(F.concat(plain, F.lit("(?:s|es)?")))
-    return F.concat(F.lit(r"(^|[^a-z0-9])"), stem, F.lit(r"($|[^a-z0-9])"))
-
-
-def match_terms(rows: DataFrame, terms: DataFrame, title: str = "title", most_terms: int = 5_000) -> DataFrame:
-    """id, item, term of the longest term that each title holds, ties by the term. terms: item, term.
-
-    A taxonomy is small: more than most_terms raises. Titles repeat, so each distinct title is matched once, against one pattern list.
-    """
-    if terms.limit(most_terms + 1).count() > most_terms:
-        raise ValueError(f"more than {most_terms} terms")
-    compiled = terms.select("item", "term", term_pattern(F.col("term")).alias("pattern"))
-    titles = rows.select(title).distinct()
-    hits = titles.join(F.broadcast(compiled), F.expr(f"lower({title}) RLIKE pattern"))
-    best = hits.groupBy(title).agg(F.min_by(F.struct("item", "term"), F.struct((-F.length("term")).alias("n"), "term", "item")).alias("_m"))
-    return rows.join(best, title).select("id", "_m.item", "_m.term")
-
-
-def excluded(rows: DataFrame, exclusions: DataFrame, child_signal: Column, title: str = "title") -> DataFrame:
-    """id, reason of rows that an exclusion term hits: hard ones always, soft ones unless the row is for children. exclusions: term, hard, reason."""
-    compiled = exclusions.select(term_pattern(F.col("term")).alias("pattern"), "hard", F.col("reason").alias("why"), "term")
-    marked = rows.withColumn("_child", child_signal)
-    hits = marked.join(F.broadcast(compiled), F.expr(f"lower({title}) RLIKE pattern AND (hard OR NOT _child)"))
-    return hits.groupBy("id").agg(F.min_by("why", F.struct("hard", "term")).alias("reason"))

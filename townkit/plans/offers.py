@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townkit.functions import money
-from townkit.operators import eligibility, identity, ranking
+from townkit.operators import eligibility, identity, programme, ranking, rules, terms
 from townkit.plans.registry import query
 from townkit.sources.tables import OFFERS, offers, read
 
@@ -57,24 +57,63 @@ def dim_inner_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.join(active, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("p_type").alias("grp")).agg(F.sum("n").alias("n"), F.round(F.sum("s") / F.sum("n"), 4).alias("mean"))
 
 
-TERMS = [("toys", "widget"), ("toys", "red widget"), ("rings", "ring"), ("bolts", "bolt"), ("small", "small ring"), ("gear", "gear"), ("gear", "blue gear")]
+TERMS = [("toys", "widget; red widget"), ("rings", "rings"), ("bolts", "bolt"), ("small", "small ring"), ("gear", "gear;blue gear")]
 
 
-@query("""SELECT p_partkey AS id, item, term FROM (SELECT p_partkey, item, term, row_number() OVER (PARTITION BY p_partkey ORDER BY -length(term), term, item) AS n FROM part
-  JOIN (VALUES ('toys', 'widget'), ('toys', 'red widget'), ('rings', 'ring'), ('bolts', 'bolt'), ('small', 'small ring'), ('gear', 'gear'), ('gear', 'blue gear')) t(item, term)
+@query("""SELECT p_partkey AS id, item, term, CASE WHEN p_size <= 20 OR strong THEN 'strong' ELSE 'weak' END AS strength FROM (SELECT p_partkey, p_size, item, term, strong, row_number() OVER (PARTITION BY p_partkey ORDER BY CASE WHEN p_size <= 20 OR strong THEN 0 ELSE 1 END, -length(term), NOT strong, term) AS n FROM part
+  JOIN (VALUES ('toys', 'widget', true), ('toys', 'red widget', false), ('rings', 'rings', true), ('rings', 'ring', true), ('bolts', 'bolt', false), ('small', 'small ring', true), ('gear', 'gear', true), ('gear', 'blue gear', false)) t(item, term, strong)
   ON regexp_matches(lower(p_name), '(^|[^a-z0-9])' || term || '(s|es)?($|[^a-z0-9])')) WHERE n = 1""")
 def regex_term_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The item of the longest term in each name."""
-    terms = spark.createDataFrame(TERMS, "item string, term string")
-    return eligibility.match_terms(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), terms)
+    """The item of the longest term in each name: any where the size is for children, else a strong one first."""
+    items = spark.createDataFrame([(item, words, "B" if item == "bolts" else "A", False, True, n) for n, (item, words) in enumerate(TERMS)], "item string, uk_terms string, tier string, needs_child boolean, active boolean, place int")
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.when(F.col("p_size") <= 20, "for children").alias("description"))
+    return terms.match_items(rows, terms.item_terms(items, rules.has_child_word), rules.has_child_word)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_name LIKE '%bolt' THEN 'tools' ELSE 'adult' END AS reason FROM part WHERE p_name LIKE '%bolt' OR (p_name LIKE '%ring' AND p_size > 20)")
+@query("SELECT p_partkey AS id, CASE WHEN p_name LIKE '%bolt' THEN 'tools' ELSE 'adult' END AS reason, CASE WHEN p_name LIKE '%bolt' THEN 'Bolt' ELSE 'ring' END AS term FROM part WHERE p_name LIKE '%bolt' OR (p_name LIKE '%ring' AND p_size > 20)")
 def exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that a hard term excludes, or a soft one where the size is not for children."""
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), "p_size")
-    terms = spark.createDataFrame([("bolt", True, "tools"), ("ring", False, "adult")], "term string, hard boolean, reason string")
-    return eligibility.excluded(rows, terms, F.col("p_size") <= 20)
+    known = spark.createDataFrame([("Bolt", True, "tools", 1), ("ring", False, "adult", 2)], "term string, hard boolean, reason string, place int")
+    return terms.excluded(rows, known, F.col("p_size") <= 20)
+
+
+@query(r"""SELECT id, max_by(item, (length(term), term)) AS item, max_by(term, (length(term), term)) AS term FROM
+  (SELECT doc_id AS id, ' ' || array_to_string(regexp_extract_all(lower(regexp_extract(coalesce(text, ''), '^[^.\n]*')), '[a-z0-9]+'), ' ') || ' ' AS t FROM documents)
+  JOIN (SELECT term, min(item) AS item FROM (SELECT item_id AS item, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)) GROUP BY term)
+  ON contains(t, ' ' || term || ' ') GROUP BY id""".replace("\\n", "\n"))
+def phrases_in_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest of all pairs of neighbouring words of the benchmark that each document's first sentence holds."""
+    clean = lambda c: F.array_join(terms.words_of(F.lower(c)), " ")
+    w = terms.words_of(F.lower(F.col("text")))
+    pairs = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), w.alias("w")).where(F.size("w") > 1)
+    pairs = pairs.select("item", F.explode(F.transform(F.expr("sequence(1, size(w) - 1)"), lambda i: F.array_join(F.slice("w", i, 2), " "))).alias("term")).groupBy("term").agg(F.min("item").alias("item"))
+    rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), clean(F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.\n]*", 0)).alias("title"))
+    best = terms.term_pairs(rows, pairs, plural=False).groupBy("title").agg(F.max_by(F.struct("item", "term"), F.struct(F.length("term"), F.col("term"))).alias("b"))
+    return rows.join(best, "title").select("id", "b.item", "b.term")
+
+
+KEY_SQL = r"""CASE WHEN regexp_matches(s.title, '(?i)\b(kids (eat|go) free)\b') AND l_linenumber % 3 <> 0 AND l_discount > 0.05 THEN 'benefit:kids go free:shop' || l_suppkey
+  WHEN l_partkey % 5 = 0 THEN 'taxonomy:' || CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 40 + 1 ELSE l_partkey END || CASE WHEN l_returnflag = 'R' THEN ':https://shop' || l_suppkey ELSE '' END
+  WHEN regexp_matches(p_name, 'ring') THEN 'item:rings' WHEN regexp_matches(p_name, '(red|blue) (bolt|gear)') THEN 'item:parts'
+  WHEN regexp_matches(p_name, 'gizmo') AND p_size <= 25 THEN 'item:rings' WHEN p_size <= 25 THEN 'matched:' || lower(p_type) || ' 1' ELSE 'title:' || p_name || CASE WHEN l_discount > 0.05 THEN ' kids go free under 5' ELSE '' END END"""
+
+
+@query(f"""SELECT key, id, price FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY price, id) AS n FROM (SELECT {KEY_SQL} AS key, l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey AS id, l_extendedprice AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey, LATERAL (SELECT p_name || CASE WHEN l_discount > 0.05 THEN ' kids go free under 5' ELSE '' END AS title) s)) WHERE n = 1""")
+def best_of_programme(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest offer of each kind: by benefit, taxonomy, words of title or matched item, or title without its price."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag")
+    rows = rows.join(read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
+    deals = rows.select(
+        F.expr("concat_ws('-', l_orderkey, l_linenumber, l_suppkey, l_partkey)").alias("id"), F.col("l_extendedprice").alias("price"),
+        F.expr("concat(p_name, ' £', p_size, '.50', if(l_discount > 0.05, ' Kids go free under 5', ''))").alias("title"), F.lit(None).cast("string").alias("description"), F.expr("concat('Shop', l_suppkey)").alias("retailer"),
+        F.expr("if(l_linenumber % 3 = 0, 'quality-v1:source-page:merchant-advertised:x', 'quality-v1:source-api:y')").alias("classified_by"), F.expr("if(l_partkey % 5 = 0, l_partkey, 0)").alias("item_id"),
+        F.expr("if(l_partkey % 2 = 0, l_partkey % 40 + 1, 0)").alias("equivalent_item_id"), F.expr("if(l_returnflag = 'R', 'service', 'product')").alias("deal_type"),
+        F.expr("if(p_size <= 25, if(p_name LIKE '%gizmo', ' The Ring ', concat(p_type, '-1 ')), ' ')").alias("matched_item"), F.expr("concat('https://shop', l_suppkey)").alias("link"),
+    )
+    kinds = (("rings", ("ring", "rings")), ("parts", ("red", "blue"), ("bolt", "gear")))
+    return deals.withColumn("key", programme.item_key(kinds)).groupBy("key").agg(F.min(F.struct("price", "id")).alias("b")).select("key", "b.id", "b.price")
 
 
 @query("""SELECT p_partkey AS id, p_retailprice AS price, round(p_retailprice * 2, 2) AS was, 50.0::DOUBLE AS discount FROM part""")
