@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townkit.operators import discovery, nearest
+from townkit.operators import discovery, growth, nearest
 from townkit.plans.registry import query
 from townkit.sources.tables import VENUES, venues
 
@@ -37,3 +37,25 @@ def postcode_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = rows.where("visible AND fee > 2000").groupBy("postcode").agg(F.min_by(F.struct("lat", "lng"), "id").alias("at"), F.concat(F.lit("E"), F.min("council")).alias("district"))
     known = known.select("postcode", "at.lat", "at.lng", "district", F.concat(F.lit("Town "), "district").alias("town"))
     return discovery.resolve_postcodes(spots, known, 40.0)
+
+
+def council_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every venue as a spot of its council: on a coarse grid, so that places of several councils lie together; some with an outline or an element."""
+    rows = venues(spark, sf_dir)
+    lat, lng = F.round(F.floor(F.col("lat") * 4) / 4 + (F.col("id") % 3) * 0.0006, 6), F.round(F.floor(F.col("lng") * 4) / 4, 6)
+    spots = rows.select(F.col("id").alias("spot"), F.col("council").cast("int").alias("turn"), F.concat("name", F.when(F.col("id") % 4 == 0, " Ltd").otherwise("")).alias("name"), lat.alias("lat"), lng.alias("lng"), "postcode", "id")
+    wide = F.col("id") % 5 == 0
+    for name, side in (("south", F.col("lat") - 0.004), ("north", F.col("lat") + 0.004), ("west", F.col("lng") - 0.004), ("east", F.col("lng") + 0.004)):
+        spots = spots.withColumn(name, F.when(wide, side))
+    spots = spots.withColumn("osm", F.concat(F.lit("node/"), F.col("id") % 211)).withColumn("tagged", F.when(F.col("id") % 3 != 0, F.col("postcode")))
+    return spots.select("spot", "turn", "name", "lat", "lng", "south", "north", "west", "east", F.when(F.col("id") % 10 == 7, F.col("osm")).alias("osm"), "tagged", "postcode", (wide & (F.col("id") % 15 == 0)).alias("elsewhere"))
+
+
+def council_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return venues(spark, sf_dir).where("id % 6 = 1").select(F.col("id").alias("place"), F.regexp_replace("name", "#0000", "#").alias("name"), "lat", "lng", "postcode", F.when(F.col("id") % 4 == 3, F.concat(F.lit("node/"), F.col("id") % 211)).alias("osm"))
+
+
+@query()
+def council_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every venue as a discovered spot: what is stored, what an earlier council added, what is new."""
+    return growth.discover(council_spots(spark, sf_dir), council_stored(spark, sf_dir))
