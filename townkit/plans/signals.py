@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townkit.operators import eligibility, feeds, identity, merge, schedule
+from townkit.operators import eligibility, feeds, identity, merge, numbering, schedule
+from townkit.operators.stages import shared_dir
 from townkit.plans.registry import query
+from townkit.sources import feed_walk
 from townkit.sources.tables import SIGNALS, read, signals
 
 
@@ -175,3 +179,23 @@ def intersect_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = signals(spark, sf_dir)
     part = lambda c: rows.where(c).select("series")
     return part("kind = 'purchase'").intersect(part("value > 150")).subtract(part("kind = 'error' AND value > 100"))
+
+
+@query("SELECT feed, k AS item, value FROM (SELECT *, row_number() OVER (PARTITION BY feed, k ORDER BY seq DESC) AS n FROM (SELECT 'f' || series % 4 AS feed, seq, kind, value, series * 100 + k AS k FROM signals)) WHERE n = 1 AND kind <> 'error' AND feed <> 'f3'", SIGNALS)
+def feed_walk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live items of all events as paged feeds, streamed page by page; a feed whose pages break off gives none."""
+    folder = f"{shared_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    rows = signals(spark, sf_dir).select(F.concat(F.lit("f"), F.col("series") % 4).alias("feed"), "seq", (F.col("series") * 100 + F.col("k")).cast("string").alias("item"), "kind", "value")
+    # places in each feed: numbers over all rows, less the number of the feed's first
+    placed = numbering.numbered(rows, [F.col("feed"), F.col("seq")])
+    first = placed.groupBy("feed").agg(F.min("row_number").alias("first"))
+    state = F.when(F.col("kind") == "error", "deleted").otherwise("updated")
+    data = F.when(F.col("kind") != "error", F.to_json(F.struct(F.struct("value").alias("offer"), "kind")))
+    changes = placed.join(F.broadcast(first), "feed").select("feed", (F.col("row_number") - F.col("first")).alias("n"), "item", state.alias("state"), F.col("seq").cast("string").alias("modified"), data.alias("data"))
+    feeds = {r["feed"]: f"{folder}/pages/{r['feed']}/{0 if r['feed'] != 'f3' else 'gone'}.json" for r in feed_walk.write_pages(changes, f"{folder}/pages", 2_000).collect()}
+    if not feeds:
+        return rows.select("feed", F.col("item").cast("long").alias("item"), "value").limit(0)
+    feed_walk.follow(spark, feeds, folder, "offer.value", pages=50)
+    items = feed_walk.live_items(spark.read.schema(feed_walk.ITEMS).parquet(f"{folder}/items"))
+    found = feed_walk.of_complete_feeds(items, feed_walk.feed_report(spark, f"{folder}/cursors"))
+    return found.select("feed", F.col("item").cast("long").alias("item"), F.get_json_object("data", "$['offer.value']").cast("double").alias("value"))
