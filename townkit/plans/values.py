@@ -10,6 +10,7 @@ from townkit.operators import rules
 from townkit.plans.registry import query
 from townkit.sources import adapters
 from townkit.sources.tables import LISTINGS, OFFERS, VENUES, listings, offers, read, venues
+from townkit.streaming import outbox
 
 
 @query(r"SELECT p_partkey AS id, regexp_replace(p_name || CASE WHEN p_partkey % 3 = 0 THEN ' — Default Title' WHEN p_partkey % 3 = 1 THEN ' - Default' ELSE '' END, '\s+[—-]\s+Default(?: Title)?$', '') AS shown FROM part")
@@ -236,14 +237,21 @@ def window_witness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.window_complete(listings(spark, sf_dir).select(F.col("status").alias("source"), "start"), "source", "start", F.lit("2001-07-31").cast("date"))
 
 
-@query("""WITH q AS (SELECT user_id % 200 AS family, ts AS asked, event_id AS id, CASE WHEN event_id % 97 <> 0 THEN ts + INTERVAL 5 MINUTE END AS done_at FROM events),
-  w AS (SELECT *, ((max(CASE WHEN done_at IS NULL THEN 1 ELSE 0 END) OVER b) = 1 OR (max(done_at) OVER b) > asked) AS unfinished, date_diff('second', max(asked) OVER b, asked) < 600 AS recent FROM q WINDOW b AS (PARTITION BY family ORDER BY asked, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-  SELECT id, CASE WHEN coalesce(unfinished, false) THEN 'outstanding' WHEN coalesce(recent, false) THEN 'cooldown' ELSE 'granted' END AS claim FROM w""")
+@query("""WITH RECURSIVE q AS (SELECT 'f' || user_id % 40 AS family, ts AS asked, lpad(event_id::VARCHAR, 12, '0') AS id, CASE WHEN value > 2 THEN ts + to_minutes(floor(value)::BIGINT % 25) END AS done_at, value >= 1 AND event_type IS NOT NULL AS valid FROM events),
+  g(family, asked, id, free) AS (
+    SELECT family, min(asked), arg_min(id, (asked, id)), arg_min(greatest(asked + INTERVAL 10 MINUTE, coalesce(done_at, TIMESTAMP '9999-01-01')), (asked, id)) FROM q WHERE valid GROUP BY family
+    UNION ALL
+    SELECT q.family, min(q.asked), arg_min(q.id, (q.asked, q.id)), arg_min(greatest(q.asked + INTERVAL 10 MINUTE, coalesce(q.done_at, TIMESTAMP '9999-01-01')), (q.asked, q.id)) FROM g JOIN q ON q.family = g.family AND q.asked >= g.free AND q.valid GROUP BY q.family),
+  last AS (SELECT q.*, g.id IS NOT NULL AS granted, max(g.asked) OVER w AS before, max(CASE WHEN g.id IS NOT NULL THEN coalesce(q.done_at, TIMESTAMP '9999-01-01') END) OVER w AS busy FROM q LEFT JOIN g ON g.family = q.family AND g.id = q.id
+           WINDOW w AS (PARTITION BY q.family ORDER BY q.asked, q.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT family, id, CASE WHEN NOT valid THEN 'invalid' WHEN granted THEN 'granted' WHEN busy > asked THEN 'outstanding' ELSE 'cooldown' END AS claim FROM last""")
 def outbox_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One outstanding request of a family, and ten minutes between two."""
-    rows = read(spark, sf_dir, "events", "user_id", "ts", "event_id")
-    done = F.when(F.col("event_id") % 97 != 0, F.col("ts") + F.expr("INTERVAL 5 MINUTES"))
-    return rules.claims(rows.select((F.col("user_id") % 200).alias("family"), F.col("ts").alias("at"), F.col("event_id").alias("id"), done.alias("done_at"))).select("id", "claim")
+    """One outstanding dispatch of a family, and ten minutes between two: all events as requests, some without a reason, some never done."""
+    rows = read(spark, sf_dir, "events", "user_id", "ts", "event_id", "event_type", "value")
+    done = F.when(F.col("value") > 2, F.col("ts") + F.make_dt_interval(mins=(F.floor("value") % 25).cast("int")))
+    reason = F.when(F.col("value") >= 1, F.concat(F.lit("because of "), "event_type")).otherwise(F.lit(" short "))
+    asked = rows.select(F.concat(F.lit("f"), F.col("user_id") % 40).alias("family"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"), F.col("ts").alias("at"), done.alias("done_at"), reason.alias("reason"))
+    return outbox.claims(asked, None).select("family", "id", "claim")
 
 
 @query("SELECT council, list_sort(list(DISTINCT id)) = list_sort(list(DISTINCT id) FILTER (WHERE id % 211 <> 0)) AS whole FROM venues GROUP BY council", VENUES)
