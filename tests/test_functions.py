@@ -44,7 +44,9 @@ def value(spark, column, **fields):
         (money.parse_number, "£1,234.50", 1234.5),
         (money.parse_number, "free", None),
         (money.is_exact_pence, "12.5", False),
-        (money.value_band, "Half price coats", 3),
+        (money.value_band, "Half-price coats", "mid"),
+        (money.value_band, "Toddler Car-Seat & toys", "big"),
+        (money.value_band, None, "low"),
         (places.normalise_postcode, "sw1a1aa", "SW1A 1AA"),
         (places.normalise_postcode, "m1", "M1"),
         (places.find_postcode, "at 1 High St, m1 1ae.", "M1 1AE"),

@@ -111,7 +111,9 @@ def folded_by_hand(rows):
     def same(r, o):
         if not r[3] or r[3] != o[3] or (r[5] and o[5] and r[5] != o[5]):
             return False
-        if r[7] and r[7] == o[7]:
+        if r[8:] != o[8:]:
+            return False
+        if r[7] and r[7] == o[7] and r[8] and r[9]:
             return True
         v, w = plain(r[2]), plain(o[2])
         near = v and w and (v == w or v in w or w in v or share(set(v.split()), set(w.split())) >= 0.75)
@@ -135,14 +137,14 @@ def folded_by_hand(rows):
     return sorted((r[0], merged) for r, merged in kept)
 
 
-FOLD_SCHEMA = "id long, title string, venue_name string, start string, event_url string, venue_id string, is_holiday_camp boolean, programme string"
+FOLD_SCHEMA = "id long, title string, venue_name string, start string, event_url string, venue_id string, is_holiday_camp boolean, programme string, end string, time string"
 
 
 def test_fold_against_the_rule(spark):
     r = random.Random(5)
     words, venues = ["Story", "Time", "the", "Castle", "&", "Kids", "Fun", "on", "Weekly", "x"], [None, "", "Town Hall", "The Town Hall", "Old Town Hall Main Room", "Castle & Keep", "Castle and Keep Grounds East"]
-    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 5))), r.choice(venues), r.choice(["2024-05-01", "2024-05-02", None]), r.choice([None, "u1", "u2"]), r.choice([None, None, "v1", "v2"]), r.random() < 0.2, r.choice([None] * 9 + ["p"])) for i in range(400)]
-    found = identity.fuzzy_fold(spark.createDataFrame(rows, FOLD_SCHEMA).repartition(3), ["start"], ["id"])
+    rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(1, 5))), r.choice(venues), r.choice(["2024-05-01", "2024-05-02", None]), r.choice([None, "u1", "u2"]), r.choice([None, None, "v1", "v2"]), r.random() < 0.2, r.choice([None] * 5 + ["p"]), r.choice(["e", "e", None]), r.choice(["t", "t", None])) for i in range(400)]
+    found = identity.fuzzy_fold(spark.createDataFrame(rows, FOLD_SCHEMA).repartition(3), ["start", "end", "time"], ["id"])
     assert sorted((x["id"], x["merged"]) for x in found.collect()) == folded_by_hand(rows)
 
 
@@ -150,7 +152,8 @@ def test_fold_keeps_what_is_not_known_apart(spark):
     """Rows without a venue, camps and recurring listings do not fold on alike titles."""
 
     def fold(*rows):
-        return identity.fuzzy_fold(spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], FOLD_SCHEMA), ["start"], ["id"]).count()
+        timed = [(i, *row[:7], *(row[7:] or (day, "10:00"))) for i, row in enumerate(rows)]
+        return identity.fuzzy_fold(spark.createDataFrame(timed, FOLD_SCHEMA), ["start"], ["id"]).count()
 
     day, hall = "2024-05-01", "Town Hall"
     assert fold(("Story time", None, day, None, None, False, None), ("Story time", None, day, None, None, False, None)) == 2
@@ -159,6 +162,7 @@ def test_fold_keeps_what_is_not_known_apart(spark):
     assert fold(("Story time", hall, day, "u", None, True, None), ("Story time", hall, day, "u", None, True, None)) == 1
     assert fold(("Chess club", hall, day, None, None, False, None), ("Chess club", hall, day, None, None, False, None)) == 2
     assert fold(("One", None, day, None, None, True, "p"), ("Two", "Castle", day, None, None, True, "p")) == 1
+    assert fold(("One", None, day, None, None, True, "p", day, None), ("Two", "Castle", day, None, None, True, "p", day, None)) == 2
     assert fold(("Story time", hall, day, None, "a", False, None), ("Story time", hall, day, None, "b", False, None)) == 2
     assert fold(("Story time", hall, None, None, None, False, None), ("Story time", hall, None, None, None, False, None)) == 2
 
@@ -354,10 +358,15 @@ def test_ancestors_and_cycles(spark):
 
 
 def test_chains(spark):
-    rows = [(1, 2), (2, 3), (3, None), (4, 5), (5, 4), (6, 99)] + [(100 + i, 101 + i if i < 30 else None) for i in range(31)]
-    found = {r["id"]: (r["canonical"], r["hops"]) for r in graph.canonical(spark.createDataFrame(rows, "id long, merged_into long"), "id", "merged_into").collect()}
-    assert found[1] == (3, 2) and found[3] == (3, 0) and found[4] == found[5] == found[6] == (None, None)
-    assert found[110] == (130, 20) and found[109] == (None, None)
+    def ends(rows):
+        return {r["id"]: (r["canonical"], r["hops"]) for r in graph.canonical(spark.createDataFrame(rows, "id long, merged_into long"), "id", "merged_into").collect()}
+
+    chain = lambda n: [(100 + i, 101 + i if i < n else None) for i in range(n + 1)]
+    found = ends([(1, 2), (2, 3), (3, None), (6, 99), *chain(20)])
+    assert found[1] == (3, 2) and found[3] == (3, 0) and found[6] == (99, 1) and found[100] == (120, 20)
+    for bad in ([(4, 5), (5, 4)], [(7, 7)], chain(21)):
+        with pytest.raises(ValueError):
+            ends(bad)
 
 
 def test_series_lives_while_an_item_maps_to_it(spark):

@@ -13,6 +13,7 @@ MILES_DIAMETER = 7917.6
 MILES_RADIUS = 3958.8
 KM_A_MILE = 1.609344
 MILES_A_KM = 0.621371
+KM_A_DEGREE = 111.0
 
 
 def number(value: Column | float) -> Column:
@@ -64,5 +65,6 @@ def grid_point(value: Column, step: float = 0.25) -> Column:
 
 
 def box_area_km2(south: Column, north: Column, west: Column, east: Column) -> Column:
-    """Area of a small box, by the length of a degree in its middle."""
-    return F.abs(north - south) * 111.32 * F.abs(east - west) * 111.32 * F.cos(F.radians((south + north) / 2))
+    """Area of a small box, by the length of a degree in its middle; 0 for a box that is none, or null."""
+    area = (north - south) * KM_A_DEGREE * ((east - west) * KM_A_DEGREE * F.cos(F.radians((south + north) / 2)))
+    return F.coalesce(F.greatest(F.lit(0.0), area), F.lit(0.0))

@@ -5,6 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from townkit.functions import text
+
+#: Words of things that cost much, and of those in between.
+BIG_WORDS = (
+    "car seat", "pushchair", "pram", "stroller", "travel system", "cot", "crib",
+    "bed", "bunk", "mattress", "highchair", "high chair", "monitor", "carrier",
+    "bassinet", "playpen", "swing set", "trampoline", "climbing frame",
+    "playhouse", "bicycle", "bike", "tablet", "membership", "season pass",
+    "wagon", "breast pump", "desk", "luggage", "smartwatch",
+)
+MID_WORDS = (
+    "sterilis", "steriliz", "warmer", "gate", "bath", "bottle", "tickets",
+    "admission", "skates", "toys", "set", "blocks", "headphones", "camera",
+    "blackout", "humidifier", "rocking", "glider", "dresser", "formula",
+    "nappies", "nappy", "wipes", "coat", "snowsuit", "boots", "shoes", "sandbox",
+    "paddling", "play gym", "bookshelf",
+)
+
 AMOUNT = r"£\s*([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
 
 
@@ -37,6 +55,7 @@ def price_text(low: Column, high: Column) -> Column:
 
 
 def value_band(title: Column) -> Column:
-    """Points for words of a title that promise much."""
-    low = F.lower(title)
-    return F.when(low.rlike(r"\b(free|half price)\b"), 3).when(low.rlike(r"\b(sale|clearance|deal)\b"), 2).when(low.rlike(r"\b(off|save)\b"), 1).otherwise(0)
+    """big, mid or low, by words that stand anywhere in the title."""
+    plain = text.norm_listing(title)
+    holds = lambda words: F.exists(F.array(*map(F.lit, words)), plain.contains)
+    return F.when(holds(BIG_WORDS), "big").when(holds(MID_WORDS), "mid").otherwise("low")

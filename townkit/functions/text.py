@@ -5,6 +5,8 @@ The normalisers look alike and are not the same: each serves one key. None of th
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +52,11 @@ def norm_terms(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9&+ ]", " "), " +", " "))
 
 
+def words_pattern(phrases: tuple[str, ...], space: str = r"\s+", border: str = r"\b") -> str:
+    """Any of the phrases between borders; a space of a phrase is any white space, or what `space` says."""
+    return border + "(?:" + "|".join(re.escape(p).replace(r"\ ", space) for p in phrases) + ")" + border
+
+
 def norm_listing(value: Column) -> Column:
     """Lower case, apostrophes removed, signs that part words as spaces; other signs stay. Null is empty."""
     plain = F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), r"['’]", "")

@@ -26,14 +26,16 @@ def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def canonical(rows: DataFrame, id_column: str, target: str, hops: int = 20) -> DataFrame:
-    """id, canonical, hops: the end of each row's chain of targets; null canonical if the chain has a cycle, is longer, or leaves the rows.
+    """id, canonical, hops: the end of each row's chain of targets. A target that is no row is an end. Raises if a chain is longer than `hops`, as one with a cycle is.
 
-    Pointer doubling: after k rounds a chain of 2^k steps is followed.
+    Pointer doubling: after k rounds a chain of 2^k steps is followed; each round is written.
     """
-    step = rows.select(F.col(id_column).alias("id"), F.coalesce(target, id_column).alias("to"), F.when(F.col(target).isNull(), 0).otherwise(1).alias("n"))
-    current = step
+    current = written(rows.select(F.col(id_column).alias("id"), F.coalesce(target, id_column).alias("to"), F.when(F.col(target).isNull(), 0).otherwise(1).alias("n")), "chains")
+    more = current.where("n > 0").select(F.col("id").alias("to"))
     for _ in range(hops.bit_length()):
-        current = current.alias("a").join(current.select(F.col("id").alias("b_id"), F.col("to").alias("b_to"), F.col("n").alias("b_n")), F.col("a.to") == F.col("b_id"), "left")
-        current = current.select("a.id", F.col("b_to").alias("to"), (F.col("a.n") + F.coalesce("b_n", F.lit(0))).alias("n"))
-    ends = step.where("n = 0").select(F.col("id").alias("to"), F.lit(True).alias("_end"))
-    return current.join(ends, "to", "left").select("id", F.when(F.col("_end") & (F.col("n") <= hops), F.col("to")).alias("canonical"), F.when(F.col("_end") & (F.col("n") <= hops), F.col("n")).alias("hops"))
+        after = current.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("n").alias("m")).where("m > 0")
+        joined = current.join(after, "to", "left")
+        current = written(joined.select("id", F.coalesce("then", "to").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "chains")
+    if not current.where(F.col("n") > hops).isEmpty() or not current.join(more, "to", "left_semi").isEmpty():
+        raise ValueError(f"a chain has a cycle, or is longer than {hops}")
+    return current.select("id", F.col("to").alias("canonical"), F.col("n").alias("hops"))

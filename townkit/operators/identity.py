@@ -111,7 +111,8 @@ def near_titles(rows: DataFrame, threshold: float = 0.6, least: int = 4) -> Data
 
 #: Words that do not tell listings' titles apart, and what marks a listing that comes again and again.
 FOLD_STOP_WORDS = ("a", "an", "and", "at", "for", "in", "of", "the", "to", "with")
-RECURRING = r"\b(weekly|every\s+(mon|tue|wed|thu|fri|sat|sun)|term[- ]?time|class|lesson|session|club|course)\b"
+RECURRING_WORDS = ("weekly", "every mon", "every tue", "every wed", "every thu", "every fri", "every sat", "every sun", "termtime", "term time", "term-time", "class", "lesson", "session", "club", "course")
+RECURRING = text.words_pattern(RECURRING_WORDS)
 
 
 def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame:
@@ -120,9 +121,9 @@ def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame
     block: the start first (rows without one stay apart), then what else must be equal, such as end, time, age and price. A row joins
     the first survivor that it may be the same as. Both need a venue: equal, one in the other, or 0.75 of the words alike; of two
     venue_ids only equal ones. Then either url and title are equal, or the titles are equal or, with three words each, 0.8 alike; the
-    latter never for holiday camps and listings that recur. Rows of one reviewed programme are the same without any of that. The longer
+    latter never for holiday camps and listings that recur. Rows of one reviewed programme are the same without any of that, if they have an end and a time. The longer
     title survives, then the smaller id. rows: id, title, venue_name, the block's columns, and where they are known event_url,
-    description, recurrence, venue_id, is_holiday_camp, programme. Each comparison needs the survivors so far: a block is folded in one task.
+    description, recurrence, venue_id, is_holiday_camp, programme, end, time. Each comparison needs the survivors so far: a block is folded in one task.
     """
     kept_columns = ["id", "title", "venue_name", *block]
     out = T.StructType([*rows.select(*kept_columns).schema.fields, T.StructField("merged", T.ArrayType(T.LongType()))])
@@ -136,6 +137,7 @@ def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame
     prepared = rows.select(
         *kept_columns, title.alias("_title"), F.array_distinct(words).alias("_words"), venue.alias("_venue"), F.array_distinct(F.split(venue, " ")).alias("_venue_words"),
         known("event_url").alias("_url"), known("venue_id").alias("_venue_id"), known("programme").alias("_programme"), (recurs | (known("is_holiday_camp", "false") == "true")).alias("_exact"),
+        ((known("end") != "") & (known("time") != "")).alias("_timed"),
         (F.coalesce(F.col(block[0]).cast("string"), F.lit("")) != "").alias("_dated"),
     )
 
@@ -146,7 +148,7 @@ def fuzzy_fold(rows: DataFrame, block: list[str], order: list[str]) -> DataFrame
     def same(a: dict, b: dict) -> bool:
         if not a["_dated"] or (a["_venue_id"] and b["_venue_id"] and a["_venue_id"] != b["_venue_id"]):
             return False
-        if a["_programme"] and a["_programme"] == b["_programme"]:
+        if a["_programme"] and a["_programme"] == b["_programme"] and a["_timed"]:
             return True
         v, w = a["_venue"], b["_venue"]
         if not v or not w or not (v in w or w in v or alike(a["_venue_words"], b["_venue_words"]) >= 0.75):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from townkit.functions.text import words_pattern
+
 #: What an item's title must hold, by kind and in this order: words that follow each other, and for two parts both in turn.
 ITEM_WORDS = (
     ("wipes", ("wipe", "wipes", "waterwipes")),
@@ -33,11 +33,6 @@ CONDITIONS = ("with adult", "with a adult", "with an adult", "with paying adult"
 NUMBERED_CONDITIONS = r"\bage(?:d)? [0-9]+|\bunder [0-9]+|\bcode\s+[a-z0-9]+"
 
 
-def words_pattern(phrases: tuple[str, ...], space: str = r"\s+") -> str:
-    """Any of the phrases between word borders."""
-    return r"\b(?:" + "|".join(re.escape(p).replace(r"\ ", space) for p in phrases) + r")\b"
-
-
 def item_pattern(*parts: tuple[str, ...]) -> str:
     return "(?i)" + ".*".join(map(words_pattern, parts))
 

@@ -167,18 +167,19 @@ def vitals_to_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.vital_rows(rows)
 
 
-PREVIEW = """p AS (SELECT id, title, venue_id, start, CASE WHEN id % 10 = 0 THEN 'camp' WHEN id % 10 = 1 THEN 'special' WHEN id % 10 = 2 THEN 'recurrence=unknown' WHEN id % 10 = 3 THEN 'recurrence=one-off' ELSE 'recurrence=recurring' END AS reason FROM listings)"""
+PREVIEW = """p AS (SELECT id, trim(regexp_replace(regexp_replace(lower(title), '\\b(the|a|an)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title, venue_id, start, CASE WHEN id % 10 = 0 THEN 'camp stays an Event' WHEN id % 10 = 1 THEN 'seasonal/special listing stays an Event' WHEN id % 10 = 2 THEN 'stored recurrence=unknown' WHEN id % 10 = 3 THEN 'stored recurrence=one-off' ELSE 'stored recurrence=recurring' END AS reason FROM listings)"""
 
 
-@query("""SELECT p.id, CASE WHEN reason = 'recurrence=recurring' THEN 'activity' ELSE 'event' END AS kind, reason, coalesce(n, 0)::BIGINT AS group_size,
-  CASE WHEN reason <> 'recurrence=recurring' THEN 'keep as event' WHEN keep = p.id THEN 'keep as activity' ELSE 'merge into activity' END AS action, keep AS keep_id
-  FROM p LEFT JOIN (SELECT title, venue_id, count(*) AS n, arg_max(id, (start, id)) AS keep FROM p WHERE reason = 'recurrence=recurring' GROUP BY 1, 2) g ON reason = 'recurrence=recurring' AND g.title = p.title AND g.venue_id = p.venue_id""", LISTINGS, PREVIEW)
+@query("""SELECT p.id, CASE WHEN reason = 'stored recurrence=recurring' THEN 'activity' ELSE 'event' END AS kind, reason, id % 10 = 0 AS is_camp, coalesce(n, 0)::BIGINT AS group_size,
+  CASE WHEN reason <> 'stored recurrence=recurring' THEN 'keep as event' WHEN keep = p.id THEN 'keep as activity' ELSE 'merge into activity' END AS action, keep AS keep_id
+  FROM p LEFT JOIN (SELECT title, venue_id, count(*) AS n, arg_max(id, (start, id)) AS keep FROM p WHERE reason = 'stored recurrence=recurring' GROUP BY 1, 2) g ON reason = 'stored recurrence=recurring' AND g.title = p.title AND g.venue_id = p.venue_id""", LISTINGS, PREVIEW)
 def event_split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which listings would become activities, and into which row of their group they would merge."""
     turn = F.col("id") % 10
-    title = F.concat("title", F.when(turn == 0, " Camps").when(turn == 1, " Open Day").otherwise(""))
+    told = F.when(turn == 0, "With Camps.").when(turn == 1, "An Open Day")
+    title = F.when(F.col("id") % 3 == 0, F.regexp_replace("title", "^The ", "")).otherwise(F.col("title"))
     recurrence = F.when(turn == 3, "one-off").when(turn != 2, "Recurring")
-    rows = listings(spark, sf_dir).select("id", title.alias("title"), F.concat(F.lit("Venue "), "venue_id").alias("venue"), recurrence.alias("recurrence"), F.col("start").alias("verified"))
+    rows = listings(spark, sf_dir).select("id", title.alias("title"), told.alias("description"), F.concat(F.lit("The Venue "), "venue_id").alias("venue"), recurrence.alias("recurrence"), F.col("start").alias("verified"))
     return collect.split_preview(rows)
 
 
@@ -191,12 +192,14 @@ def pages_that_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.content_changes(before, rows.withColumn("read_on", day), "page_id", "html", "read_on")
 
 
-@query("SELECT id, id % 3 <> 0 AND (visible OR id % 2 = 0) AS visible, CASE WHEN id % 3 = 0 OR (id % 5 <> 0 AND visible) THEN 'not_applicable' WHEN id % 2 = 0 THEN 'allowed' ELSE 'refused' END AS guard FROM (SELECT id, id % 5 <> 0 AND visible AS visible FROM venues)", VENUES)
+@query("""SELECT id, CASE WHEN refused THEN CASE WHEN stored THEN was END ELSE wanted END AS visible, CASE WHEN refused THEN CASE WHEN stored THEN was_adult END ELSE adult END AS adult_only, CASE WHEN NOT guarded THEN 'not_applicable' WHEN adult THEN 'refused_adult_only' WHEN adult IS NULL THEN 'refused_undecided' ELSE 'allowed' END AS guard
+  FROM (SELECT *, guarded AND coalesce(adult, true) AS refused FROM (SELECT *, category = 'FURNITURE' AND wanted AND NOT (stored AND was) AS guarded FROM (SELECT id, category, council % 3 <> 0 AS wanted, CASE WHEN free THEN true WHEN fee > 5000 THEN false END AS adult, id % 5 <> 0 AS stored, visible AND id % 2 = 0 AS was, free AS was_adult FROM venues)))""", VENUES)
 def publication_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Venues that are to be shown and were not need approval; a fifth of the rows are not stored yet."""
+    """Venues of one category become visible only if they are known not to be for adults only; a fifth of the rows are not stored yet."""
     rows = venues(spark, sf_dir)
-    approved = F.when(F.col("id") % 2 == 0, True).when(F.col("id") % 4 == 1, False)
-    return collect.guarded_publication(rows.where("id % 5 <> 0"), rows.select("id", (F.col("id") % 3 != 0).alias("visible"), approved.alias("approved")))
+    adult = F.when(F.col("free"), True).when(F.col("fee") > 5000, False)
+    current = rows.where("id % 5 <> 0").select("id", (F.col("visible") & (F.col("id") % 2 == 0)).alias("visible"), F.col("free").alias("adult_only"))
+    return collect.guarded_publication(current, rows.select("id", "category", (F.col("council") % 3 != 0).alias("visible"), adult.alias("adult_only")), "FURNITURE")
 
 
 @query("SELECT council AS release, id FROM venues WHERE id % 30 >= council % 10 AND (council % 4 = 0 OR id % 30 <= council % 10 + 12)", VENUES)

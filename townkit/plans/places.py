@@ -99,13 +99,11 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(edges)
 
 
-@query("""SELECT id, CASE WHEN id % 97 = 5 THEN NULL ELSE (id // 8) * 8 END AS canonical, CASE WHEN id % 97 = 5 THEN NULL ELSE (id % 8)::INT END AS hops FROM (SELECT c_custkey AS id FROM customer)
-  WHERE NOT EXISTS (SELECT 1 FROM customer x WHERE x.c_custkey % 97 = 5 AND x.c_custkey < id AND x.c_custkey // 8 = id // 8)
-  UNION ALL SELECT id, NULL, NULL FROM (SELECT c_custkey AS id FROM customer) WHERE EXISTS (SELECT 1 FROM customer x WHERE x.c_custkey % 97 = 5 AND x.c_custkey < id AND x.c_custkey // 8 = id // 8)""")
+@query("SELECT c_custkey AS id, greatest((c_custkey // 8) * 8, CASE WHEN c_custkey >= 5 THEN (c_custkey - 5) // 40 * 40 + 5 ELSE 0 END) AS canonical, (c_custkey - greatest((c_custkey // 8) * 8, CASE WHEN c_custkey >= 5 THEN (c_custkey - 5) // 40 * 40 + 5 ELSE 0 END))::INT AS hops FROM customer")
 def canonical_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The end of each row's chain of merges; rows whose chain meets a cycle have none."""
+    """The end of each row's chain of merges: the first of its eight, or a row of its own chain that was never merged."""
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    target = F.when(F.col("id") % 97 == 5, F.col("id")).when(F.col("id") % 8 != 0, F.col("id") - 1)
+    target = F.when((F.col("id") % 8 != 0) & (F.col("id") % 40 != 5), F.col("id") - 1)
     return graph.canonical(rows.withColumn("merged_into", target), "id", "merged_into")
 
 

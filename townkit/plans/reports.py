@@ -258,5 +258,4 @@ def linked_data_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     second = F.struct(F.array(F.lit("Thing"), F.lit("Event")).alias("@type"), name(1).alias("name"), start.alias("startDate"), F.lit("Outdoors").alias("location"), F.col("url").alias("url"))
     graph = F.to_json(F.struct(F.array(F.struct(first.alias("item"), F.lit("WebPage").alias("@type"), second.alias("about"))).alias("@graph")))
     script = F.concat(F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 4 == 0, F.substring(graph, 1, 40)).otherwise(graph), F.lit("</script>"))
-    found = documents.read_events(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), script)))
-    return found.where(F.col("name").startswith("Event "))
+    return documents.read_events(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), script)))

@@ -77,19 +77,20 @@ def london_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(dates.month_bounds(F.col("at"))[0].alias("month_start"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT id, regexp_full_match(v, '[0-9]+\.[0-9]{2}') AS exact, CASE WHEN regexp_full_match(t, '.*\b(free|half price)\b.*') THEN 3 WHEN regexp_full_match(t, '.*\b(sale|clearance|deal)\b.*') THEN 2 WHEN regexp_full_match(t, '.*\b(off|save)\b.*') THEN 1 ELSE 0 END::INT AS band
-  FROM (SELECT p_partkey AS id, (p_size / CASE WHEN p_size % 2 = 0 THEN 1 ELSE 4 END)::VARCHAR AS v, p_name || ' ' || ['free', 'dealer', 'deal', 'save now', 'none'][(p_size % 5 + 1)::INT] AS t FROM part)""")
+@query(r"""SELECT id, regexp_full_match(v, '[0-9]+\.[0-9]{2}') AS exact, CASE WHEN contains(t, 'bed') OR contains(t, 'desk') OR contains(t, 'cot') OR contains(t, 'pram') THEN 'big' WHEN contains(t, 'set') OR contains(t, 'gate') OR contains(t, 'toys') OR contains(t, 'bath') OR contains(t, 'boots') OR contains(t, 'coat') THEN 'mid' ELSE 'low' END AS band
+  FROM (SELECT p_partkey AS id, (p_size / CASE WHEN p_size % 2 = 0 THEN 1 ELSE 4 END)::VARCHAR AS v, lower(p_name || ' ' || p_type) || ' ' || ['bed', 'gate', 'cotton', 'toy', 'sets'][(p_size % 5 + 1)::INT] AS t FROM part)""")
 def price_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether an amount is written to the penny, and what a title promises."""
-    rows = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_name")
+    """Whether an amount is written to the penny, and how dear a title's thing is."""
+    rows = read(spark, sf_dir, "part", "p_partkey", "p_size", "p_name", "p_type")
     amount = F.expr("cast(p_size / if(p_size % 2 = 0, 1, 4) AS string)")
-    title = F.concat("p_name", F.lit(" "), F.element_at(F.array(*map(F.lit, ("free", "dealer", "deal", "save now", "none"))), (F.col("p_size") % 5 + 1).cast("int")))
+    title = F.concat_ws(" ", "p_name", "p_type", F.element_at(F.array(*map(F.lit, ("bed", "gate", "cotton", "toy", "sets"))), (F.col("p_size") % 5 + 1).cast("int")))
     return rows.select(F.col("p_partkey").alias("id"), money.is_exact_pence(amount).alias("exact"), money.value_band(title).alias("band"))
 
 
-@query("SELECT id, round(abs(0.02 * (id % 7)) * 111.32 * abs(0.03) * 111.32 * cos(radians(lat + 0.01 * (id % 7))), 6) AS km2 FROM venues", VENUES)
+@query("SELECT id, round(greatest(0, 0.02 * (id % 7 - 1) * 111.0 * (0.03 * 111.0 * cos(radians(lat + 0.01 * (id % 7 - 1))))), 6) AS km2 FROM venues", VENUES)
 def box_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    north = F.col("lat") + 0.02 * (F.col("id") % 7)
+    """Areas of boxes, some of them upside down."""
+    north = F.col("lat") + 0.02 * (F.col("id") % 7 - 1)
     return venues(spark, sf_dir).select("id", F.round(geo.box_area_km2(F.col("lat"), north, F.col("lng"), F.col("lng") + 0.03), 6).alias("km2"))
 
 
@@ -139,13 +140,17 @@ def least_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings(spark, sf_dir).select("id", rules.least_age(age).alias("least"))
 
 
-@query("""SELECT id, CASE WHEN id % 3 = 0 THEN month(start) IN (10, 11, 12, 1, 2, 3) WHEN id % 3 = 1 THEN month(start) NOT IN (11, 12, 1) ELSE month(start) NOT IN (1, 2) END AS season,
-  id % 4 IN (0, 1) AND id % 5 <> 0 AS mistimed FROM listings""", LISTINGS)
+@query(r"""SELECT id, CASE WHEN start IS NULL THEN true WHEN contains(t, 'summer') AND month(start) IN (10, 11, 12, 1, 2, 3) THEN true WHEN regexp_matches(t, 'christmas|santa|festive') AND month(start) NOT IN (11, 12, 1) THEN true
+  ELSE regexp_matches(t, '\bnew year\s+20[0-9]{2}\b') AND month(start) NOT IN (1, 2) END AS season, NOT regexp_matches(t, 'overnight|sunrise|dawn|early morning') AND (id % 4 = 0 OR id % 4 = 1) AS mistimed, id % 7 = 3 AS adults
+  FROM (SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE start END AS start, lower(['Summer fair', 'Santa visit', 'New Year 2024', title][(id % 4 + 1)::INT] || CASE WHEN id % 5 = 0 THEN ' at dawn' WHEN id % 5 = 1 THEN ' with a festive tea' ELSE '' END) AS t FROM listings)""", LISTINGS)
 def season_and_time_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles that contradict their month, and times at night that the title does not explain."""
-    title = F.concat(F.element_at(F.array(F.lit("Summer fair"), F.lit("Santa visit"), F.lit("New Year 2024")), (F.col("id") % 3 + 1).cast("int")), F.when(F.col("id") % 5 == 0, " at dawn").otherwise(""))
-    time = F.element_at(F.array(F.lit("04:30"), F.lit("2:15 am"), F.lit("12:05 am"), F.lit("10:00-11:00")), (F.col("id") % 4 + 1).cast("int"))
-    return listings(spark, sf_dir).select("id", rules.season_conflict(title, F.col("start")).alias("season"), rules.suspicious_time(time, title).alias("mistimed"))
+    """Listings that contradict their month or have no start, times at night that they do not explain, and those for adults only."""
+    title = F.element_at(F.array(F.lit("Summer fair"), F.lit("Santa visit"), F.lit("New Year 2024"), F.col("title")), (F.col("id") % 4 + 1).cast("int"))
+    told = F.when(F.col("id") % 5 == 0, "at dawn").when(F.col("id") % 5 == 1, "with a Festive tea")
+    time = F.element_at(F.array(F.lit("04:30"), F.lit("2:15 am to 11:00 am"), F.lit("12:05 am"), F.lit("11:00 am to 5:00 am")), (F.col("id") % 4 + 1).cast("int"))
+    start = F.when(F.col("id") % 13 != 0, F.col("start"))
+    adults = rules.adults_only(title, F.when(F.col("id") % 7 == 3, "Adults  only"))
+    return listings(spark, sf_dir).select("id", rules.season_conflict(title, told, start).alias("season"), rules.suspicious_time(time, title, told).alias("mistimed"), adults.alias("adults"))
 
 
 @query("SELECT p_partkey AS id, p_size % 3 = 0 AS child FROM part")
@@ -155,12 +160,12 @@ def child_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").select(F.col("p_partkey").alias("id"), rules.has_child_word(title).alias("child"))
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 1 THEN 'missing_holiday_facts' WHEN p_size % 4 = 3 THEN 'missing_tuition_facts' END AS reason FROM part")
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 4 = 1 THEN 'missing_applicability: holiday dates, party size and fee breakdown required' WHEN p_size % 4 = 3 THEN 'missing_applicability: tuition subject, age, mode, duration and commitment required' END AS reason FROM part")
 def offers_that_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holidays and tuition must state whom and what they are for."""
     rows = read(spark, sf_dir, "part", "p_partkey", "p_size")
     words = ("From 3 May 2024: 2 adults, 1 child, all fees", "From 3 May 2024: 2 adults, all fees", "Maths, year 4, online, 10 lessons, cancel any time", "Maths, year 4, online")
-    item = F.when(F.col("p_size") % 4 < 2, "holiday").otherwise("tuition")
+    item = F.when(F.col("p_size") % 4 < 2, "Ski holidays").otherwise("Group tutoring")
     return rows.select(F.col("p_partkey").alias("id"), rules.applicability(item, F.element_at(F.array(*map(F.lit, words)), (F.col("p_size") % 4 + 1).cast("int"))).alias("reason"))
 
 
