@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -111,3 +112,12 @@ def test_learnt_words_are_parts_and_no_secrets(spark):
     texts = [f"session alpha_beta gammaDelta q8Zr2Lw9XtB4nV7cK1mS x{i} qwrtyuiopasdfghjklzx" for i in range(5)] + ["no such words: omega omega"] * 9
     words = credentials.learn_identifiers(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).split()
     assert set(words) == {"session", "alpha", "beta", "gamma", "Delta"}
+
+
+def test_what_the_alphabet_cannot_tell_is_no_secret():
+    """Numbers and small letters alone carry less than the least that counts, however new they are; keys of mixed alphabets do not."""
+    r = random.Random(11)
+    novel = lambda alphabet, n: credentials.novel_spans("the client secret: " + "".join(r.choice(alphabet) for _ in range(n)) + " end", [])
+    assert not any(novel("0123456789", 16) for _ in range(50)) and not any(novel("abcdefghijklmnopqrstuvwxyz", 20) for _ in range(50))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    assert sum(bool(novel(mixed, 32)) for _ in range(50)) >= 48 and sum(bool(novel(mixed[26:], 40)) for _ in range(50)) >= 45
