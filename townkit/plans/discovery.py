@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townkit.operators import discovery, growth, nearest
+from townkit.operators import cron, dependents, discovery, growth, nearest
 from townkit.plans.registry import query
-from townkit.sources.tables import VENUES, venues
+from townkit.sources.tables import LISTINGS, VENUES, listings, read, venues
 
 KM = "12742.0::DOUBLE * asin(sqrt(greatest(0.0, least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))))"
 
@@ -59,3 +59,63 @@ def council_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def council_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every venue as a discovered spot: what is stored, what an earlier council added, what is new."""
     return growth.discover(council_spots(spark, sf_dir), council_stored(spark, sf_dir))
+
+
+@query("""WITH_ALL, keys AS (SELECT DISTINCT name FROM stored_or_new WHERE id IS NULL), fresh AS (SELECT name, (SELECT max(id) + 1 FROM venues WHERE id % 3 = 0) + row_number() OVER (ORDER BY name) - 1 AS id FROM keys)
+  SELECT l AS listing, coalesce(s.id, f.id) AS venue_id, s.id IS NULL AS is_new FROM stored_or_new s LEFT JOIN fresh f USING (name)""".replace("WITH_ALL", """,
+  stored_or_new AS (SELECT l.id AS l, v.name, CASE WHEN v.id % 3 = 0 THEN v.id END AS id FROM listings l JOIN venues v ON v.id = l.venue_id)"""), VENUES, LISTINGS)
+def listings_with_new_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with the id of its venue: a third of the venues is stored, the others get ids when their listings are loaded."""
+    places = venues(spark, sf_dir).select(F.col("id").alias("venue_id"), "name", "category")
+    stored = places.where("venue_id % 3 = 0").withColumnRenamed("venue_id", "id")
+    arriving = listings(spark, sf_dir).select(F.col("id").alias("listing"), "venue_id", F.col("start")).join(places, "venue_id")
+    _, ids = dependents.upsert_returning(stored, arriving.select("name", "category", F.col("listing").alias("at")), "name", "id", "at")
+    known = stored.select(F.col("id").alias("venue_id"), F.lit(False).alias("is_new"))
+    linked = dependents.with_ids(arriving.select("name", "listing"), ids, "name").select("listing", F.col("id").alias("venue_id"))
+    return linked.join(known, "venue_id", "left").select("listing", "venue_id", F.coalesce("is_new", F.lit(True)).alias("is_new"))
+
+
+@query("""WITH records AS (SELECT l_orderkey AS batch, l_linenumber AS line, CASE WHEN l_quantity < 2 THEN 'small' WHEN l_discount > 0.09 THEN 'discount' END AS problem FROM lineitem),
+  report AS (SELECT o_orderkey AS batch, count(line)::BIGINT AS records, count(problem)::BIGINT AS bad, min(problem) AS first_problem, CASE WHEN o_orderkey % 10 = 0 THEN 3 WHEN o_orderstatus = 'F' THEN NULL ELSE count(line) END::BIGINT AS expected FROM orders LEFT JOIN records ON batch = o_orderkey GROUP BY o_orderkey, o_orderstatus)
+  SELECT *, bad = 0 AND coalesce(expected, records) = records AS published FROM report""")
+def published_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches of lines: one bad line, or another number of lines than stated, withholds the order."""
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    problem = F.when(F.col("l_quantity") < 2, "small").when(F.col("l_discount") > 0.09, "discount")
+    records = lines.select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("line"), problem.alias("problem"))
+    n = records.groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").join(n, F.col("o_orderkey") == F.col("batch"), "left")
+    expected = F.when(F.col("o_orderkey") % 10 == 0, 3).when(F.col("o_orderstatus") == "F", None).otherwise(F.coalesce("n", F.lit(0))).cast("long")
+    return dependents.whole_batches(records, "batch", "problem", orders.select(F.col("o_orderkey").alias("batch"), expected.alias("expected")))[1]
+
+
+#: Weekdays 1-5 from the first, every second day from the second kind of schedule, Sundays and firsts of months from the third.
+CRON_SQL = """SELECT s_suppkey AS workflow, s_suppkey % 60 AS m, s_suppkey % 24 AS h, s_suppkey % 3 AS kind FROM supplier"""
+
+
+@query(f"""SELECT workflow, month(slot)::INT AS month, count(*)::BIGINT AS n, min(slot) AS first, max(slot) AS last FROM (SELECT workflow, CASE WHEN local >= TIMESTAMP '2024-03-31 02:00' AND local < TIMESTAMP '2024-10-27 02:00' THEN local - INTERVAL 1 HOUR ELSE local END AS slot FROM
+  (SELECT workflow, d + to_hours(hh) + to_minutes(m) AS local FROM (SELECT *, unnest([h, (h + 11) % 24]) AS hh FROM ({CRON_SQL})), generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31', INTERVAL 1 DAY) AS t(d)
+   WHERE CASE kind WHEN 0 THEN isodow(d) <= 5 WHEN 1 THEN day(d) % 2 = 1 ELSE day(d) = 1 OR isodow(d) = 7 END)) GROUP BY ALL""")
+def cron_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slots of every supplier's schedule over a year of London time, by month (UTC)."""
+    key = F.col("s_suppkey")
+    day, weekday = (F.element_at(F.array(*map(F.lit, v)), (key % 3 + 1).cast("int")) for v in (("*", "*/2", "1"), ("1-5", "*", "7")))
+    schedules = read(spark, sf_dir, "supplier", "s_suppkey").select(key.alias("workflow"), F.concat_ws(" ", key % 60, F.concat_ws(",", key % 24, (key % 24 + 11) % 24), day, F.lit("*"), weekday).alias("cron"), F.lit("Europe/London").alias("zone"))
+    found = cron.slots(schedules, "2024-01-01", "2024-12-31")
+    return found.groupBy("workflow", F.month("slot").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
+@query("""WITH slots AS (SELECT 'w' || w AS workflow, d + to_hours(h) AS slot FROM (SELECT DISTINCT user_id % 20 AS w FROM events), generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) AS t(d), (VALUES (0), (6), (12), (18)) AS u(h) WHERE w % 2 = 0 OR h <> 6),
+  runs AS (SELECT 'w' || user_id % 20 AS workflow, event_id, ts AS created, CASE WHEN value >= 5 THEN ts + to_minutes(floor(value * 3)::BIGINT) END AS finished, event_type <> 'error' AS ok FROM events WHERE event_id % 7 = 0),
+  met AS (SELECT s.workflow, slot, r.* EXCLUDE (workflow) FROM (SELECT *, lead(slot) OVER (PARTITION BY workflow ORDER BY slot) AS until FROM slots) s LEFT JOIN runs r ON r.workflow = s.workflow AND created >= slot AND (until IS NULL OR created < until) QUALIFY row_number() OVER (PARTITION BY s.workflow, slot ORDER BY created, event_id::VARCHAR) = 1)
+  SELECT workflow, slot, event_id::VARCHAR AS run, round(date_sub('second', slot, created) / 60, 2) AS dispatch_minutes, CASE WHEN slot > TIMESTAMP '2024-01-25' THEN 'future' WHEN event_id IS NULL THEN CASE WHEN date_diff('second', slot, TIMESTAMP '2024-01-25') / 60 > 60 THEN 'missing' ELSE 'pending' END
+    WHEN finished IS NULL THEN 'incomplete' WHEN NOT ok THEN 'failed' WHEN date_sub('second', slot, created) / 60 > 60 OR date_sub('second', slot, finished) / 60 > 240 THEN 'late' ELSE 'success' END AS state FROM met""")
+def slot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ran for each slot of twenty workflows in a month: every seventh event is a run."""
+    rows = read(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    name = F.concat(F.lit("w"), F.col("user_id") % 20)
+    hours = F.when(F.col("user_id") % 2 == 0, "0 */6 * * *").otherwise("0 0,12-18/6 * * *")
+    schedules = rows.select(name.alias("workflow"), hours.alias("cron"), F.lit("UTC").alias("zone")).distinct()
+    done = F.when(F.col("value") >= 5, F.col("ts") + F.make_dt_interval(mins=F.floor(F.col("value") * 3).cast("int")))
+    runs = rows.where("event_id % 7 = 0").select(name.alias("workflow"), F.col("event_id").alias("run"), F.col("ts").alias("created"), done.alias("finished"), (F.col("event_type") != "error").alias("ok"))
+    return cron.ledger(cron.slots(schedules, "2024-01-01", "2024-01-31"), runs, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
