@@ -63,6 +63,12 @@ def norm_listing(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[-_/|,:;()\[\]&+]+", " "), r"\s+", " "))
 
 
+def comparable(value: Column) -> Column:
+    """Lower case, & as and, signs but apostrophes and ½ as spaces: what two records' texts are compared by."""
+    plain = F.replace(F.replace(F.lower(F.coalesce(value, F.lit(""))), F.lit("’"), F.lit("'")), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"[^\p{L}\p{N}_\s'½]", " "), r"\s+", " "))
+
+
 def category_slug(value: Column) -> Column:
     return F.regexp_replace(F.lower(value), r"[\s&-]+", "_")
 

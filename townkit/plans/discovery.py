@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townkit.operators import cron, dependents, discovery, growth, nearest
+from townkit.operators import cron, dependents, discovery, growth, likeness, nearest
 from townkit.plans.registry import query
 from townkit.sources.tables import LISTINGS, VENUES, listings, read, venues
 
@@ -119,3 +119,15 @@ def slot_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.when(F.col("value") >= 5, F.col("ts") + F.make_dt_interval(mins=F.floor(F.col("value") * 3).cast("int")))
     runs = rows.where("event_id % 7 = 0").select(name.alias("workflow"), F.col("event_id").alias("run"), F.col("ts").alias("created"), done.alias("finished"), (F.col("event_type") != "error").alias("ok"))
     return cron.ledger(cron.slots(schedules, "2024-01-01", "2024-01-31"), runs, F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"))
+
+
+FIRST_SENTENCE = r"[^.\n]*"
+
+
+@query(r"""WITH titles AS (SELECT DISTINCT trim(regexp_replace(lower(regexp_extract(coalesce(text, ''), '^[^.\n]*')), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents), items AS (SELECT DISTINCT trim(regexp_replace(lower(regexp_extract(coalesce(text, ''), '^[^.\n]*')), '[^a-z0-9]+', ' ', 'g')) AS t FROM benchmark)
+  SELECT a.t AS "inner", b.t AS "outer" FROM titles a JOIN items b ON length(a.t) >= 6 AND a.t <> b.t AND contains(b.t, a.t) UNION ALL SELECT b.t, a.t FROM titles a JOIN items b ON length(b.t) >= 6 AND a.t <> b.t AND contains(a.t, b.t)""")
+def titles_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sentences of documents that stand within those of benchmark items, and the other way round."""
+    title = lambda name: read(spark, sf_dir, name, "text").select(F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "^" + FIRST_SENTENCE, 0)), "[^a-z0-9]+", " ")).alias("name")).distinct()
+    a, b = title("documents"), title("benchmark")
+    return likeness.within(a, b).unionByName(likeness.within(b, a))
