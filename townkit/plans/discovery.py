@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from townkit.operators import cron, dependents, discovery, growth, likeness, nearest
 from townkit.plans.registry import query
+from townkit.sources import frames
 from townkit.sources.tables import LISTINGS, VENUES, listings, read, venues
 
 KM = "12742.0::DOUBLE * asin(sqrt(greatest(0.0, least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))))"
@@ -131,3 +132,15 @@ def titles_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = lambda name: read(spark, sf_dir, name, "text").select(F.trim(F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), "^" + FIRST_SENTENCE, 0)), "[^a-z0-9]+", " ")).alias("name")).distinct()
     a, b = title("documents"), title("benchmark")
     return likeness.within(a, b).unionByName(likeness.within(b, a))
+
+
+@query(r"""SELECT page_id AS page, k::BIGINT AS place, t AS description, CASE WHEN k = 1 THEN '$9' END AS requirements FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages WHERE page_id % 5 <> 0), (VALUES (0), (1)) AS v(k)""")
+def framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that every page pushes as framed data, their texts resolved; of five pages one breaks off and gives none."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    records = F.lit('1:{"x":[{"isEvents":true,"source":[{"description":"$a"},{"description":"$b","requirements":"$9"}]}]}\n')
+    data = F.concat(F.lit("a:T"), F.lower(F.hex(F.octet_length(title))), F.lit(","), title, F.lit("b:T2,$a"), records)
+    data = F.when(F.col("page_id") % 5 == 0, F.regexp_replace(data, r".{20}\n$", "")).otherwise(data)
+    pushed = F.concat("html", F.lit("<script>self.__next_f.push("), F.to_json(F.array(F.lit("1"), data)), F.lit(")</script>"))
+    found, _ = frames.published_records(read(spark, sf_dir, "pages", "page_id", "html").select("page_id", pushed.alias("html")))
+    return found.select("page", "place", "description", "requirements")
