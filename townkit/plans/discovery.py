@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from townkit.operators import cron, dependents, discovery, growth, likeness, nearest
 from townkit.plans.registry import query
-from townkit.sources import frames
+from townkit.sources import frames, listing_rows
 from townkit.sources.tables import LISTINGS, VENUES, listings, read, venues
 
 KM = "12742.0::DOUBLE * asin(sqrt(greatest(0.0, least(1.0, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))))"
@@ -144,3 +144,9 @@ def framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     pushed = F.concat("html", F.lit("<script>self.__next_f.push("), F.to_json(F.array(F.lit("1"), data)), F.lit(")</script>"))
     found, _ = frames.published_records(read(spark, sf_dir, "pages", "page_id", "html").select("page_id", pushed.alias("html")))
     return found.select("page", "place", "description", "requirements")
+
+
+@query()
+def listing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table rows or cards of every page that may be listings."""
+    return listing_rows.read_lines(read(spark, sf_dir, "pages", "page_id", "url", "html"))
