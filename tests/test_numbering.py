@@ -25,3 +25,22 @@ def test_nulls_ties_and_empty(spark):
 def test_no_task_gets_all_rows(spark):
     plan = numbered(spark.range(1000), [F.col("id")], "id", 4)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+def test_ranks_of_groups(spark):
+    """A null group, a group of one value, and one with most of the rows; null values take no place."""
+    import numpy as np
+
+    from townkit.operators import feeds
+    from townkit.operators.numbering import numbered_in_groups
+
+    values = {"hot": [(i * 37) % 101 for i in range(700)], "one": [5] * 30, None: [3, 1, 2, 2], "few": [4, 1]}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("hot", None)], "g string, v double").repartition(5)
+    p75 = {r["g"]: (r["at"], r["n"]) for r in feeds.percentile_cont(df, "g", "v", 0.75).collect()}
+    median = {r["g"]: r["median"] for r in feeds.upper_median(df, "g", "v").collect()}
+    for g, vs in values.items():
+        assert p75[g] == (float(np.percentile(vs, 75)), len(vs)) and median[g] == sorted(vs)[len(vs) // 2]
+    placed = numbered_in_groups(df.where("v IS NOT NULL"), ["g"], [F.col("v")], "v").collect()
+    for g, vs in values.items():
+        rows = sorted(((r["place"], r["v"], r["before"]) for r in placed if r["g"] == g), key=lambda r: r[0])
+        assert [r[0] for r in rows] == list(range(len(vs))) and [r[1] for r in rows] == sorted(vs) and [r[2] for r in rows] == [sum(sorted(vs)[:i]) for i in range(len(vs))]

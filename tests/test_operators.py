@@ -376,7 +376,7 @@ def test_series_lives_while_an_item_maps_to_it(spark):
     assert rows_of(found, "series", "items", "last_seq", "last_item") == [("A", 1, 2, "j"), ("B", 1, 3, "j")]
 
 
-@pytest.mark.parametrize("n", [1, 2, 19, 20, 21, 100])
+@pytest.mark.parametrize("n", [1, 20, 21])
 def test_nearest_rank(spark, n):
     import math
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from townkit.operators.numbering import numbered_in_groups
+
 
 def current_items(changes: DataFrame, item: str, seq: str, deleted: Column) -> DataFrame:
     """The last change of each item, without items whose last change deletes them: an aggregate, one row of an item a task."""
@@ -24,28 +26,39 @@ def series_state(changes: DataFrame, item: str, series: str, seq: str, deleted:
     return live.join(rows, series)
 
 
-def nearest_rank(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """group, n, at, most: the ceil(share * n)-th smallest value, not interpolated, from counts of each value.
+def ranked_values(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, value, from_, upto, n: each distinct value of each group with the places (from 0) that it takes among the group's n values.
 
-    Values are counted before the window, which then runs over distinct values of a group.
+    Values are counted first; the counts are then numbered over all groups by task offsets, so that a group with most of the rows, or with
+    as many values as rows, is no one task's. Null values take no place.
     """
-    from pyspark.sql import Window
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_count"))
+    placed = numbered_in_groups(counts, [group], [F.col(value)], "_count")
+    return placed.select(group, value, F.col("before").alias("from_"), (F.col("before") + F.col("_count")).alias("upto"), F.col("group_sum").alias("n"))
 
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group)
-    placed = counts.withColumns({"cum": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-    at = F.min(F.when(F.col("cum") >= F.ceil(F.col("n") * share), F.col(value)))
-    return placed.groupBy(group).agg(F.max("n").alias("n"), at.alias("at"), F.max(value).alias("most"))
+
+def value_at(value: str, place: Column) -> Column:
+    """An aggregate over ranked_values: the value at a place from 0."""
+    return F.min(F.when((F.col("from_") <= place) & (place < F.col("upto")), F.col(value)))
+
+
+def nearest_rank(rows: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
+    """group, n, at, most: the ceil(share * n)-th smallest value, not interpolated."""
+    placed = ranked_values(rows, group, value)
+    return placed.groupBy(group).agg(F.max("n").alias("n"), value_at(value, F.ceil(F.col("n") * share) - 1).alias("at"), F.max(value).alias("most"))
 
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
     """The value at place n div 2 + 1 of each group."""
-    from pyspark.sql import Window
+    return ranked_values(rows, group, value).groupBy(group).agg(value_at(value, F.floor(F.col("n") / 2)).alias("median"), F.max("n").alias("n"))
+
 
-    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(group)
-    placed = counts.withColumns({"cum": F.sum("c").over(w.orderBy(value)), "n": F.sum("c").over(w)})
-    return placed.groupBy(group).agg(F.min(F.when(F.col("cum") >= F.floor(F.col("n") / 2) + 1, F.col(value))).alias("median"), F.max("n").alias("n"))
+def percentile_cont(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """group, at, n: the value at share * (n - 1), interpolated between its neighbours."""
+    at = (F.col("n") - 1) * share
+    low, high = value_at(value, F.floor(at)), value_at(value, F.ceil(at))
+    found = ranked_values(rows, group, value).groupBy(group).agg(low.alias("_low"), high.alias("_high"), F.max("n").alias("n"))
+    return found.select(group, (F.col("_low") + (F.col("_high") - F.col("_low")) * (at - F.floor(at))).alias("at"), "n")
 
 
 def account(sources: DataFrame) -> DataFrame:

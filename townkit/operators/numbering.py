@@ -37,3 +37,18 @@ def numbered(df: DataFrame, order: list[Column], value: str | None = None, parti
         return out.select("row.*", number)
     here = Window.partitionBy("task").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     return out.select("row.*", number, (F.col("v_before") + F.coalesce(F.sum(v).over(here), F.lit(0))).alias("sum_before"))
+
+
+def numbered_in_groups(df: DataFrame, groups: list[str], order: list[Column], value: str | None = None) -> DataFrame:
+    """df with `place` (0, 1, ... in each group), `group_size` and, if `value` is named, `before` and `group_sum` of it: numbers over all rows, less those of the group's first row.
+
+    A group of any share of the rows is dealt to many tasks. Nulls are a group like others; a null value adds nothing.
+    """
+    rows = numbered(df, [*(F.col(g).asc_nulls_first() for g in groups), *order], value)
+    key = F.struct(*(F.col(g).alias(f"k{n}") for n, g in enumerate(groups)))
+    v = F.coalesce(F.col(value), F.lit(0)) if value else F.lit(0)
+    start = F.col("sum_before") if value else F.lit(0)
+    first = rows.groupBy(key.alias("_group")).agg(F.min("row_number").alias("_first"), F.count(F.lit(1)).alias("group_size"), F.min_by(start, "row_number").alias("_start"), F.sum(v).alias("group_sum"))
+    out = rows.withColumn("_group", key).join(first, "_group")
+    sums = [(F.col("sum_before") - F.col("_start")).alias("before"), "group_sum"] if value else []
+    return out.select(*df.columns, (F.col("row_number") - F.col("_first")).alias("place"), "group_size", *sums)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townkit.operators.numbering import numbered_in_groups
 from townkit.operators.stages import written
 
 
@@ -140,10 +141,10 @@ def stratified(rows: DataFrame, stratum: str, key: str, total: int, least: int =
 
 
 def every(rows: DataFrame, group: list[str], order: list[Column], most: int) -> DataFrame:
-    """At most `most` rows of each group at an even stride."""
-    n, place = F.count(F.lit(1)).over(Window.partitionBy(*group)), F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.col("_size") / most))
-    return rows.withColumn("_size", n).withColumn("_place", place).where((F.col("_place") % step == 0) & (F.col("_place") / step < most)).drop("_size", "_place")
+    """At most `most` rows of each group at an even stride; groups are numbered by task offsets, none is one task's."""
+    step = F.greatest(F.lit(1), F.floor(F.col("group_size") / most))
+    placed = numbered_in_groups(rows, group, order)
+    return placed.where((F.col("place") % step == 0) & (F.col("place") / step < most)).select(*rows.columns)
 
 
 def neighbour_votes(candidates: DataFrame, km: float = 40.0, strict: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from townkit.functions import text
-from townkit.operators import eligibility, identity, ranking, views
+from townkit.operators import eligibility, identity, numbering, ranking, views
 from townkit.plans.registry import query
 from townkit.sources import documents
 from townkit.sources.tables import NEWS, news, read
@@ -87,8 +87,7 @@ def stride_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many characters of each text fit into 20,000 a source, in order: only lengths are sorted, not texts."""
     rows = read(spark, sf_dir, "documents", "doc_id", "source", "text").select("source", F.col("doc_id").alias("id"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
-    w = Window.partitionBy("source").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    spent = rows.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).where("before < 20000")
+    spent = numbering.numbered_in_groups(rows, ["source"], [F.col("id")], "n").where("before < 20000")
     return spent.select("source", "id", F.least(F.col("n").cast("long"), 20000 - F.col("before")).alias("taken"))
 
 

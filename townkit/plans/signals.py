@@ -16,8 +16,10 @@ from townkit.sources.tables import SIGNALS, read, signals
 
 @query("SELECT kind, round(quantile_cont(value, 0.75), 6) AS p75, round(avg(CASE WHEN value <= 20 THEN 1.0 ELSE 0.0 END) * 100, 4) AS good, count(*)::BIGINT AS n FROM signals GROUP BY kind HAVING count(*) >= 20", SIGNALS)
 def vitals_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = signals(spark, sf_dir).groupBy("kind").agg(F.round(F.percentile("value", F.lit(0.75)), 6).alias("p75"), F.round(F.avg((F.col("value") <= 20).cast("double")) * 100, 4).alias("good"), F.count(F.lit(1)).alias("n"))
-    return found.where("n >= 20")
+    rows = signals(spark, sf_dir)
+    quartile = feeds.percentile_cont(rows, "kind", "value", 0.75).select("kind", F.round("at", 6).alias("p75"))
+    found = rows.groupBy("kind").agg(F.round(F.avg((F.col("value") <= 20).cast("double")) * 100, 4).alias("good"), F.count(F.lit(1)).alias("n"))
+    return quartile.join(found.where("n >= 20"), "kind")
 
 
 @query("SELECT kind, CASE WHEN value < 0 THEN 0 WHEN value >= 100 THEN 11 ELSE floor(value / 10)::BIGINT + 1 END AS bucket, count(*)::BIGINT AS n FROM signals GROUP BY 1, 2", SIGNALS)
