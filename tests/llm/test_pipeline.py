@@ -92,4 +92,4 @@ def test_stages_on_awkward_and_empty_documents(spark, awkward, no_documents):
 
 
 def test_queries_are_named_by_number():
-    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert [int(n[2:].split("_")[0]) for n in QUERIES] == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
