@@ -94,7 +94,7 @@ def phrases_in_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KEY_SQL = r"""CASE WHEN regexp_matches(s.title, '(?i)\b(kids (eat|go) free)\b') AND l_linenumber % 3 <> 0 AND l_discount > 0.05 THEN 'benefit:kids go free:shop' || l_suppkey
-  WHEN l_partkey % 5 = 0 THEN 'taxonomy:' || CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 40 + 1 ELSE l_partkey END || CASE WHEN l_returnflag = 'R' THEN ':https://shop' || l_suppkey ELSE '' END
+  WHEN l_partkey % 5 = 0 AND l_partkey <> 0 THEN 'taxonomy:' || CASE WHEN l_partkey % 2 = 0 THEN l_partkey % 40 + 1 ELSE l_partkey END || CASE WHEN l_returnflag = 'R' THEN ':https://shop' || l_suppkey ELSE '' END
   WHEN regexp_matches(p_name, 'ring') THEN 'item:rings' WHEN regexp_matches(p_name, '(red|blue) (bolt|gear)') THEN 'item:parts'
   WHEN regexp_matches(p_name, 'gizmo') AND p_size <= 25 THEN 'item:rings' WHEN p_size <= 25 THEN 'matched:' || lower(p_type) || ' 1' ELSE 'title:' || p_name || CASE WHEN l_discount > 0.05 THEN ' kids go free under 5' ELSE '' END END"""
 
