@@ -93,3 +93,32 @@ def relative_age(at: Column, now: Column) -> Column:
 def year_month(value: Column) -> Column:
     """The first day of a month written as yyyymm."""
     return F.try_to_date(F.concat(value, F.lit("01")), "yyyyMMdd")
+
+
+#: Months and zones of mail dates, with the zones' hours.
+MAIL_MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+MAIL_ZONES = {"ut": 0, "utc": 0, "gmt": 0, "z": 0, "est": -5, "edt": -4, "cst": -6, "cdt": -5, "mst": -7, "mdt": -6, "pst": -8, "pdt": -7}
+MAIL_DATE = r"^\s*(?:[a-z]{3},?\s+)?([0-9]{1,2})\s+([a-z]{3})[a-z]*\s+([0-9]{4})\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?(?:\s+([+-][0-9]{4}|[a-z]{1,3}))?\s*$"
+
+
+def mail_instant(value: Column) -> Column:
+    """The UTC instant of a mail date ('Tue, 5 Mar 2024 09:10:00 +0100'); without a zone, or with one that is not known, it is UTC. Null if there is no such time."""
+    low = F.lower(value)
+    part = lambda n: F.regexp_extract(low, MAIL_DATE, n)
+    number = lambda n: F.nullif(part(n), F.lit("")).cast("int")
+    month = F.nullif(F.array_position(F.array(*map(F.lit, MAIL_MONTHS)), part(2)), F.lit(0)).cast("int")
+    day = F.try_make_timestamp_ntz(number(3), month, number(1), number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("decimal(8,6)"))
+    zones = F.create_map(*(F.lit(x) for name, hours in MAIL_ZONES.items() for x in (name, hours * 60)))
+    digits = F.substring(part(7), 2, 2).try_cast("int") * 60 + F.substring(part(7), 4, 2).try_cast("int")
+    minutes = F.when(part(7).startswith("+"), digits).when(part(7).startswith("-"), -digits).otherwise(F.coalesce(F.try_element_at(zones, part(7)), F.lit(0)))
+    return F.when(low.rlike(MAIL_DATE), day - F.make_dt_interval(mins=minutes))
+
+
+def mail_date(instant: Column) -> Column:
+    """A UTC instant as a mail date with the zone +0000."""
+    return F.concat(F.date_format(instant, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
+
+
+def epoch_mail_date(seconds: Column) -> Column:
+    """Seconds since 1970 as a mail date; empty for none."""
+    return F.coalesce(mail_date(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))), F.lit(""))
