@@ -27,8 +27,10 @@ def brute(words):
     return sorted(found)
 
 
+@pytest.mark.parametrize("key", [64, 3])
 @pytest.mark.parametrize("seed", range(60))
-def test_runs_of_random_words(seed):
+def test_runs_of_random_words(seed, key, monkeypatch):
+    monkeypatch.setattr(periods, "KEY", key)
     r = random.Random(seed)
     words = [r.randrange(2 + seed % 4) for _ in range(r.randrange(5, 120))]
     for _ in range(r.randrange(4)):  # repeats of all lengths, some of them cut or broken
@@ -37,6 +39,17 @@ def test_runs_of_random_words(seed):
     assert periods.runs_of(np.array(words)) == brute(words)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_long_periods(seed):
+    """Runs of long periods among repeats that are none, and runs within their periods."""
+    r = random.Random(seed)
+    words = [r.randrange(40) for _ in range(300)]
+    for period in (150, 333, 260):
+        root = [r.randrange(3) if k % 90 > 70 else 7 if k % 90 > 40 else r.randrange(60) for k in range(period)]
+        words += (root * 4)[: 2 * period + r.randrange(-1, period)] + [r.randrange(5000) for _ in range(r.randrange(90))] + root[: r.randrange(20, period)]
+    assert periods.runs_of(np.array(words)) == brute(words)
+
+
 @pytest.mark.parametrize("period", [*range(1, 40), 61, 62, 63, 126, 127, 200])
 @pytest.mark.parametrize("more", [0, 1])
 def test_least_runs(period, more):

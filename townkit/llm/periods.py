@@ -20,6 +20,9 @@ from townkit.llm.shared import batch_of, id_and_text
 WORD = re.compile("[^ \t-\r]+")
 #: A run has at least so many words, and at least twice its period.
 SHORTEST = 12
+#: Words of a block that are its key: of a longer block the first ones. An automaton that meets a key at every place of a text looks through all
+#: its words there, so that keys as long as the blocks would make a text of one word a square of work. The extension compares all words.
+KEY = 64
 #: Words that one step of an extension compares at most.
 STRIDE = 65_536
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
@@ -109,8 +112,9 @@ def seeds(ids: np.ndarray, sequence: tuple, gaps: np.ndarray, block: int, low: i
     if not len(starts):
         return nothing, nothing
     places: dict[tuple, list[int]] = {}
+    key_length = min(block, KEY)
     for p in starts.tolist():
-        places.setdefault(sequence[p : p + block], []).append(p)
+        places.setdefault(sequence[p : p + key_length], []).append(p)
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for key, at in places.items():
         automaton.add_word(key, (at, []))
@@ -119,7 +123,7 @@ def seeds(ids: np.ndarray, sequence: tuple, gaps: np.ndarray, block: int, low: i
     for end, value in automaton.iter(sequence):
         if not value[1]:
             met.append(value)
-        value[1].append(end - block + 1)
+        value[1].append(end - key_length + 1)
     out_p, out_d = [nothing], [nothing]
     for at, seen in met:
         if len(seen) < 2:
@@ -144,14 +148,15 @@ def runs_of(ids: np.ndarray) -> list[tuple[int, int, int]]:
     until, period_at = np.zeros(n, np.int64), np.ones(n, np.int64)
     for block, low, high in scales(n):
         p, d = seeds(ids, sequence, gaps, block, low, high)
-        fresh = (until[p] < p + d + block) | (d % period_at[p] != 0)
+        met = min(block, KEY)
+        fresh = (until[p] < p + d + met) | (d % period_at[p] != 0)
         order = np.lexsort((p[fresh], d[fresh]))
         distance, end = 0, 0
         for at, q in zip(p[fresh][order].tolist(), d[fresh][order].tolist(), strict=True):
-            if q == distance and at + q + block <= end:
+            if q == distance and at + q + met <= end:
                 continue  # in the stretch that was extended last
             start = at - equal_before(ids, sequence, at, at + q)
-            distance, end = q, at + q + block + equal_after(ids, sequence, at + block, at + block + q)
+            distance, end = q, at + q + met + equal_after(ids, sequence, at + met, at + met + q)
             if end - start >= max(SHORTEST, 2 * q) and (start, end - start, q) not in found and is_smallest(ids, start, q):
                 found.add((start, end - start, q))
                 longer = until[start:end] < end
