@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townkit.functions import dates
-from townkit.operators import editorial
+from townkit.functions import dates, text
+from townkit.operators import editorial, merge, paging
 from townkit.plans.registry import query
-from townkit.sources.tables import read
+from townkit.sources.tables import VENUES, read, venues
 
 
 @query("""SELECT event_id AS id, cadence, day, CASE WHEN cadence = 'weekly' THEN (day - DATE '0001-01-01' + 1) // 7 ELSE day - DATE '0001-01-01' + 1 END::BIGINT AS topic_place FROM
@@ -31,9 +31,9 @@ def due_editorial_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def post_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as posts, a turn a section: the first rule that each breaks, and what its length lacks."""
     rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumnsRenamed({"conv_id": "post", "turn": "section"})
-    text = F.coalesce("text", F.lit(""))
-    title = F.regexp_extract(text, r"^[^.\n]*", 0)
-    posts = rows.groupBy("post").agg(F.min_by(F.struct(title.alias("title"), F.substring(text, 1, 200).alias("summary")), "section").alias("p")).select("post", F.when(F.col("post") % 2 == 0, "daily").otherwise("weekly").alias("cadence"), "p.*")
+    body = F.coalesce("text", F.lit(""))
+    title = F.regexp_extract(body, r"^[^.\n]*", 0)
+    posts = rows.groupBy("post").agg(F.min_by(F.struct(title.alias("title"), F.substring(body, 1, 200).alias("summary")), "section").alias("p")).select("post", F.when(F.col("post") % 2 == 0, "daily").otherwise("weekly").alias("cadence"), "p.*")
     sections = rows.select("post", "section", F.concat(F.lit("Part "), "section").alias("heading"))
     paragraphs = rows.where("text IS NOT NULL").select("post", "section", F.explode(F.split("text", "\n")).alias("text"))
     return editorial.post_problems(posts, sections, paragraphs, rows.where("section = 1").select(title.alias("title")))
@@ -46,3 +46,32 @@ def mail_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("o_orderkey") % 86400)
     rows = read(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(F.col("o_orderkey").alias("id"), dates.mail_instant(F.concat(F.date_format(at, "EEE, d MMM yyyy HH:mm:ss"), zone)).alias("instant"))
     return rows.select("id", "instant", dates.mail_date(F.col("instant")).alias("written"))
+
+
+@query("SELECT doc_id AS id, nullif(substr(trim(text, ' '), 1, 120), '') AS shown, trim(regexp_replace(regexp_replace(replace(replace(lower(coalesce(text, '')), '''', ''), '’', ''), '[-_/|,:;()\\[\\]&+]+', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM documents")
+def clean_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as it may be shown (trimmed, cut, empty as null), and as terms are matched in it."""
+    return read(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("id"), text.trim_to_null(F.col("text"), 120).alias("shown"), text.norm_listing(F.col("text")).alias("plain"))
+
+
+@query("SELECT id, name, (SELECT count(*) > 48 FROM venues WHERE visible AND council = 3) AS has_more FROM venues WHERE visible AND council = 3 ORDER BY name, id LIMIT 48", VENUES)
+def page_with_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A council's first page, and whether there is another, from one row too many."""
+    rows, more = paging.has_more(venues(spark, sf_dir).where("visible AND council = 3").select("id", "name"), [F.col("name"), F.col("id")], 48)
+    return rows.withColumn("has_more", F.lit(more))
+
+
+@query("""SELECT local::DATE AS day, hour(local)::INT AS hour, count(*)::BIGINT AS n FROM (SELECT CASE WHEN t >= TIMESTAMP '2024-03-31 01:00' THEN t + INTERVAL 1 HOUR ELSE t END AS local FROM (SELECT ts + INTERVAL 75 DAY AS t FROM events)) GROUP BY ALL""")
+def london_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events by London day and hour, 75 days later: before and after the clocks change."""
+    at = F.col("ts") + F.expr("INTERVAL 75 DAYS")
+    return read(spark, sf_dir, "events", "ts").groupBy(dates.london_date(at).alias("day"), F.hour(dates.to_london(at)).alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN council = 3 AND free THEN 'reviewed' ELSE 'open' END AS status FROM venues", VENUES)
+def reviewed_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A change of one council's free venues, made only if they are as many as the plan, here the council's own sums, says."""
+    rows = venues(spark, sf_dir).select("id", "council", "free")
+    planned = rows.groupBy("council").agg(F.count(F.when(F.col("free"), 1)).alias("n")).where("council = 3").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).collect()[0]["n"]
+    cohort = merge.assert_count(rows.where("council = 3 AND free").select("id"), planned)
+    return rows.join(cohort.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), "reviewed").otherwise("open").alias("status"))
