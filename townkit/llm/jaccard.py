@@ -20,7 +20,7 @@ from townkit.llm.shared import batch_of, components, id_and_text, sized, spread_
 
 WORD = re.compile(r"[^\W_]+")
 #: Word hashes that a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 60_000
 
 
 @dataclass(frozen=True)

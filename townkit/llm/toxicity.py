@@ -220,7 +220,7 @@ EXAMPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("total", p
 FREQUENCIES = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("nearest", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
 #: Term counts of documents whose score a worker remembers.
-REMEMBERED = 4_000
+REMEMBERED = 2_000
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Index:
