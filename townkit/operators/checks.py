@@ -38,7 +38,7 @@ def offer_problem(now: Column, most_days: int = 45) -> Column:
 def local_places(answers: DataFrame, districts: DataFrame, aliases: DataFrame) -> DataFrame:
     """id, district, county, problem of answers (id, nation, locality, admin_area, title) against districts (district, county, nation) and aliases (alias, name).
 
-    Names are slugs without a council's suffix, then their canonical name. A known district brings its county; one that is not known is never widened to a county;
+    Names are slugs without a council's suffix, then their canonical name. A known district brings its county, if it has one; one that is not known is never widened to a county;
     without a locality, the area may be a district or a county of the nation. What is found must stand in the title under its name or an alias, else nothing counts.
     The two tables are gazetteers: lists of names, joined by key.
     """
@@ -47,12 +47,12 @@ def local_places(answers: DataFrame, districts: DataFrame, aliases: DataFrame) -
     for column in ("loc", "adm"):
         rows = rows.join(aliases.select(F.col("alias").alias(column), F.col("name").alias(f"{column}_name")), column, "left").withColumn(column, F.coalesce(f"{column}_name", column))
     for column in ("loc", "adm"):
-        rows = rows.join(districts.select(F.col("district").alias(column), F.col("county").alias(f"{column}_county"), F.col("nation").alias("nation")), [column, "nation"], "left")
-    counties = districts.select(F.col("county").alias("adm"), "nation").distinct().withColumn("is_county", F.lit(True))
+        rows = rows.join(districts.select(F.col("district").alias(column), F.col("county").alias(f"{column}_county"), "nation", F.lit(True).alias(f"{column}_known")), [column, "nation"], "left")
+    counties = districts.where("county IS NOT NULL").select(F.col("county").alias("adm"), "nation").distinct().withColumn("is_county", F.lit(True))
     rows = rows.join(counties, ["adm", "nation"], "left")
     as_county = F.when(F.col("is_county"), F.col("adm")).otherwise(F.col("adm_county"))
-    district = F.when(F.col("loc_county").isNotNull(), F.col("loc")).when(F.col("loc").isNull() & F.col("adm_county").isNotNull(), F.col("adm"))
-    county = F.when(F.col("loc_county").isNotNull(), F.col("loc_county")).when(F.col("loc").isNull(), as_county)
+    district = F.when(F.col("loc_known"), F.col("loc")).when(F.col("loc").isNull() & F.col("adm_known"), F.col("adm"))
+    county = F.when(F.col("loc_known"), F.col("loc_county")).when(F.col("loc").isNull(), as_county)
     rows = rows.withColumns({"found_district": district, "found_county": county}).withColumn("found", F.coalesce("found_district", "found_county"))
     others = aliases.groupBy(F.col("name").alias("found")).agg(F.collect_set("alias").alias("others"))
     rows = rows.join(others, "found", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townkit.functions import dates, text
-from townkit.operators import editorial, merge, paging
+from townkit.operators import editorial, geography, merge, paging
 from townkit.plans.registry import query
 from townkit.sources.tables import VENUES, read, venues
 
@@ -75,3 +75,13 @@ def reviewed_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = rows.groupBy("council").agg(F.count(F.when(F.col("free"), 1)).alias("n")).where("council = 3").agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).collect()[0]["n"]
     cohort = merge.assert_count(rows.where("council = 3 AND free").select("id"), planned)
     return rows.join(cohort.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), "reviewed").otherwise("open").alias("status"))
+
+
+@query("""SELECT conv_id AS batch, count(*)::BIGINT AS expected, count(DISTINCT a)::BIGINT AS received, CASE WHEN count(*) <> count(DISTINCT a) THEN 'missing/duplicate/out-of-range article results' END AS warning
+  FROM (SELECT c.conv_id, c.turn, CASE WHEN EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.conv_id % 4 <> 0 AND c.turn = CASE WHEN d.turn % 5 = 3 THEN d.turn - 1 ELSE d.turn END) THEN c.turn END AS a FROM conversations c) GROUP BY conv_id""")
+def answered_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as batches of items, with answers of which some state another's index or none: which batches are not answered whole."""
+    rows = read(spark, sf_dir, "conversations", "conv_id", "turn", "role").select(F.col("conv_id").alias("batch"), F.col("turn").cast("int").alias("index"), "role")
+    stated = F.when(F.col("batch") % 4 == 0, F.concat(F.lit("x"), "index")).when(F.col("index") % 5 == 3, (F.col("index") - 1).cast("string")).otherwise(F.col("index").cast("string"))
+    answers = rows.select("batch", F.col("index").alias("place"), stated.alias("i"), F.col("role").alias("answer"))
+    return geography.attached(answers, rows.select("batch", "index"))[1]
