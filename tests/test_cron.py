@@ -1,7 +1,6 @@
 from datetime import UTC, date, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-import pytest
 from pyspark.sql import functions as F
 
 from townkit.operators import cron

@@ -2,7 +2,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from townkit.streaming import outbox
 
