@@ -12,26 +12,29 @@ from townkit.functions.similarity import ratio
 METRES = 12_742_000.0
 
 
-def block_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float, similarity: Column, order: list[Column]) -> DataFrame:
-    """candidate, match, score: the best stored row of the block for each candidate; equal names score 1.
+def block_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float, similarity: Column) -> DataFrame:
+    """candidate, match, score: the best stored row of the block for each candidate, ties by the least match; equal names score 1.
 
-    candidates: candidate, name, block; stored: match, stored_name, block. similarity is over name and stored_name.
+    candidates: candidate, name, block; stored: match, stored_name, block. similarity is over name and stored_name. Names that repeat in
+    a block are compared once: its pairs are those of its different names, whatever the number of rows.
     """
-    pairs = candidates.join(stored, block)
-    scored = pairs.withColumn("score", F.when(F.col("name") == F.col("stored_name"), 1.0).otherwise(similarity)).where(F.col("score") >= least)
-    n = F.row_number().over(Window.partitionBy("candidate").orderBy(F.desc("score"), *order))
-    return scored.withColumn("_n", n).where("_n = 1").select("candidate", "match", "score")
+    names, kept = candidates.select(block, "name").distinct(), stored.groupBy(block, "stored_name").agg(F.min("match").alias("match"))
+    scored = names.join(kept, block).withColumn("score", F.when(F.col("name") == F.col("stored_name"), 1.0).otherwise(similarity)).where(F.col("score") >= least)
+    best_first = F.struct(-F.col("score"), "match")
+    best = scored.groupBy(block, "name").agg(F.min_by(F.struct("match", "score"), best_first).alias("b")).select(block, "name", "b.*")
+    found = candidates.join(best, [block, "name"]).groupBy("candidate").agg(F.min_by(F.struct("match", "score"), best_first).alias("b"))
+    return found.select("candidate", "b.match", "b.score")
 
 
 def token_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float = 0.5) -> DataFrame:
     """As block_matches, by shared words: columns only."""
     words = lambda c: F.split(F.col(c), " ")
-    return block_matches(candidates, stored, block, least, text.jaccard(words("name"), words("stored_name")), [F.col("match")])
+    return block_matches(candidates, stored, block, least, text.jaccard(words("name"), words("stored_name")))
 
 
 def ratio_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float = 0.86) -> DataFrame:
-    """As block_matches, by the Ratcliff-Obershelp ratio, which only pairs of a block are measured by."""
-    return block_matches(candidates, stored, block, least, ratio("name", "stored_name"), [F.col("match")])
+    """As block_matches, by the Ratcliff-Obershelp ratio, which only pairs of different names of a block are measured by."""
+    return block_matches(candidates, stored, block, least, ratio("name", "stored_name"))
 
 
 def reference_matches(candidates: DataFrame, stored: DataFrame) -> DataFrame:
