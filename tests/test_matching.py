@@ -30,3 +30,17 @@ def test_copies_of_names_are_measured_once_a_block(spark, measured):
     found = {r["candidate"]: (r["match"], round(r["score"], 3)) for r in matching.ratio_matches(asked, stored, "block", 0.55).collect()}
     assert len(found) == 2_000 and found[8] == (5, round(16 / 17, 3)) and found[9] == (5, 1.0) and found[10] == (6, 1.0)
     assert 0 < measured.value <= 16 * 3
+
+
+def test_words_of_copies_are_compared_once_a_block(spark):
+    rows = spark.range(40_000).select("id", F.element_at(F.array(*map(F.lit, ("red ring", "red bolt"))), (F.floor(F.col("id") / 2) % 2 + 1).cast("int")).alias("n"), F.lit("b").alias("block"))
+    asked, stored = rows.where("id % 2 = 0").selectExpr("id AS candidate", "n AS name", "block"), rows.where("id % 2 = 1 AND n = 'red bolt'").selectExpr("id AS match", "n AS stored_name", "block")
+    pairs = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(a, b):
+        pairs.add(1)
+        return 0.5
+
+    found = {(r["match"], r["score"]) for r in matching.block_matches(asked, stored, "block", 0.3, counted("name", "stored_name")).collect()}
+    assert found == {(3, 0.5), (3, 1.0)} and pairs.value <= 8  # a plan may ask twice
