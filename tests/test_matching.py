@@ -44,3 +44,35 @@ def test_words_of_copies_are_compared_once_a_block(spark):
 
     found = {(r["match"], r["score"]) for r in matching.block_matches(asked, stored, "block", 0.3, counted("name", "stored_name")).collect()}
     assert found == {(3, 0.5), (3, 1.0)} and pairs.value <= 8  # a plan may ask twice
+
+
+def similarity(a, b):
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def rare_names(n, seed, letters="abc d", longest=9):
+    """Names of few letters, so that they are alike in all degrees; some empty, some null."""
+    import random
+
+    draw = random.Random(seed)
+    return [None if i % 17 == 16 else "".join(draw.choice(letters) for _ in range(draw.randint(0, longest))) for i in range(n)]
+
+
+def test_addresses_against_all_pairs_and_their_cost(spark, measured):
+    names, kept = rare_names(60, 1), rare_names(60, 2)
+    codes = ["A", "B", "", None]
+    plain = lambda x: " ".join(w for w in (x or "").split() if w != "a")
+    expected = {}
+    for i, name in enumerate(names):
+        code = codes[i % 4]
+        near = [(j, plain(k)) for j, k in enumerate(kept) if codes[j % 4] == code]
+        exact = min((j for j, k in near if k == plain(name)), default=None)
+        like = any(similarity(plain(name), k) >= 0.55 for _, k in near)
+        expected[i] = (None, "none") if not code else (exact, "exact") if exact is not None else (None, "unsure" if like else "new")
+    items, venues = spark.createDataFrame([(i, x, codes[i % 4]) for i, x in enumerate(names)], "item int, name string, postcode string"), spark.createDataFrame([(j, x, codes[j % 4]) for j, x in enumerate(kept)], "venue_id int, venue_name string, postcode string")
+    assert {r["item"]: (r["venue_id"], r["outcome"]) for r in matching.resolve(items, venues).collect()} == expected
+    before = measured.value
+    many = spark.range(2_000)
+    items, venues = many.selectExpr("id AS item", "concat('customer ', lpad(id, 9, '0'), ' annex') AS name", "'A' AS postcode"), many.selectExpr("id AS venue_id", "concat('customer ', lpad(id, 9, '0')) AS venue_name", "'A' AS postcode")
+    assert {r["outcome"] for r in matching.resolve(items, venues).collect()} == {"unsure"}
+    assert measured.value - before <= 4 * 2_000

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from townkit.functions import geo, text
 from townkit.functions.similarity import ratio
+from townkit.operators.stages import written
 
 METRES = 12_742_000.0
 
@@ -37,39 +38,95 @@ def ratio_matches(candidates: DataFrame, stored: DataFrame, block: str, least: f
     return block_matches(candidates, stored, block, least, ratio("name", "stored_name"))
 
 
+def signs(name: Column) -> Column:
+    """The characters of a name, a repeat as a sign of its own: what two names share of these is the most that the ratio can match."""
+    at = lambda i: F.substring(name, i, 1)
+    before = lambda i: F.substring(name, F.lit(1), i)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(at(i), F.length(F.replace(before(i), at(i), F.lit(""))) - i))
+    return F.when(F.length(name) > 0, each).otherwise(F.array().cast("array<string>"))
+
+
+def fits(least: float) -> Column:
+    """Whether names of these lengths can be that alike."""
+    return 2 * F.least("size", "kept_size") >= least * (F.col("size") + F.col("kept_size")) - 1e-9
+
+
+def sized(asked: DataFrame, stored: DataFrame, on: list[str], least: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with lengths, the asked one with each length of its block that can be alike enough, so that they join by `on` and kept_size."""
+    kept = stored.withColumn("kept_size", F.length("stored_name"))
+    lengths = kept.select(*on, "kept_size").distinct()
+    return asked.withColumn("size", F.length("name")).join(lengths, on).where(fits(least)), kept
+
+
+def best_alike(asked: DataFrame, stored: DataFrame, on: list[str], by: list[str], least: float, where: Column | None = None) -> DataFrame:
+    """by, name, match, r: the stored row most alike by the ratio, of those with equal `on` that satisfy `where`; ties by the least match.
+
+    asked: by, name, on and what `where` needs; stored: match, stored_name, on and the like. No ratio is above what the lengths and the
+    shared signs of two names allow, nor above what their edits leave. The most promising row is measured first, and then only rows that
+    could be as much alike.
+    """
+    a, b = sized(asked.withColumn("signs", signs(F.col("name"))), stored.withColumn("kept_signs", signs(F.col("stored_name"))), on, least)
+    both = F.col("size") + F.col("kept_size")
+    shared = F.when(both == 0, 1.0).otherwise(2 * F.size(F.array_intersect("signs", "kept_signs")) / both)
+    # an edit leaves one character unmatched at least
+    bound = F.when(both == 0, 1.0).otherwise(F.least("shared", 1 - F.levenshtein("name", "stored_name") / both))
+    group = [*by, "name"]
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        met = rows.join(b, [*on, "kept_size"])
+        return (met if where is None else met.where(where)).withColumn("shared", shared).where(F.col("shared") >= least - 1e-9).withColumn("bound", bound).where(F.col("bound") >= least - 1e-9)
+
+    first = pairs(a).groupBy(*group).agg(F.max_by("stored_name", F.struct("bound", (-F.col("match")).alias("m"))).alias("stored_name"))
+    first = written(first.select(*group, ratio("name", "stored_name").alias("floor")), "first")
+    rest = pairs(a.join(first, group)).where(F.col("bound") >= F.col("floor") - 1e-9)
+    scored = rest.withColumn("r", ratio("name", "stored_name")).where(F.col("r") >= least)
+    return scored.groupBy(*group).agg(F.min_by(F.struct("match", "r"), F.struct(-F.col("r"), "match")).alias("b")).select(*group, "b.*")
+
+
+def distinct_stored(stored: DataFrame, *columns: str) -> DataFrame:
+    return stored.groupBy(*columns, "stored_name").agg(F.min("match").alias("match"))
+
+
 def reference_matches(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     """candidate, match, method, confidence of the best stored place: exact name in the postcode, a like name there, or a like name within 80 m.
 
-    candidates: candidate, name, postcode, lat, lng; stored: match, stored_name, postcode, lat, lng. Pairs come from equal postcodes and
-    from neighbouring grid cells; each pair is scored once.
+    candidates: candidate, name, postcode, lat, lng; stored: match, stored_name, postcode, lat, lng. The methods rank in this order, as
+    their confidences do, so each is asked only for what the one before did not find: equal keys, then equal postcodes, then neighbouring
+    grid cells. Rows that are equal in what is compared are compared once.
     """
     a = candidates.select("candidate", "name", F.col("postcode").alias("pc"), F.col("lat").alias("la"), F.col("lng").alias("lo"))
-    b = stored.select("match", "stored_name", "postcode", "lat", "lng")
-    by_code = a.join(b, F.col("pc") == F.col("postcode"))
-    cells = a.withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo"))))
-    by_cell = cells.join(b.withColumn("cell", geo.cell(F.col("lat"), F.col("lng"))), "cell").drop("cell")
-    pairs = by_code.unionByName(by_cell).distinct()
-    scored = pairs.withColumns({"r": ratio("name", "stored_name"), "metres": geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng"), METRES)})
-    same = F.col("pc") == F.col("postcode")
-    method = F.when(same & (F.col("name") == F.col("stored_name")), "exact").when(same & (F.col("r") >= 0.86), "postcode_fuzzy_name").when((F.col("metres") <= 80) & (F.col("r") >= 0.75), "near_name")
-    confidence = F.when(F.col("method") == "exact", 1.0).when(F.col("method") == "postcode_fuzzy_name", F.least(F.lit(0.99), 0.78 + 0.2 * F.col("r"))).otherwise(F.least(F.lit(0.97), 0.72 + 0.2 * F.col("r")))
-    found = scored.withColumn("method", method).where(F.col("method").isNotNull()).withColumn("confidence", confidence)
-    n = F.row_number().over(Window.partitionBy("candidate").orderBy((F.col("method") == "exact").desc(), F.desc("confidence"), "match"))
-    return found.withColumn("_n", n).where("_n = 1").select("candidate", "match", "method", "confidence")
+    b = stored.select("match", "stored_name", F.col("postcode").alias("pc"), "lat", "lng")
+    best = lambda df, method, confidence: df.groupBy("candidate").agg(F.min_by(F.struct("match", confidence.alias("c")), F.struct(-confidence, "match")).alias("b")).select("candidate", "b.match", F.lit(method).alias("method"), F.col("b.c").alias("confidence"))
+    exact = a.join(distinct_stored(b, "pc").withColumnRenamed("stored_name", "name"), ["pc", "name"])
+    exact = written(best(exact, "exact", F.lit(1.0)), "exact")
+    rest = written(a.where("name IS NOT NULL").join(exact, "candidate", "left_anti"), "rest")
+    like = best_alike(rest.select("pc", "name").distinct(), distinct_stored(b, "pc"), ["pc"], ["pc"], 0.86)
+    like = written(best(rest.join(like, ["pc", "name"]), "postcode_fuzzy_name", F.least(F.lit(0.99), 0.78 + 0.2 * F.col("r"))), "like")
+    rest = rest.join(like, "candidate", "left_anti")
+    points = rest.where("la IS NOT NULL AND lo IS NOT NULL").select("la", "lo", "name").distinct().withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo"))))
+    near = best_alike(points, distinct_stored(b, "lat", "lng").withColumn("cell", geo.cell(F.col("lat"), F.col("lng"))), ["cell"], ["la", "lo"], 0.75, metres_apart() <= 80)
+    near = best(rest.join(near, ["la", "lo", "name"]), "near_name", F.least(F.lit(0.97), 0.72 + 0.2 * F.col("r")))
+    return exact.unionByName(like).unionByName(near)
+
+
+def metres_apart() -> Column:
+    return geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng"), METRES)
 
 
 def discovery_matches(spots: DataFrame, stored: DataFrame) -> DataFrame:
     """candidate, match, outcome of every spot: 'existing' by reference, or inside its box with a name 0.75 alike; 'possible' within 150 m and 0.55; 'new'."""
-    sure = reference_matches(spots, stored).select("candidate", F.col("match").alias("sure"))
-    cells = spots.withColumn("cell", F.explode(geo.cells_around(F.col("lat"), F.col("lng")))).select("candidate", "name", F.col("lat").alias("la"), F.col("lng").alias("lo"), "south", "north", "west", "east", "cell")
-    near = cells.join(stored.withColumn("cell", geo.cell(F.col("lat"), F.col("lng"))), "cell")
-    near = near.withColumns({"r": ratio("name", "stored_name"), "metres": geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng"), METRES)})
+    sure = written(reference_matches(spots, stored).select("candidate", F.col("match").alias("sure")), "sure")
+    sides = ["south", "north", "west", "east"]
+    rest = spots.where("lat IS NOT NULL AND lng IS NOT NULL").select("candidate", "name", F.col("lat").alias("la"), F.col("lng").alias("lo"), *sides).join(sure, "candidate", "left_anti")
+    points = written(rest.withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo")))), "points")
+    kept = distinct_stored(stored, "lat", "lng").withColumn("cell", geo.cell(F.col("lat"), F.col("lng")))
     inside = F.coalesce(F.col("lat").between(F.col("south"), F.col("north")) & F.col("lng").between(F.col("west"), F.col("east")), F.lit(False))
-    rank = F.when(inside & (F.col("r") >= 0.75), 2).when((inside | (F.col("metres") <= 150)) & (F.col("r") >= 0.55), 1)
-    best = near.withColumn("rank", rank).where(F.col("rank").isNotNull()).groupBy("candidate").agg(F.max_by(F.struct("rank", "match"), F.struct("rank", "r", (-F.col("match")).alias("m"))).alias("_b"))
-    joined = spots.select("candidate").join(sure, "candidate", "left").join(best, "candidate", "left")
-    outcome = F.when(F.col("sure").isNotNull() | (F.col("_b.rank") == 2), "existing").when(F.col("_b.rank") == 1, "possible").otherwise("new")
-    return joined.select("candidate", F.coalesce("sure", "_b.match").alias("match"), outcome.alias("outcome"))
+    one = lambda df, rank: df.groupBy("candidate").agg(F.min_by("match", F.struct(-F.col("r"), "match")).alias("match")).withColumn("rank", F.lit(rank))
+    boxed = written(one(best_alike(points, kept, ["cell"], ["candidate"], 0.75, inside), 2), "boxed")
+    maybe = one(best_alike(points.join(boxed, "candidate", "left_anti"), kept, ["cell"], ["candidate"], 0.55, inside | (metres_apart() <= 150)), 1)
+    joined = spots.select("candidate").join(sure, "candidate", "left").join(boxed.unionByName(maybe), "candidate", "left")
+    outcome = F.when(F.col("sure").isNotNull() | (F.col("rank") == 2), "existing").when(F.col("rank") == 1, "possible").otherwise("new")
+    return joined.select("candidate", F.coalesce("sure", "match").alias("match"), outcome.alias("outcome"))
 
 
 def identifier_matches(rows: DataFrame, places: DataFrame, near_m: float = 500.0) -> DataFrame:
@@ -111,8 +168,17 @@ def resolve(items: DataFrame, venues: DataFrame, least: float = 0.55) -> DataFra
 
     items: item, name, postcode; venues: venue_id, venue_name, postcode.
     """
-    pairs = items.join(venues, "postcode", "left").withColumn("r", ratio(text.norm_title(F.col("name")), text.norm_title(F.col("venue_name"))))
-    exact = text.norm_title(F.col("name")) == text.norm_title(F.col("venue_name"))
-    best = pairs.groupBy("item").agg(F.min(F.when(exact, F.col("venue_id"))).alias("venue_id"), F.max("r").alias("r"), F.first("postcode").alias("postcode"))
-    outcome = F.when(F.coalesce("postcode", F.lit("")) == "", "none").when(F.col("venue_id").isNotNull(), "exact").when(F.col("r") >= least, "unsure").otherwise("new")
+    a = items.select("item", text.norm_title(F.col("name")).alias("name"), "postcode")
+    b = venues.select(F.col("venue_id").alias("match"), text.norm_title(F.col("venue_name")).alias("stored_name"), "postcode").where("postcode <> ''")
+    kept = written(distinct_stored(b, "postcode"), "kept")
+    exact = kept.select("postcode", F.col("stored_name").alias("name"), F.col("match").alias("venue_id"))
+    met = written(a.join(exact, ["postcode", "name"], "left"), "met")
+    # one name of each length first: only names that are unlike all of these meet the others
+    asked = met.where("venue_id IS NULL").select("postcode", "name").distinct()
+    one, few = sized(asked, kept.groupBy("postcode", F.length("stored_name").alias("l")).agg(F.min("stored_name").alias("stored_name")).drop("l"), ["postcode"], least)
+    like = written(one.join(few, ["postcode", "kept_size"]).where(ratio("name", "stored_name") >= least).select("postcode", "name").distinct(), "like")
+    others = best_alike(asked.join(like, ["postcode", "name"], "left_anti"), kept, ["postcode"], ["postcode"], least).select("postcode", "name")
+    found = met.join(like.unionByName(others).withColumn("like", F.lit(True)), ["postcode", "name"], "left")
+    best = found.groupBy("item").agg(F.min("venue_id").alias("venue_id"), F.max("like").alias("like"), F.first("postcode").alias("postcode"))
+    outcome = F.when(F.coalesce("postcode", F.lit("")) == "", "none").when(F.col("venue_id").isNotNull(), "exact").when(F.col("like"), "unsure").otherwise("new")
     return best.select("item", F.when(outcome == "exact", F.col("venue_id")).alias("venue_id"), outcome.alias("outcome"))
