@@ -76,3 +76,41 @@ def test_addresses_against_all_pairs_and_their_cost(spark, measured):
     items, venues = many.selectExpr("id AS item", "concat('customer ', lpad(id, 9, '0'), ' annex') AS name", "'A' AS postcode"), many.selectExpr("id AS venue_id", "concat('customer ', lpad(id, 9, '0')) AS venue_name", "'A' AS postcode")
     assert {r["outcome"] for r in matching.resolve(items, venues).collect()} == {"unsure"}
     assert measured.value - before <= 4 * 2_000
+
+
+def test_reference_matches_against_all_pairs(spark):
+    names, kept = rare_names(80, 3, "bc", 12), rare_names(80, 4, "bc", 12)
+    place = lambda i: (51.0 + i % 3 * 0.0006, -1.0 + i % 2 * 0.0008)
+    codes = ["A", "B", None]
+    asked = [(i, x, codes[i % 3], *place(i)) for i, x in enumerate(names)]
+    stored = [(j, x, codes[j // 3 % 3], *place(j // 7)) for j, x in enumerate(kept)]
+    a, b = spark.createDataFrame(asked, "candidate int, name string, postcode string, lat double, lng double"), spark.createDataFrame(stored, "match int, stored_name string, postcode string, lat double, lng double")
+    from townkit.functions import geo
+
+    metres = {(r["candidate"], r["match"]): r["m"] for r in a.crossJoin(b.select("match", F.col("lat").alias("y"), F.col("lng").alias("x"))).select("candidate", "match", geo.haversine(F.col("lat"), F.col("lng"), F.col("y"), F.col("x"), matching.METRES).alias("m")).collect()}
+    expected = {}
+    for i, name, code, *_ in asked:
+        ranked = []
+        for j, other, theirs, *_ in stored:
+            if name is None or other is None:
+                continue
+            r, same = similarity(name, other), code is not None and code == theirs
+            if same and name == other:
+                ranked.append((0, -1.0, j, "exact"))
+            elif same and r >= 0.86:
+                ranked.append((1, -min(0.99, 0.78 + 0.2 * r), j, "postcode_fuzzy_name"))
+            elif metres[i, j] <= 80 and r >= 0.75:
+                ranked.append((1, -min(0.97, 0.72 + 0.2 * r), j, "near_name"))
+        if ranked:
+            _, c, j, method = min(ranked)
+            expected[i] = (j, method, round(-c, 9))
+    assert {r["candidate"]: (r["match"], r["method"], round(r["confidence"], 9)) for r in matching.reference_matches(a, b).collect()} == expected
+    assert {m for _, m, _ in expected.values()} == {"exact", "near_name", "postcode_fuzzy_name"}
+
+
+def test_reference_matches_measure_only_what_may_be_best(spark, measured):
+    names = spark.range(1_000).selectExpr("id", "concat('customer ', lpad(id, 9, '0')) AS n", "51.0D AS lat", "-1.0D AS lng")
+    a, b = names.selectExpr("id AS candidate", "if(id % 2 = 0, n, concat(n, ' annex')) AS name", "'A' AS postcode", "lat", "lng"), names.selectExpr("id AS match", "n AS stored_name", "'A' AS postcode", "lat", "lng")
+    found = matching.reference_matches(a, b).collect()
+    assert len(found) == 1_000 and all(r["candidate"] == r["match"] for r in found)
+    assert measured.value <= 20_000
