@@ -114,3 +114,32 @@ def test_reference_matches_measure_only_what_may_be_best(spark, measured):
     found = matching.reference_matches(a, b).collect()
     assert len(found) == 1_000 and all(r["candidate"] == r["match"] for r in found)
     assert measured.value <= 20_000
+
+
+def test_discovered_spots_against_all_pairs(spark, measured):
+    names, kept = rare_names(60, 5, "bc", 8), rare_names(60, 6, "bc", 8)
+    place = lambda i: (51.0 + i % 5 * 0.0008, -1.0)
+    rows = [(i, x, "A" if i % 9 == 0 else None, *place(i), *((51.0, 51.001, -1.1, -0.9) if i % 3 == 0 else (None,) * 4)) for i, x in enumerate(names)]
+    a = spark.createDataFrame(rows, "candidate int, name string, postcode string, lat double, lng double, south double, north double, west double, east double")
+    b = spark.createDataFrame([(j, x, "A", *place(j // 2)) for j, x in enumerate(kept)], "match int, stored_name string, postcode string, lat double, lng double")
+    sure = {r["candidate"]: r["match"] for r in matching.reference_matches(a, b).collect()}
+    expected = {}
+    for i, name, _, lat, _, south, north, *_ in rows:
+        found = []
+        for j, other in enumerate(kept):
+            if name is None or other is None:
+                continue
+            y, r = place(j // 2)[0], similarity(name, other)
+            inside = south is not None and south <= y <= north
+            if inside and r >= 0.75:
+                found.append((-2, -r, j))
+            elif (inside or abs(y - lat) * 111_195 <= 150) and r >= 0.55:
+                found.append((-1, -r, j))
+        rank, _, match = min(found, default=(0, 0, None))
+        expected[i] = (sure.get(i, match), "existing" if i in sure or rank == -2 else "possible" if rank == -1 else "new")
+    assert {r["candidate"]: (r["match"], r["outcome"]) for r in matching.discovery_matches(a, b).collect()} == expected
+    assert {o for _, o in expected.values()} == {"existing", "possible", "new"}
+    before = measured.value
+    spots = spark.range(400).selectExpr("id AS candidate", "concat('customer ', lpad(id, 9, '0')) AS name", "'A' AS postcode", "51.0D AS lat", "-1.0D AS lng", "50.9D AS south", "51.1D AS north", "-1.1D AS west", "-0.9D AS east")
+    assert matching.discovery_matches(spots, spots.selectExpr("candidate AS match", "name AS stored_name", "postcode", "lat", "lng")).where("candidate = match AND outcome = 'existing'").count() == 400
+    assert measured.value == before
