@@ -35,3 +35,8 @@ def customer(key, balance=1.0):
 def test_points_on_the_sides_of_boxes(both):
     found, expected = both("bbox_join", "customer", CUSTOMERS, [customer(k) for k in (1520, 7520, 14360)])
     assert found == expected and len(found) == 2
+
+
+def test_fees_of_nothing_and_no_fees(both):
+    found, expected = both("venue_projection", "customer", CUSTOMERS, [customer(1, 0.0), customer(2, -0.5), customer(3, 12.3), customer(4, None)])
+    assert found == expected and len(found) == 4

@@ -48,10 +48,14 @@ def is_exact_pence(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^[0-9]+\.[0-9]{2}$"), F.lit(False))
 
 
+def shown(value: Column) -> Column:
+    """'£a' with two digits; null without a value."""
+    return F.concat(F.lit("£"), F.when(value.isNotNull(), F.format_string("%.2f", value)))
+
+
 def price_text(low: Column, high: Column) -> Column:
     """'Free', '£a' or '£a–£b'; null without prices."""
-    show = lambda c: F.concat(F.lit("£"), F.format_string("%.2f", c))
-    return F.when(low.isNull(), None).when((low == 0) & (high == 0), "Free").when(low == high, show(low)).otherwise(F.concat(show(low), F.lit("–"), show(high)))
+    return F.when(low.isNull(), None).when((low == 0) & (high == 0), "Free").when(low == high, shown(low)).otherwise(F.concat(shown(low), F.lit("–"), shown(high)))
 
 
 def value_band(title: Column) -> Column:
