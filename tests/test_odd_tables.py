@@ -40,3 +40,8 @@ def test_points_on_the_sides_of_boxes(both):
 def test_fees_of_nothing_and_no_fees(both):
     found, expected = both("venue_projection", "customer", CUSTOMERS, [customer(1, 0.0), customer(2, -0.5), customer(3, 12.3), customer(4, None)])
     assert found == expected and len(found) == 4
+
+
+def test_chains_that_meet_a_cycle_have_no_end(both):
+    found, expected = both("canonical_chain", "customer", CUSTOMERS, [customer(k) for k in range(120)])
+    assert found == expected and sum("'canonical': None" in r or "[None" in r for r in found) == 5

@@ -25,8 +25,8 @@ def ancestors(edges: DataFrame, depth: int = 8) -> DataFrame:
     raise ValueError(f"the hierarchy has a cycle, or is deeper than {depth}")
 
 
-def canonical(rows: DataFrame, id_column: str, target: str, hops: int = 20) -> DataFrame:
-    """id, canonical, hops: the end of each row's chain of targets. A target that is no row is an end. Raises if a chain is longer than `hops`, as one with a cycle is.
+def canonical(rows: DataFrame, id_column: str, target: str, hops: int = 20, lost: bool = False) -> DataFrame:
+    """id, canonical, hops: the end of each row's chain of targets. A target that is no row is an end. Raises if a chain is longer than `hops`, as one with a cycle is; if `lost`, the rows of such chains have nulls instead.
 
     Pointer doubling: after k rounds a chain of 2^k steps is followed; each round is written.
     """
@@ -36,6 +36,10 @@ def canonical(rows: DataFrame, id_column: str, target: str, hops: int = 20) -> D
         after = current.select(F.col("id").alias("to"), F.col("to").alias("then"), F.col("n").alias("m")).where("m > 0")
         joined = current.join(after, "to", "left")
         current = written(joined.select("id", F.coalesce("then", "to").alias("to"), (F.col("n") + F.coalesce("m", F.lit(0))).alias("n")), "chains")
+    if lost:
+        open_ = current.join(more.select("to", F.lit(True).alias("open")).distinct(), "to", "left")
+        ends = F.col("open").isNull() & (F.col("n") <= hops)
+        return open_.select("id", F.when(ends, F.col("to")).alias("canonical"), F.when(ends, F.col("n")).alias("hops"))
     if not current.where(F.col("n") > hops).isEmpty() or not current.join(more, "to", "left_semi").isEmpty():
         raise ValueError(f"a chain has a cycle, or is longer than {hops}")
     return current.select("id", F.col("to").alias("canonical"), F.col("n").alias("hops"))

@@ -99,12 +99,13 @@ def ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ancestors(edges)
 
 
-@query("SELECT c_custkey AS id, greatest((c_custkey // 8) * 8, CASE WHEN c_custkey >= 5 THEN (c_custkey - 5) // 40 * 40 + 5 ELSE 0 END) AS canonical, (c_custkey - greatest((c_custkey // 8) * 8, CASE WHEN c_custkey >= 5 THEN (c_custkey - 5) // 40 * 40 + 5 ELSE 0 END))::INT AS hops FROM customer")
+@query("""SELECT id, CASE WHEN NOT lost THEN root END AS canonical, CASE WHEN NOT lost THEN (id - root)::INT END AS hops FROM (SELECT id, root, EXISTS (SELECT 1 FROM customer x WHERE x.c_custkey % 97 = 5 AND x.c_custkey // 8 = id // 8 AND x.c_custkey BETWEEN root AND id) AS lost
+  FROM (SELECT c_custkey AS id, greatest((c_custkey // 8) * 8, CASE WHEN c_custkey >= 5 THEN (c_custkey - 5) // 40 * 40 + 5 ELSE 0 END) AS root FROM customer))""")
 def canonical_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The end of each row's chain of merges: the first of its eight, or a row of its own chain that was never merged."""
+    """The end of each row's chain of merges: the first of its eight, or a row of its own chain that was never merged; rows whose chain meets a cycle have none."""
     rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    target = F.when((F.col("id") % 8 != 0) & (F.col("id") % 40 != 5), F.col("id") - 1)
-    return graph.canonical(rows.withColumn("merged_into", target), "id", "merged_into")
+    target = F.when(F.col("id") % 97 == 5, F.col("id")).when((F.col("id") % 8 != 0) & (F.col("id") % 40 != 5), F.col("id") - 1)
+    return graph.canonical(rows.withColumn("merged_into", target), "id", "merged_into", lost=True)
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND a <> b THEN 'conflict' ELSE coalesce(a, b) END AS country FROM (SELECT c_custkey, ['england', 'scotland', 'wales', 'northern_ireland', NULL][c_custkey % 5 + 1] AS a, ['england', 'scotland', 'wales', NULL, NULL, NULL][c_nationkey % 6 + 1] AS b FROM customer)""")
