@@ -143,3 +143,20 @@ def test_discovered_spots_against_all_pairs(spark, measured):
     spots = spark.range(400).selectExpr("id AS candidate", "concat('customer ', lpad(id, 9, '0')) AS name", "'A' AS postcode", "51.0D AS lat", "-1.0D AS lng", "50.9D AS south", "51.1D AS north", "-1.1D AS west", "-0.9D AS east")
     assert matching.discovery_matches(spots, spots.selectExpr("candidate AS match", "name AS stored_name", "postcode", "lat", "lng")).where("candidate = match AND outcome = 'existing'").count() == 400
     assert measured.value == before
+
+
+def test_greedy_pairs_of_names_are_those_of_rows(spark):
+    from townkit.functions import text
+
+    names = ["red ring", "red bolt", "blue bolt", "old blue ring", "gear", None]
+    rows = [(f"b{i % 2}", i, names[i * i % 7 % 6]) for i in range(90)]
+    a, b = spark.createDataFrame([r for r in rows if r[1] % 3], "block string, left int, name string"), spark.createDataFrame([r for r in rows if r[1] % 3 == 0], "block string, right int, stored_name string")
+    score = text.jaccard(F.split("name", " "), F.split("stored_name", " "))
+    expected = matching.greedy_pairs(a.join(b, "block").withColumn("score", score).where("score > 0"), "block")
+    found = matching.greedy_named_pairs(a, b, "block", score)
+    assert found.columns == expected.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_greedy_pairs_of_many_copies_make_no_row_a_pair(spark):
+    a, b = spark.range(30_000).selectExpr("'b' AS block", "id * 2 AS left", "'red ring' AS name"), spark.range(30_000).selectExpr("'b' AS block", "id * 2 + 1 AS right", "'red ring' AS stored_name")
+    assert matching.greedy_named_pairs(a, b, "block", F.lit(0.5)).where("right = left + 1").count() == 30_000

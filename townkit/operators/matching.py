@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townkit.functions import geo, text
@@ -163,6 +165,40 @@ def greedy_pairs(pairs: DataFrame, block: str) -> DataFrame:
     return pairs.select(block, "left", "right", "score").groupBy(block).applyInPandas(choose, schema)
 
 
+def greedy_named_pairs(left: DataFrame, right: DataFrame, block: str, similarity: Column) -> DataFrame:
+    """As greedy_pairs over all pairs of a block with a similarity above 0, which is that of their names: different names are compared once, and no pair is a row.
+
+    left: block, left, name; right: block, right, stored_name. Of one score, each left row in turn takes the least right row that is
+    free and has a name of that score: what the order of score, left and right gives. A task holds the rows of a block, not their pairs.
+    """
+    scores = left.select(block, "name").distinct().join(right.select(block, "stored_name").distinct(), block).withColumn("score", similarity).where("score > 0")
+    scores = written(scores, "scores")
+    rows = left.select(block, F.lit(True).alias("is_left"), F.col("left").alias("id"), "name").unionByName(right.select(block, F.lit(False).alias("is_left"), F.col("right").alias("id"), F.col("stored_name").alias("name")))
+    kind = dict(rows.dtypes)["id"]
+    schema = f"{block} {dict(rows.dtypes)[block]}, left {kind}, right {kind}, score double"
+
+    def choose(rows: pd.DataFrame, scores: pd.DataFrame) -> pd.DataFrame:
+        lefts = {name: sorted(ids) for name, ids in rows[rows["is_left"]].groupby("name")["id"]}
+        free = {name: deque(sorted(ids)) for name, ids in rows[~rows["is_left"]].groupby("name")["id"]}
+        chosen = []
+        for score, level in scores.sort_values("score", ascending=False).groupby("score", sort=False):
+            alike = {name: [*others] for name, others in level.groupby("name")["stored_name"]}
+            taken = set()
+            for one, name in sorted((one, name) for name in alike for one in lefts.get(name, ())):
+                names = alike[name] = [other for other in alike[name] if free.get(other)]
+                if names:
+                    least = min(names, key=lambda other: free[other][0])
+                    chosen.append((one, free[least].popleft(), score))
+                    taken.add(one)
+            for name in alike:
+                lefts[name] = [one for one in lefts.get(name, ()) if one not in taken]
+        out = pd.DataFrame(chosen, columns=["left", "right", "score"])
+        out.insert(0, block, rows[block].iloc[0] if len(rows) else None)
+        return out
+
+    return rows.groupBy(block).cogroup(scores.groupBy(block)).applyInPandas(choose, schema)
+
+
 def resolve(items: DataFrame, venues: DataFrame, least: float = 0.55) -> DataFrame:
     """item, venue_id, outcome of each item's address: 'exact' name in the postcode, 'unsure' for a like one (no id), 'none' without an address, 'new'.
 

@@ -74,9 +74,8 @@ def identifier_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_bipartite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one pairs of parts of a brand and size, the most alike first."""
     rows = part_names(spark, sf_dir).withColumn("block", F.concat_ws("|", "p_brand", "p_size"))
-    a, b = rows.where("p_partkey % 2 = 0").select("block", F.col("p_partkey").alias("left"), F.split("p_name", " ").alias("x")), rows.where("p_partkey % 2 = 1").select("block", F.col("p_partkey").alias("right"), F.split("p_name", " ").alias("y"))
-    pairs = a.join(b, "block").withColumn("score", text.jaccard(F.col("x"), F.col("y"))).where("score > 0")
-    return matching.greedy_pairs(pairs, "block")
+    a, b = rows.where("p_partkey % 2 = 0").select("block", F.col("p_partkey").alias("left"), F.col("p_name").alias("name")), rows.where("p_partkey % 2 = 1").select("block", F.col("p_partkey").alias("right"), F.col("p_name").alias("stored_name"))
+    return matching.greedy_named_pairs(a, b, "block", text.jaccard(F.split("name", " "), F.split("stored_name", " ")))
 
 
 @query()
