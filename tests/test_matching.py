@@ -160,3 +160,31 @@ def test_greedy_pairs_of_names_are_those_of_rows(spark):
 def test_greedy_pairs_of_many_copies_make_no_row_a_pair(spark):
     a, b = spark.range(30_000).selectExpr("'b' AS block", "id * 2 AS left", "'red ring' AS name"), spark.range(30_000).selectExpr("'b' AS block", "id * 2 + 1 AS right", "'red ring' AS stored_name")
     assert matching.greedy_named_pairs(a, b, "block", F.lit(0.5)).where("right = left + 1").count() == 30_000
+
+
+def test_identifiers_against_all_pairs(spark):
+    from townkit.functions import geo
+
+    kinds = [["a"], ["b"], ["a", "b"], None]
+    rows = [(i, None if i % 11 == 10 else i % 4, None if i % 13 == 12 else 51 + i % 5 * 0.01, -1.0, kinds[i % 7 % 4]) for i in range(60)]
+    a = spark.createDataFrame(rows, "candidate int, link int, lat double, lng double, types array<string>")
+    b = spark.createDataFrame([(*r, r[0] % 3 == 0 if r[0] % 8 else None) for r in rows if r[0] % 5 == 1], "match int, link int, lat double, lng double, types array<string>, closed boolean")
+    pairs = a.join(b.selectExpr("match", "link", "lat AS la", "lng AS lo", "types AS t", "closed"), "link")
+    metres = geo.haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("lo"), matching.METRES)
+    reason = F.when(F.col("closed"), "closed").when(~F.arrays_overlap("types", "t"), "type").when(metres > 1_500, "far")
+    expected = {i: ("no_match", None, "") for i, *_ in rows}
+    judged = {}
+    for r in pairs.select("candidate", "match", reason.alias("reason")).collect():
+        judged.setdefault(r["candidate"], []).append((r["match"], r["reason"]))
+    for i, met in judged.items():
+        good = [m for m, why in met if why is None]
+        expected[i] = ("matched" if len(good) == 1 else "ambiguous" if good else "review", good[0] if len(good) == 1 else None, ",".join(sorted({why for _, why in met if why})))
+    assert {r["candidate"]: (r["outcome"], r["match"], r["rejected"]) for r in matching.identifier_matches(a, b, 1_500.0).collect()} == expected
+    assert {o for o, *_ in expected.values()} == {"no_match", "matched", "ambiguous", "review"}
+
+
+def test_equal_places_of_an_identifier_are_asked_once(spark):
+    a = spark.range(40_000).selectExpr("id AS candidate", "1 AS link", "51.0D + id % 2 AS lat", "-1.0D AS lng", "array('a') AS types")
+    b = a.selectExpr("candidate AS match", "link", "lat", "lng", "types", "candidate % 5 = 0 AS closed")
+    found = matching.identifier_matches(a, b).groupBy("outcome", "match", "rejected").count().collect()
+    assert [tuple(r) for r in found] == [("ambiguous", None, "closed,far", 40_000)]

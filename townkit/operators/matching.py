@@ -135,15 +135,29 @@ def identifier_matches(rows: DataFrame, places: DataFrame, near_m: float = 500.0
     """candidate, outcome, match, rejected: places of the same linked identifier, each accepted or with the first reason against it.
 
     outcome: 'matched' for one accepted place, 'ambiguous' for more, 'review' if all were rejected, 'no_match' without any.
-    rows: candidate, link, lat, lng, types; places: match, link, lat, lng, types, closed.
+    rows: candidate, link, lat, lng, types; places: match, link, lat, lng, types, closed. Only rows of different types and points meet, and
+    only open places of fitting types; no row leaves the join for each pair.
     """
-    b = places.select("match", "link", F.col("lat").alias("la"), F.col("lng").alias("lo"), F.col("types").alias("t"), "closed")
-    pairs = rows.join(b, "link")
-    metres = geo.haversine(F.col("lat"), F.col("lng"), F.col("la"), F.col("lo"), METRES)
-    reason = F.when(F.col("closed"), "closed").when(~F.arrays_overlap("types", "t"), "type").when(metres > near_m, "far")
-    judged = pairs.withColumn("reason", reason).groupBy("candidate").agg(
-        F.count(F.when(F.col("reason").isNull(), 1)).alias("ok"), F.min(F.when(F.col("reason").isNull(), F.col("match"))).alias("first"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("rejected")
-    )
+    b = places.select("match", "link", F.col("lat").alias("la"), F.col("lng").alias("lo"), F.col("types").alias("t"), F.coalesce("closed", F.lit(False)).alias("closed"))
+    own = F.struct("types", "lat", "lng").alias("own")
+    asked = written(rows.where("link IS NOT NULL").select("link", own).distinct(), "asked")
+    # what only the link tells, or only the link and the types, is not asked of pairs
+    closed = b.groupBy("link").agg(F.max("closed").alias("closed"))
+    open_ = written(b.where("NOT closed").groupBy("link", F.struct("t", "la", "lo").alias("at")).agg(F.count(F.lit(1)).alias("n"), F.min("match").alias("match")), "open")
+    kinds = asked.select("link", F.col("own.types").alias("types")).distinct().join(open_.select("link", F.col("at.t").alias("t")).distinct(), "link")
+    kinds = written(kinds.withColumn("fits", F.coalesce(F.arrays_overlap("types", "t"), F.lit(True))), "kinds")
+    other = kinds.groupBy("link", F.struct("types").alias("own_types")).agg(F.max(~F.col("fits")).alias("other"))
+    fitting = kinds.where("fits").groupBy("link", F.struct("types").alias("own_types")).agg(F.collect_list(F.struct("t")).alias("fitting"))  # different sets of types
+    pairs = asked.withColumn("own_types", F.struct("own.types")).join(fitting, ["link", "own_types"]).withColumn("kind", F.explode("fitting")).drop("fitting", "own_types")
+    pairs = pairs.join(open_.withColumn("kind", F.struct("at.t")), ["link", "kind"])
+    far = F.coalesce(geo.haversine(F.col("own.lat"), F.col("own.lng"), F.col("at.la"), F.col("at.lo"), METRES) > near_m, F.lit(False))
+    near = pairs.withColumn("far", far).groupBy("link", "own").agg(F.sum(F.when(~F.col("far"), F.col("n")).otherwise(0)).alias("ok"), F.min(F.when(~F.col("far"), F.col("match"))).alias("first"), F.max("far").alias("far"))
+    met = rows.select("candidate", "link", own).join(near, ["link", "own"], "left").withColumn("own_types", F.struct("own.types")).join(other, ["link", "own_types"], "left").join(closed, "link", "left")
+    met = met.where("ok IS NOT NULL OR other IS NOT NULL OR closed IS NOT NULL")
+    flags = [F.max(F.coalesce(reason, F.lit(False))).alias(reason) for reason in ("closed", "far", "other")]
+    judged = met.groupBy("candidate").agg(F.sum(F.coalesce("ok", F.lit(0))).alias("ok"), F.min("first").alias("first"), *flags)
+    rejected = F.concat_ws(",", F.when(F.col("closed"), "closed"), F.when(F.col("far"), "far"), F.when(F.col("other"), "type"))
+    judged = judged.select("candidate", "ok", "first", rejected.alias("rejected"))
     joined = rows.select("candidate").join(judged, "candidate", "left")
     outcome = F.when(F.col("ok").isNull(), "no_match").when(F.col("ok") == 1, "matched").when(F.col("ok") > 1, "ambiguous").otherwise("review")
     return joined.select("candidate", outcome.alias("outcome"), F.when(F.col("ok") == 1, F.col("first")).alias("match"), F.coalesce("rejected", F.lit("")).alias("rejected"))
