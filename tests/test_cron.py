@@ -50,3 +50,10 @@ def test_ledger(spark):
     runs = spark.createDataFrame(runs, "workflow string, run int, created timestamp_ntz, finished timestamp_ntz, ok boolean")
     found = sorted((r["workflow"], r["slot"].hour, r["run"], r["state"]) for r in cron.ledger(slots, runs, F.lit("2024-05-01 11:30:00").cast("timestamp_ntz")).collect())
     assert found == [("v", 1, None, "missing"), ("w", 1, "2", "success"), ("w", 3, "4", "failed"), ("w", 5, "5", "late"), ("w", 7, "6", "incomplete"), ("w", 9, None, "missing"), ("w", 11, None, "pending"), ("w", 13, None, "future")]
+
+
+def test_slots_are_dealt_by_the_number_of_schedules(spark, monkeypatch):
+    monkeypatch.setattr(cron, "SCHEDULES_A_TASK", 10)
+    schedules = spark.range(100).selectExpr("id AS workflow", "'0 6 * * *' AS cron", "'UTC' AS zone")
+    tasks = cron.slots(schedules, "2024-01-01", "2024-01-31").groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in tasks) == 3_100 and len(tasks) >= 5

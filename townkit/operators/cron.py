@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: The fields of a schedule with their least and greatest numbers, and minutes until a start, and an end, are late.
 FIELDS = (("minute", 0, 59), ("hour", 0, 23), ("day", 1, 31), ("month", 1, 12), ("weekday", 0, 7))
 DISPATCH_MINUTES, COMPLETION_MINUTES = 60, 240
+#: Schedules whose slots one task makes.
+SCHEDULES_A_TASK = 1_000
 
 
 def members(field: Column, low: int, high: int) -> Column:
@@ -39,9 +41,11 @@ def slots(schedules: DataFrame, first: str, last: str) -> DataFrame:
 
     Days are a calendar that each schedule meets by its bits; hours and minutes come from their bits. A local time that clocks skip is
     the moment one hour later; one that occurs twice is the first. Where both day and weekday are restricted, either is enough. Schedules
-    that cannot be read give nothing; a null zone is UTC; equal slots of a workflow are one.
+    that cannot be read give nothing; a null zone is UTC; equal slots of a workflow are one. A few schedules are many slots, so they are
+    dealt by their number, not by their bytes: no task holds the slots of more than some SCHEDULES_A_TASK.
     """
-    rules = parsed(schedules).where(" AND ".join(f"{name} IS NOT NULL" for name, *_ in FIELDS))
+    tasks = max(1, -(-schedules.count() // SCHEDULES_A_TASK))
+    rules = parsed(schedules.repartition(tasks, "workflow")).where(" AND ".join(f"{name} IS NOT NULL" for name, *_ in FIELDS))
     has = lambda bits, n: F.call_function("bit_get", bits, n.cast("int")) == 1
     days = rules.withColumn("date", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))))
     day, weekday = has(F.col("day"), F.dayofmonth("date")), has(F.col("weekday"), F.dayofweek("date") - 1)
