@@ -45,3 +45,9 @@ def test_fees_of_nothing_and_no_fees(both):
 def test_chains_that_meet_a_cycle_have_no_end(both):
     found, expected = both("canonical_chain", "customer", CUSTOMERS, [customer(k) for k in range(120)])
     assert found == expected and sum("'canonical': None" in r or "[None" in r for r in found) == 5
+
+
+def test_an_amount_is_read_once_a_row(spark):
+    found = registry.QUERIES["price_triple"](spark, SMALL)
+    assert found.columns == ["id", "price", "was", "discount"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().lower().count("try_to_number") + found._jdf.queryExecution().optimizedPlan().toString().lower().count("trytonumber") <= 3

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from townkit.functions import text
@@ -36,14 +36,30 @@ def labelled_amount(text: Column, label: str) -> Column:
     return parse_number(F.nullif(F.regexp_extract(F.lower(text), rf"\b(?:{label})\b:?\s*{AMOUNT}", 1), F.lit("")))
 
 
+def amounts(text: Column) -> tuple[Column, Column]:
+    """(now, was) of an offer's text: an amount after 'now', else the first one; an amount after 'was' or 'rrp'."""
+    now = F.coalesce(labelled_amount(text, "now|only"), parse_number(F.nullif(F.regexp_extract(text, AMOUNT, 1), F.lit(""))))
+    return now, labelled_amount(text, "was|rrp")
+
+
 def prices(text: Column) -> tuple[Column, Column, Column]:
     """(price, was, discount in percent) of an offer's text: a price after 'now', else the first amount; a was-price after 'was' or 'rrp'."""
-    now = F.coalesce(labelled_amount(text, "now|only"), parse_number(F.nullif(F.regexp_extract(text, AMOUNT, 1), F.lit(""))))
-    was = labelled_amount(text, "was|rrp")
+    return compared(*amounts(text))
+
+
+def compared(now: Column, was: Column) -> tuple[Column, Column, Column]:
     usable = F.when(was > now, was)
     return now, usable, F.bround((usable - now) / usable * 100, 1)
 
 
+def with_prices(rows: DataFrame, text: Column) -> DataFrame:
+    """rows with price, was and discount, as prices gives them; each amount is read once a row, and comparisons take the columns."""
+    now, was = amounts(F.col("_text"))
+    read = rows.withColumn("_text", text).withColumns({"_now": now, "_was": was})
+    price, was, discount = compared(F.col("_now"), F.col("_was"))
+    return read.withColumns({"price": price, "was": was, "discount": discount}).drop("_text", "_now", "_was")
+
+
 def is_exact_pence(value: Column) -> Column:
     return F.coalesce(value.rlike(r"^[0-9]+\.[0-9]{2}$"), F.lit(False))
 
