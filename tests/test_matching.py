@@ -188,3 +188,33 @@ def test_equal_places_of_an_identifier_are_asked_once(spark):
     b = a.selectExpr("candidate AS match", "link", "lat", "lng", "types", "candidate % 5 = 0 AS closed")
     found = matching.identifier_matches(a, b).groupBy("outcome", "match", "rejected").count().collect()
     assert [tuple(r) for r in found] == [("ambiguous", None, "closed,far", 40_000)]
+
+
+def test_different_names_meet_by_their_words_only(spark, monkeypatch):
+    """Against all pairs; names of words that few share make few pairs, where all pairs of the block were compared."""
+    import random
+
+    draw = random.Random(8)
+    deal = lambda n: [None if i % 19 == 18 else " ".join(draw.choice("abcdefgh") for _ in range(draw.randint(0, 6))) for i in range(n)]
+    names, kept = deal(90), deal(90)
+    alike = lambda x, y: len(set(x.split(" ")) & set(y.split(" "))) / len(set(x.split(" ")) | set(y.split(" ")))
+    for least in (0.3, 0.5, 1.0):
+        expected = {}
+        for i, name in enumerate(names):
+            found = [(-alike(name, other), j) for j, other in enumerate(kept) if name is not None and other is not None and j % 3 == i % 3 and alike(name, other) >= least]
+            if found:
+                expected[i] = (min(found)[1], -min(found)[0])
+        a, b = spark.createDataFrame([(i, x, i % 3) for i, x in enumerate(names)], "candidate int, name string, block int"), spark.createDataFrame([(j, x, j % 3) for j, x in enumerate(kept)], "match int, stored_name string, block int")
+        assert {r["candidate"]: (r["match"], r["score"]) for r in matching.token_matches(a, b, "block", least).collect()} == expected
+    pairs, plain = spark.sparkContext.accumulator(0), matching.text.jaccard
+
+    @F.udf("array<string>", useArrow=False)
+    def counted(words):
+        pairs.add(1)
+        return words
+
+    monkeypatch.setattr(matching.text, "jaccard", lambda x, y: plain(counted(x), y))
+    rows = spark.range(2_000)
+    a, b = rows.selectExpr("id AS candidate", "concat('w', id DIV 2, ' of left ', id) AS name", "'b' AS block"), rows.selectExpr("id AS match", "concat('w', id DIV 2, ' of right ', id) AS stored_name", "'b' AS block")
+    found = {r["candidate"]: r["match"] for r in matching.token_matches(a, b, "block", 0.5).collect()}
+    assert len(found) == 2_000 and found[7] == 7 and pairs.value <= 40_000  # all pairs are 4,000,000

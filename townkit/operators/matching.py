@@ -30,9 +30,35 @@ def block_matches(candidates: DataFrame, stored: DataFrame, block: str, least: f
 
 
 def token_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float = 0.5) -> DataFrame:
-    """As block_matches, by shared words: columns only."""
-    words = lambda c: F.split(F.col(c), " ")
-    return block_matches(candidates, stored, block, least, text.jaccard(words("name"), words("stored_name")))
+    """As block_matches, by shared words: columns only.
+
+    Names of equal words are one, and those that the other side has are alike by 1. The others meet by prefixes: two sets of words that
+    alike share one of the rarest words of each, so no pair of a block is made for its own sake, and none that counts is lost.
+    """
+    bag = lambda c: F.array_sort(F.array_distinct(F.split(F.col(c), " ")))
+    asked = candidates.withColumn("bag", bag("name"))
+    sets = written(asked.where(F.col("bag").isNotNull()).select(block, "bag").distinct(), "asked")
+    kept = written(stored.select(block, bag("stored_name").alias("bag"), "match").where(F.col("bag").isNotNull()).groupBy(block, "bag").agg(F.min("match").alias("match")), "kept")
+    equal = sets.join(kept, [block, "bag"]).select(block, "bag", "match", F.lit(1.0).alias("score"))
+    rest = sets.join(kept.select(block, "bag"), [block, "bag"], "left_anti")
+    counts = kept.select(block, F.explode("bag").alias("w")).groupBy(block, "w").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefixes(rows: DataFrame, *others: str) -> DataFrame:
+        """The words that no more than the least share of the set come after; words of no stored name are rarest."""
+        each = rows.select(block, "bag", *others, F.explode("bag").alias("w")).join(counts, [block, "w"], "left")
+        ranked = each.groupBy(block, "bag", *others).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("r"))  # of one name's words
+        n = F.size("bag") - F.ceil(F.size("bag") * least - 1e-9) + 1
+        return ranked.select(block, "bag", *others, F.explode(F.slice("r", F.lit(1), F.least(n, F.size("bag")).cast("int"))).alias("r")).withColumn("w", F.col("r.w")).drop("r")
+
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes make many pairs: the number of tasks is given, or all of them land in one
+    left = prefixes(rest).repartition(tasks, block, "w")
+    pairs = left.join(prefixes(kept, "match").withColumnRenamed("bag", "other").repartition(tasks, block, "w"), [block, "w"])
+    scored = pairs.withColumn("score", text.jaccard(F.col("bag"), F.col("other"))).where(F.col("score") >= least)
+    best_first = F.struct(-F.col("score"), "match")
+    like = scored.groupBy(block, "bag").agg(F.min_by(F.struct("match", "score"), best_first).alias("b")).select(block, "bag", "b.*")
+    found = asked.join(equal.unionByName(like), [block, "bag"]).groupBy("candidate").agg(F.min_by(F.struct("match", "score"), best_first).alias("b"))
+    return found.select("candidate", "b.match", "b.score")
 
 
 def ratio_matches(candidates: DataFrame, stored: DataFrame, block: str, least: float = 0.86) -> DataFrame:
