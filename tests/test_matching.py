@@ -218,3 +218,20 @@ def test_different_names_meet_by_their_words_only(spark, monkeypatch):
     a, b = rows.selectExpr("id AS candidate", "concat('w', id DIV 2, ' of left ', id) AS name", "'b' AS block"), rows.selectExpr("id AS match", "concat('w', id DIV 2, ' of right ', id) AS stored_name", "'b' AS block")
     found = {r["candidate"]: r["match"] for r in matching.token_matches(a, b, "block", 0.5).collect()}
     assert len(found) == 2_000 and found[7] == 7 and pairs.value <= 40_000  # all pairs are 4,000,000
+
+
+def test_only_places_close_by_are_measured_in_metres(spark, monkeypatch):
+    """Places of one cell of the grid that lie apart: before, each met all others of the cell."""
+    pairs, plain = spark.sparkContext.accumulator(0), matching.metres_apart
+
+    @F.udf("double", useArrow=False)
+    def counted(metres):
+        pairs.add(1)
+        return metres
+
+    monkeypatch.setattr(matching, "metres_apart", lambda: counted(plain()))
+    rows = spark.range(225).selectExpr("id", "concat('place ', id) AS n", "51.0D + id DIV 15 * 0.0025D AS lat", "-1.0D + id % 15 * 0.004D AS lng")
+    a, b = rows.selectExpr("id AS candidate", "n AS name", "'A' AS postcode", "lat", "lng"), rows.selectExpr("id AS match", "n AS stored_name", "'B' AS postcode", "lat", "lng")
+    found = matching.reference_matches(a, b).collect()
+    assert len(found) == 225 and all(r["candidate"] == r["match"] and r["method"] == "near_name" for r in found)
+    assert pairs.value <= 225 * 8

@@ -14,6 +14,8 @@ MILES_RADIUS = 3958.8
 KM_A_MILE = 1.609344
 MILES_A_KM = 0.621371
 KM_A_DEGREE = 111.0
+#: Degrees of latitude of a fine cell: over 200 m, so that what is that near lies in the cell or its neighbours.
+FINE = 0.002
 
 
 def number(value: Column | float) -> Column:
@@ -60,6 +62,17 @@ def cells_around(lat: Column, lng: Column, places: int = 2) -> Column:
     return F.array(*(F.struct((own["y"] + dy).alias("y"), (own["x"] + dx).alias("x")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
 
 
+def fine_cell(y: Column, lng: Column, dx: int = 0) -> Column:
+    """The fine cell of row y: rows are parted by the length of their own degrees."""
+    return F.struct(y.alias("y"), (F.floor(lng * F.cos(F.radians(y * FINE)) / FINE) + dx).alias("x"))
+
+
+def fine_cells_around(lat: Column, lng: Column) -> Column:
+    """The fine cell of a point and its eight neighbours."""
+    row = F.floor(lat / FINE)
+    return F.array(*(fine_cell(row + dy, lng, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+
+
 def grid_point(value: Column, step: float = 0.25) -> Column:
     return F.round(value / step) * step
 

@@ -66,14 +66,6 @@ def ratio_matches(candidates: DataFrame, stored: DataFrame, block: str, least: f
     return block_matches(candidates, stored, block, least, ratio("name", "stored_name"))
 
 
-def signs(name: Column) -> Column:
-    """The characters of a name, a repeat as a sign of its own: what two names share of these is the most that the ratio can match."""
-    at = lambda i: F.substring(name, i, 1)
-    before = lambda i: F.substring(name, F.lit(1), i)
-    each = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.concat(at(i), F.length(F.replace(before(i), at(i), F.lit(""))) - i))
-    return F.when(F.length(name) > 0, each).otherwise(F.array().cast("array<string>"))
-
-
 def fits(least: float) -> Column:
     """Whether names of these lengths can be that alike."""
     return 2 * F.least("size", "kept_size") >= least * (F.col("size") + F.col("kept_size")) - 1e-9
@@ -89,20 +81,21 @@ def sized(asked: DataFrame, stored: DataFrame, on: list[str], least: float) -> t
 def best_alike(asked: DataFrame, stored: DataFrame, on: list[str], by: list[str], least: float, where: Column | None = None) -> DataFrame:
     """by, name, match, r: the stored row most alike by the ratio, of those with equal `on` that satisfy `where`; ties by the least match.
 
-    asked: by, name, on and what `where` needs; stored: match, stored_name, on and the like. No ratio is above what the lengths and the
-    shared signs of two names allow, nor above what their edits leave. The most promising row is measured first, and then only rows that
-    could be as much alike.
+    asked: by, name, on and what `where` needs; stored: match, stored_name, on and the like. No ratio is above what the lengths of two
+    names allow, nor above what their edits leave. The most promising row is measured first, and then only rows that could be as much
+    alike. Few bytes make many pairs, so the number of tasks is given.
     """
-    a, b = sized(asked.withColumn("signs", signs(F.col("name"))), stored.withColumn("kept_signs", signs(F.col("stored_name"))), on, least)
+    a, b = sized(asked, stored, on, least)
+    key, tasks = [*on, "kept_size"], int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = b.repartition(tasks, *key)
     both = F.col("size") + F.col("kept_size")
-    shared = F.when(both == 0, 1.0).otherwise(2 * F.size(F.array_intersect("signs", "kept_signs")) / both)
     # an edit leaves one character unmatched at least
-    bound = F.when(both == 0, 1.0).otherwise(F.least("shared", 1 - F.levenshtein("name", "stored_name") / both))
+    bound = F.when(both == 0, 1.0).otherwise(1 - F.levenshtein("name", "stored_name") / both)
     group = [*by, "name"]
 
     def pairs(rows: DataFrame) -> DataFrame:
-        met = rows.join(b, [*on, "kept_size"])
-        return (met if where is None else met.where(where)).withColumn("shared", shared).where(F.col("shared") >= least - 1e-9).withColumn("bound", bound).where(F.col("bound") >= least - 1e-9)
+        met = rows.repartition(tasks, *key).join(b, key)
+        return (met if where is None else met.where(where)).withColumn("bound", bound).where(F.col("bound") >= least - 1e-9)
 
     first = pairs(a).groupBy(*group).agg(F.max_by("stored_name", F.struct("bound", (-F.col("match")).alias("m"))).alias("stored_name"))
     first = written(first.select(*group, ratio("name", "stored_name").alias("floor")), "first")
@@ -131,8 +124,11 @@ def reference_matches(candidates: DataFrame, stored: DataFrame) -> DataFrame:
     like = best_alike(rest.select("pc", "name").distinct(), distinct_stored(b, "pc"), ["pc"], ["pc"], 0.86)
     like = written(best(rest.join(like, ["pc", "name"]), "postcode_fuzzy_name", F.least(F.lit(0.99), 0.78 + 0.2 * F.col("r"))), "like")
     rest = rest.join(like, "candidate", "left_anti")
-    points = rest.where("la IS NOT NULL AND lo IS NOT NULL").select("la", "lo", "name").distinct().withColumn("cell", F.explode(geo.cells_around(F.col("la"), F.col("lo"))))
-    near = best_alike(points, distinct_stored(b, "lat", "lng").withColumn("cell", geo.cell(F.col("lat"), F.col("lng"))), ["cell"], ["la", "lo"], 0.75, metres_apart() <= 80)
+    # 80 m reach the fine cells around at most; of the grid's cells only neighbours count
+    own, theirs = geo.cell(F.col("la"), F.col("lo")), geo.cell(F.col("lat"), F.col("lng"))
+    close = (metres_apart() <= 80) & (F.abs(own["y"] - theirs["y"]) <= 1) & (F.abs(own["x"] - theirs["x"]) <= 1)
+    points = rest.where("la IS NOT NULL AND lo IS NOT NULL").select("la", "lo", "name").distinct().withColumn("cell", F.explode(geo.fine_cells_around(F.col("la"), F.col("lo"))))
+    near = best_alike(points, distinct_stored(b, "lat", "lng").withColumn("cell", geo.fine_cell(F.floor(F.col("lat") / geo.FINE), F.col("lng"))), ["cell"], ["la", "lo"], 0.75, close)
     near = best(rest.join(near, ["la", "lo", "name"]), "near_name", F.least(F.lit(0.97), 0.72 + 0.2 * F.col("r")))
     return exact.unionByName(like).unionByName(near)
 
