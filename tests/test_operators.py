@@ -403,3 +403,18 @@ def test_views_take_a_clock(spark):
     rows = spark.createDataFrame([(1, "event", date(2024, 5, 1), None), (2, "event", date(2024, 4, 1), date(2024, 5, 2)), (3, "event", None, date(2024, 9, 1)), (4, "activity", date(2024, 9, 1), None)], "id int, kind string, start date, end date")
     assert rows_of(views.upcoming_events(rows, "2024-05-02"), "id") == [(2,)]
     assert rows_of(views.upcoming_events(rows, "2024-05-01"), "id") == [(1,), (2,)]
+
+
+def test_near_classes_do_not_expand_copies(spark):
+    import random
+
+    draw = random.Random(6)
+    kinds = [sorted(draw.sample([f"w{i}" for i in range(14)], draw.randint(3, 7))) for _ in range(40)]
+    data = [(i, draw.sample(w := kinds[draw.randrange(40)], len(w))) for i in range(300)]
+    found = rows_of(identity.near_classes(spark.createDataFrame(data, "id long, words array<string>"), 0.5), "first_id", "id")
+    first = {}
+    for i, words in data:
+        first.setdefault(frozenset(words), i)
+    expected = [(first[frozenset(w)], i) for i, w in data if len(w) >= 4 and first[frozenset(w)] != i]
+    expected += [(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a) >= 4 and len(b) >= 4 and len(a & b) / len(a | b) >= 0.5]
+    assert found == sorted(expected)
