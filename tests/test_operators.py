@@ -418,3 +418,28 @@ def test_near_classes_do_not_expand_copies(spark):
     expected = [(first[frozenset(w)], i) for i, w in data if len(w) >= 4 and first[frozenset(w)] != i]
     expected += [(i, j) for a, i in first.items() for b, j in first.items() if i < j and len(a) >= 4 and len(b) >= 4 and len(a & b) / len(a | b) >= 0.5]
     assert found == sorted(expected)
+
+
+def test_votes_of_entries_at_the_same_points(spark, monkeypatch):
+    """Against all pairs, with entries and options that share points or have several; copies of a point are measured once."""
+    from townkit.functions import geo
+
+    draw = random.Random(4)
+    rows = [("s" if i % 5 else None, draw.randrange(25), draw.randrange(2), 52.0 + draw.randrange(8) * 0.17 if i % 11 else None, draw.randrange(6) * 0.2) for i in range(150)]
+    df = spark.createDataFrame(rows, "source string, entry int, option int, lat double, lng double")
+    both = df.alias("a").crossJoin(df.alias("b")).where("a.source = b.source AND a.entry <> b.entry")
+    near = both.where(geo.haversine(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng")) < 40).groupBy("a.entry", "a.option").agg(F.count_distinct("b.entry").alias("n"))
+    votes = {(r["entry"], r["option"]): r["n"] for r in near.collect()}
+    found = {(r["entry"], r["option"]): r["votes"] for r in ranking.neighbour_votes(df.where("source IS NOT NULL"), strict=False).collect()}
+    assert len({r[1] for r in rows if r[0]}) == len(found) and all(votes.get(k, 0) == n for k, n in found.items())
+    pairs, plain = spark.sparkContext.accumulator(0), geo.haversine
+
+    @F.udf("double", useArrow=False)
+    def counted(km):
+        pairs.add(1)
+        return km
+
+    monkeypatch.setattr(geo, "haversine", lambda *points: counted(plain(*points)))
+    many = spark.range(3_000).selectExpr("'s' AS source", "id AS entry", "0 AS option", "52.0D + id % 3 * 0.1D AS lat", "0.0D AS lng")
+    assert {r["votes"] for r in ranking.neighbour_votes(many, strict=False).collect()} == {2_999}
+    assert pairs.value <= 100

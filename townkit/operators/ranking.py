@@ -150,8 +150,8 @@ def every(rows: DataFrame, group: list[str], order: list[Column], most: int) ->
 def neighbour_votes(candidates: DataFrame, km: float = 40.0, strict: bool = True) -> DataFrame:
     """entry, option of the best candidate point of each entry: the one that most other entries of the source have a candidate nearer than km.
 
-    candidates: source, entry, option, lat, lng. Points meet through cells, so only neighbours are compared: bands of latitude, each cut
-    into cells as wide as km is long at the poleward edge of the band beyond. strict drops entries of several options whose best is tied
+    candidates: source, entry, option, lat, lng. Different points meet through cells, so only neighbours are compared: bands of latitude, each cut
+    into cells as wide as km is long at the poleward edge of the band beyond. Entries at one point are counted there first. strict drops entries of several options whose best is tied
     or has no votes; else the first option wins.
     """
     from townkit.functions import geo
@@ -162,14 +162,29 @@ def neighbour_votes(candidates: DataFrame, km: float = 40.0, strict: bool = True
         edge = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * size)
         return F.least(F.lit(360.0), size / F.cos(F.radians(edge)))
 
-    home = candidates.withColumn("_y", F.floor(F.col("lat") / size)).withColumn("_x", F.floor(F.col("lng") / width(F.col("_y"))))
-    around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
-    asked = home.withColumn("_d", F.explode(around)).withColumn("_band", F.col("_y") + F.col("_d.dy")).select(
-        "source", F.col("entry").alias("e"), F.col("option").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"),
-        F.col("_band").alias("_y"), (F.floor(F.col("lng") / width(F.col("_band"))) + F.col("_d.dx")).alias("_x"),
-    )
-    near = asked.join(home, ["source", "_y", "_x"]).where((F.col("e") != F.col("entry")) & (geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")) < km))
-    votes = near.groupBy("source", "e", "o").agg(F.count_distinct("entry").alias("votes"))
+    def met(asked: DataFrame, others: DataFrame) -> DataFrame:
+        """asked (source, la, lo and more) with others (source, lat, lng and more) that are nearer than km."""
+        home = others.withColumn("_y", F.floor(F.col("lat") / size)).withColumn("_x", F.floor(F.col("lng") / width(F.col("_y"))))
+        around = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+        own = asked.withColumn("_y", F.floor(F.col("la") / size)).withColumn("_d", F.explode(around)).withColumn("_y", F.col("_y") + F.col("_d.dy"))
+        own = own.withColumn("_x", F.floor(F.col("lo") / width(F.col("_y"))) + F.col("_d.dx")).drop("_d")
+        return own.join(home, ["source", "_y", "_x"]).where(geo.haversine(F.col("la"), F.col("lo"), F.col("lat"), F.col("lng")) < km)
+
+    # an entry that is at one point of its source is a number there; only entries at several points are told apart
+    rows = candidates.where("entry IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL").select("source", "entry", "option", "lat", "lng").distinct()
+    entries = rows.groupBy("source", "entry").agg(F.min(F.struct("lat", "lng")).alias("p"), (F.min(F.struct("lat", "lng")) < F.max(F.struct("lat", "lng"))).alias("several"))
+    single = written(entries.where("NOT several").groupBy("source", "p").agg(F.count(F.lit(1)).alias("n")).select("source", "p.*", "n"), "points")
+    several = written(rows.join(entries.where("several").select("source", "entry"), ["source", "entry"], "left_semi").select("source", "entry", "lat", "lng").distinct(), "several")
+    points = written(rows.select("source", F.col("lat").alias("la"), F.col("lng").alias("lo")).distinct(), "asked")
+    at = ["source", "la", "lo"]
+    counts = met(points, single).groupBy(*at).agg(F.sum("n").alias("n")).unionByName(met(points, several).select(*at, "entry").distinct().groupBy(*at).agg(F.count(F.lit(1)).alias("n")))
+    by_point = counts.groupBy(*at).agg(F.sum("n").alias("n")).withColumnsRenamed({"la": "lat", "lo": "lng"})
+    # every entry is near its own points
+    keys = rows.groupBy("source", "entry", "option").agg(F.min(F.struct("lat", "lng")).alias("p"), (F.min(F.struct("lat", "lng")) < F.max(F.struct("lat", "lng"))).alias("spread"))
+    votes = keys.where("NOT spread").select("source", "entry", "option", "p.*").join(by_point, ["source", "lat", "lng"]).select("source", F.col("entry").alias("e"), F.col("option").alias("o"), (F.col("n") - 1).alias("votes"))
+    # an option of several points has the entries near any of them
+    spread = rows.join(keys.where("spread").select("source", "entry", "option"), ["source", "entry", "option"], "left_semi").select("source", F.col("entry").alias("e"), F.col("option").alias("o"), F.col("lat").alias("la"), F.col("lng").alias("lo"))
+    votes = votes.unionByName(met(spread, rows.select("source", "entry", "lat", "lng").distinct()).where("e <> entry").groupBy("source", "e", "o").agg(F.count_distinct("entry").alias("votes")))
     scored = candidates.join(votes.select("source", F.col("e").alias("entry"), F.col("o").alias("option"), "votes"), ["source", "entry", "option"], "left").withColumn("votes", F.coalesce("votes", F.lit(0)))
     group = Window.partitionBy("source", "entry")
     best = scored.withColumns({"options": F.count(F.lit(1)).over(group), "n": F.row_number().over(group.orderBy(F.desc("votes"), "option")), "top": F.max("votes").over(group)})
