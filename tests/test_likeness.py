@@ -56,3 +56,20 @@ def test_as_all_pairs(spark, threshold, small, monkeypatch):
 def test_fields(spark, key, expected, row, ok):
     columns = {k: F.lit(v).cast("string") for k, v in row.items()}
     assert spark.range(1).select(likeness.field_agrees(key, F.lit(expected).cast("string"), columns).alias("v")).collect()[0]["v"] is ok
+
+
+def test_long_names_do_not_stand_beside_each_of_their_pieces(spark, monkeypatch):
+    held, plain = [], likeness.written
+
+    def counting(df, name):
+        out = plain(df, name)
+        held.append(out.agg(F.sum(sum((F.octet_length(c) for c, kind in out.dtypes if kind == "string"), F.lit(0)))).collect()[0][0] or 0)
+        return out
+
+    monkeypatch.setattr(likeness, "written", counting)
+    letters = "".join(chr(97 + k * k % 23 % 17) + chr(97 + k * 7 % 26) for k in range(1_500))
+    short = spark.createDataFrame([(letters[k : k + 40],) for k in range(0, 2_000, 200)], "name string").distinct()
+    long = spark.createDataFrame([(f"{k} {letters}",) for k in range(20)], "name string")
+    names = {r["name"] for r in short.collect()}
+    assert likeness.within(short, long).count() == 20 * len(names) and likeness.within(long, short).count() == 0
+    assert sum(held) < 2_000_000  # 20 names of 3,000 letters beside each piece are 180 MB

@@ -26,13 +26,20 @@ def within(short: DataFrame, long: DataFrame) -> DataFrame:
     """inner, outer: all pairs of different names of which one stands within the other; both have a row for each name (column name).
 
     A name is looked up by the rarest of its pieces among the outer names, and not at all if one of them occurs in none; what shares that
-    piece is then searched. So the work grows with the characters of all names and with the pairs that share a rare piece.
+    piece is then searched. So the work grows with the characters of all names and with the pairs that share a rare piece. A piece stands
+    beside its name's number, not its text, and names longer than all outer ones are in none.
     """
-    posted = written(long.select(F.col("name").alias("outer"), F.explode(F.array_distinct(pieces(F.col("name"), PIECE))).alias("piece")), "pieces")
+    number = F.monotonically_increasing_id()  # written, so that it stays
+    outer = written(long.select(F.col("name").alias("outer"), number.alias("o")), "outer")
+    longest = outer.agg(F.max(F.length("outer")).alias("n")).collect()[0]["n"] or 0
+    inner = written(short.where(F.length("name").between(SHORTEST, longest)).select(F.col("name").alias("inner"), number.alias("i")), "inner")
+    own = written(inner.select("i", F.explode(F.array_distinct(pieces(F.col("inner"), PIECE))).alias("piece")), "pieces")
+    asked = written(own.select("piece").distinct(), "asked")
+    posted = written(look_up(written(outer.select("o", F.explode(F.array_distinct(pieces(F.col("outer"), PIECE))).alias("piece")), "posted"), asked, ["piece"]), "pieces")
     counts = written(posted.groupBy("piece").agg(F.count(F.lit(1)).alias("n")), "counts")
-    own = written(short.where(F.length("name") >= SHORTEST).select(F.col("name").alias("inner"), F.explode(F.array_distinct(pieces(F.col("name"), PIECE))).alias("piece")), "pieces")
-    rare = look_up(own, counts, ["piece"], "left").groupBy("inner").agg(F.max(F.col("n").isNull()).alias("absent"), F.min_by("piece", F.struct("n", "piece")).alias("piece"))
-    pairs = rare.where("NOT absent").join(posted, "piece").where(F.col("outer").contains(F.col("inner")) & (F.col("outer") != F.col("inner")))
+    rare = look_up(own, counts, ["piece"], "left").groupBy("i").agg(F.max(F.col("n").isNull()).alias("absent"), F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    met = rare.where("NOT absent").join(posted, "piece").select("i", "o")
+    pairs = met.join(inner, "i").join(outer, "o").where(F.col("outer").contains(F.col("inner")) & (F.col("outer") != F.col("inner")))
     return pairs.select("inner", "outer")
 
 
