@@ -75,3 +75,19 @@ def test_batch_and_limits(spark, pages):
     assert read.option("maxPages", 1).load().groupBy("feed").count().collect()[0]["count"] == 40
     with pytest.raises(Exception, match="cursors"):
         spark.readStream.format("feed_walk").option("feeds", json.dumps(feeds)).load().writeStream.format("noop").start().processAllAvailable()
+
+
+def test_pages_are_written_over_batches_and_walked_beyond_the_usual_limit(spark, tmp_path):
+    changes = spark.range(50).selectExpr("concat('f', id % 2) AS feed", "id DIV 2 AS n", "cast(id AS string) AS item", "'updated' AS state", "'m' AS modified", "concat('{\"v\": ', id, '}') AS data").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert {r["feed"]: r["pages"] for r in feed_walk.write_pages(changes, str(tmp_path / "pages"), 7).collect()} == {"f0": 5, "f1": 5}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    pages = [feed_walk.fetch(str(tmp_path / "pages" / "f1" / f"{k}.json")) for k in range(5)]
+    assert [[i["id"] for i in p["items"]] for p in pages] == [[str(2 * n + 1) for n in range(k * 7, min(25, k * 7 + 7))] for k in range(5)]
+    feeds = {f: str(tmp_path / "pages" / f / "0.json") for f in ("f0", "f1")}
+    for most, complete in ((3, {False}), (5, {True})):
+        feed_walk.follow(spark, feeds, str(tmp_path / f"walk{most}"), most=most)
+        assert {r["complete"] for r in feed_walk.feed_report(spark, str(tmp_path / f"walk{most}" / "cursors")).collect()} == complete

@@ -194,10 +194,11 @@ def feed_walk_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("kind") == "error", "deleted").otherwise("updated")
     data = F.when(F.col("kind") != "error", F.to_json(F.struct(F.struct("value").alias("offer"), "kind")))
     changes = placed.join(F.broadcast(first), "feed").select("feed", (F.col("row_number") - F.col("first")).alias("n"), "item", state.alias("state"), F.col("seq").cast("string").alias("modified"), data.alias("data"))
-    feeds = {r["feed"]: f"{folder}/pages/{r['feed']}/{0 if r['feed'] != 'f3' else 'gone'}.json" for r in feed_walk.write_pages(changes, f"{folder}/pages", 2_000).collect()}
+    written_pages = feed_walk.write_pages(changes, f"{folder}/pages", 2_000).collect()  # a row a feed
+    feeds = {r["feed"]: f"{folder}/pages/{r['feed']}/{0 if r['feed'] != 'f3' else 'gone'}.json" for r in written_pages}
     if not feeds:
         return rows.select("feed", F.col("item").cast("long").alias("item"), "value").limit(0)
-    feed_walk.follow(spark, feeds, folder, "offer.value", pages=50)
+    feed_walk.follow(spark, feeds, folder, "offer.value", pages=50, most=max(r["pages"] for r in written_pages))
     items = feed_walk.live_items(spark.read.schema(feed_walk.ITEMS).parquet(f"{folder}/items"))
     found = feed_walk.of_complete_feeds(items, feed_walk.feed_report(spark, f"{folder}/cursors"))
     return found.select("feed", F.col("item").cast("long").alias("item"), F.get_json_object("data", "$['offer.value']").cast("double").alias("value"))

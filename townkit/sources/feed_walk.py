@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import urljoin, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -190,10 +192,11 @@ def of_complete_feeds(items: DataFrame, report: DataFrame) -> DataFrame:
     return items.join(report.where("complete").select("feed"), "feed", "left_semi")
 
 
-def follow(spark: SparkSession, feeds: dict[str, str], folder: str, fields: str = "", pages: int = 100, batches: int | None = None) -> None:
-    """Streams the feeds' items into the Parquet table {folder}/items until all are read (or so many batches); goes on where it was stopped."""
+def follow(spark: SparkSession, feeds: dict[str, str], folder: str, fields: str = "", pages: int = 100, batches: int | None = None, most: int | None = None) -> None:
+    """Streams the feeds' items into the Parquet table {folder}/items until all are read (or so many batches); goes on where it was stopped. most: pages of a feed, where they are known."""
     spark.dataSource.register(FeedWalk)
-    stream = spark.readStream.format("feed_walk").option("feeds", json.dumps(feeds)).option("cursors", f"{folder}/cursors").option("pagesPerBatch", pages).option("fields", fields).load()
+    stream = spark.readStream.format("feed_walk").option("feeds", json.dumps(feeds)).option("cursors", f"{folder}/cursors").option("pagesPerBatch", pages).option("fields", fields)
+    stream = (stream.option("maxPages", most) if most else stream).load()
     done = 0
     while batches is None or done < batches:
         query = stream.writeStream.format("parquet").option("path", f"{folder}/items").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
@@ -206,21 +209,28 @@ def follow(spark: SparkSession, feeds: dict[str, str], folder: str, fields: str
 def write_pages(changes: DataFrame, folder: str, size: int = 100) -> DataFrame:
     """feed, pages: the feeds of changes (feed, n: their order from 0, item, state, modified, data as JSON), as files {folder}/{feed}/{page}.json that name their next one.
 
-    Each page is written by one task under its own name, so that a task that runs again writes the same file. The last page is empty.
+    Each page is written by one task under its own name, so that a task that runs again writes the same file. The last page is empty. A task
+    holds one page at a time, however many it writes.
     """
 
+    def save(feed: str, page: int, rows: list) -> pd.DataFrame:
+        system, path = store(f"{folder}/{feed}/{page}.json")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        items = [{"id": i.item, "state": i.state, "modified": i.modified, **({"data": json.loads(i.data)} if i.data is not None else {})} for i in rows if i.item is not None]
+        with system.open_output_stream(path) as file:
+            file.write(json.dumps({"next": f"{page + 1}.json" if items else f"{page}.json", "items": items}).encode())
+        return pd.DataFrame({"feed": [feed], "page": [page]})
+
     def write(batches):
-        for pdf in batches:
-            for row in pdf.itertuples():
-                system, path = store(f"{folder}/{row.feed}/{row.page}.json")
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                items = [{"id": i["item"], "state": i["state"], "modified": i["modified"], **({"data": json.loads(i["data"])} if i["data"] is not None else {})} for i in row.items if i["item"] is not None]
-                with system.open_output_stream(path) as file:
-                    file.write(json.dumps({"next": f"{row.page + 1}.json" if items else f"{row.page}.json", "items": items}).encode())
-            yield pdf[["feed", "page"]]
-
-    item = F.struct("n", "item", "state", "modified", "data")
-    pages = changes.groupBy("feed", F.floor(F.col("n") / size).alias("page")).agg(F.array_sort(F.collect_list(item)).alias("items"))  # of at most `size` items
-    ends = pages.groupBy("feed").agg((F.max("page") + 1).alias("page")).withColumn("items", F.array().cast(pages.schema["items"].dataType))
-    out = pages.unionByName(ends).mapInPandas(write, "feed string, page long")
+        # a page's rows stand together; one page is held at a time
+        rows = (row for pdf in batches for row in pdf.itertuples(index=False))
+        for (feed, page), of_page in groupby(rows, key=lambda r: (r.feed, int(r.page))):
+            yield save(feed, page, [*of_page])
+
+    columns = ["feed", "page", "n", "item", "state", "modified", "data"]
+    pages = changes.withColumn("page", F.floor(F.col("n") / size))
+    ends = pages.groupBy("feed").agg((F.max("page") + 1).alias("page"))
+    ends = ends.select("feed", "page", *(F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in columns[2:]))
+    dealt = pages.select(*columns).unionByName(ends).repartition("feed", "page").sortWithinPartitions(*columns)
+    out = dealt.withColumns({c: F.col(c).cast("string") for c in ("item", "modified")}).mapInPandas(write, "feed string, page long")
     return out.groupBy("feed").agg(F.count(F.lit(1)).alias("pages"))
