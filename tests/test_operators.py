@@ -443,3 +443,13 @@ def test_votes_of_entries_at_the_same_points(spark, monkeypatch):
     many = spark.range(3_000).selectExpr("'s' AS source", "id AS entry", "0 AS option", "52.0D + id % 3 * 0.1D AS lat", "0.0D AS lng")
     assert {r["votes"] for r in ranking.neighbour_votes(many, strict=False).collect()} == {2_999}
     assert pairs.value <= 100
+
+
+def test_fuzzy_fold_of_a_large_block(spark):
+    """20,000 listings of one block, none of which mean the same: before, each was compared with all before it (200 million comparisons)."""
+    import time
+
+    rows = spark.range(20_000).selectExpr("id", "concat('Session ', id % 5000) AS title", "concat('Venue ', id % 20) AS venue_name", "'2024-01-01' AS start").repartition(1)
+    begin = time.monotonic()
+    assert identity.fuzzy_fold(rows, ["start"], ["id"]).where("size(merged) = 0").count() == 20_000
+    assert time.monotonic() - begin < 30
