@@ -180,3 +180,14 @@ def test_awkward_rows(spark, awkward, no_documents):
     assert toxicity.without_toxic(no_documents, labels).count() == 0
     assert toxicity.toxicity(no_documents, labels).count() == 0
     assert {r["score"] for r in toxicity.toxicity(awkward, labels.limit(0)).collect()} == {0.0}
+
+
+def test_blocks_are_not_looked_at_one_by_one(tables, monkeypatch):
+    """However many blocks there are, the postings of a text are gathered twice at most, beside its entries."""
+    _, docs, labels = tables
+    index = toxicity.fit(docs, labels, toxicity.Settings(block=8, neighbours=5))
+    assert index.blocks > 10
+    calls, plain = [], toxicity.spans
+    monkeypatch.setattr(toxicity, "spans", lambda *a: calls.append(1) or plain(*a))
+    index.nearest(np.arange(len(index.terms)), np.ones(len(index.terms)))
+    assert len(calls) <= 3

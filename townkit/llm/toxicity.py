@@ -93,7 +93,9 @@ class Index:
     posting_of: np.ndarray = field(default=None)  # of each entry: where its postings begin
     member: np.ndarray = field(default=None)
     posted: np.ndarray = field(default=None)
+    place: np.ndarray = field(default=None)  # of each posting: its example
     rows: list[np.ndarray] = field(default_factory=list)  # of each block: rows x places
+    room: np.ndarray = field(default=None)  # for a document's rows of a block
     steps: tuple[np.ndarray, np.ndarray] = field(default=None)
 
     @property
@@ -132,14 +134,15 @@ class Index:
             at = spans(new[common], new[common] + n[common])
             self.rows.append(np.zeros((len(common), size)))
             self.rows[b][np.repeat(np.arange(len(common)), n[common]), member[at]] = posted[at]
+        self.room = np.zeros((max(map(len, self.rows)), size))
         sparse = np.repeat(self.entry_row < 0, n)
-        self.member, self.posted = member[sparse].astype(np.int32), posted[sparse]
+        self.member, self.posted, self.place = member[sparse].astype(np.int32), posted[sparse], place[sparse].astype(np.int32)
         self.posting_of = np.concatenate([[0], np.cumsum(np.where(self.entry_row < 0, n, 0))]).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the nearest examples with a cosine above 0, best first, ties by place; exact.
 
-        Blocks are looked at by falling upper bound, and no further once the bound is below the last neighbour's cosine.
+        The block with the greatest upper bound is looked at first, then at once all whose bound is not below the last neighbour's cosine.
         """
         t, w = self.vector(terms, counts)
         size, most = self.settings.block, self.settings.neighbours
@@ -148,21 +151,26 @@ class Index:
         entries, weight = spans(first, stop), np.repeat(w, stop - first)
         block = self.entry_block[entries]
         bounds = np.bincount(block, weight * self.entry_most[entries], self.blocks)
-        by_block = np.argsort(block, kind="stable")
-        entries, weight = entries[by_block], weight[by_block]
-        edges = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or bounds[b] < last - 1e-12:
+        row = self.entry_row[entries]
+        order = np.argsort(-bounds, kind="stable")
+        for looked in (order[:1], order[1:]):
+            looked = looked[(bounds[looked] > 0) & (bounds[looked] >= last - 1e-12)]
+            if not len(looked):
                 break
-            own, factor = entries[edges[b] : edges[b + 1]], weight[edges[b] : edges[b + 1]]
-            row = self.entry_row[own]
-            common, begin, end = row >= 0, self.posting_of[own], self.posting_of[own + 1]
+            chosen = np.zeros(self.blocks, bool)
+            chosen[looked] = True
+            sparse = np.flatnonzero(chosen[block] & (row < 0))
+            begin, end = self.posting_of[entries[sparse]], self.posting_of[entries[sparse] + 1]
             at = spans(begin, end)
-            cosine = np.einsum("i,ij->j", factor[common], self.rows[b][row[common]]) + np.bincount(self.member[at], np.repeat(factor, end - begin) * self.posted[at], size)
-            found = np.flatnonzero((cosine > 0) & (cosine >= last - 1e-12))
-            place = found + b * size
-            keep = place != skip
-            places, cosines = np.concatenate([places, place[keep]]), np.concatenate([cosines, cosine[found[keep]]])
+            cosine = np.bincount(self.place[at], np.repeat(weight[sparse], end - begin) * self.posted[at], self.blocks * size).astype(float, copy=False)
+            for b in looked.tolist():
+                common = np.flatnonzero((block == b) & (row >= 0))
+                # into a block of memory that stays: fresh memory for each document takes longer than the rows
+                held = self.rows[b].take(row[common], 0, out=self.room[: len(common)], mode="clip")
+                cosine[b * size : (b + 1) * size] += weight[common] @ held
+            place = np.flatnonzero((cosine > 0) & (cosine >= last - 1e-12))
+            place = place[place != skip]
+            places, cosines = np.concatenate([places, place]), np.concatenate([cosines, cosine[place]])
             if len(places) >= most:
                 best = np.lexsort((places, -np.round(cosines, 12)))[:most]
                 places, cosines = places[best], cosines[best]
