@@ -96,6 +96,24 @@ def compare(spark, hot, window):
     assert found == dict(enumerate(brute([t.encode() for t in texts], 60)))
 
 
+def test_passages_of_the_query_s_length(spark):
+    """400 bytes that two documents share go, 399 stay, whatever the number of words; n_bytes is the whole text's length in either case."""
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choice("abcdefghé") for _ in range(r.randint(3, 8))) for _ in range(n)).encode()
+
+    def passage(n):
+        text = words(80).decode().replace("é", "e").encode()[:n]
+        assert len(text) == n and len(text.split()) > 50
+        return text
+
+    shared, short = passage(400), passage(399)
+    texts = [words(60) + b"<" + shared + b">" + words(20), words(30) + b"(" + shared + b")", words(60) + b"<" + short + b">" + words(20), words(30) + b"(" + short + b")", words(90)]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in suffixes.remove_repeats(df).collect()}
+    assert found == dict(enumerate(brute(texts, 400)))
+    assert [found[i][1] for i in range(5)] == [400, 400, 0, 0, 0] and all(found[i][0] == len(t) > len(t.decode()) for i, t in enumerate(texts))
+
+
 def test_awkward_rows(awkward, no_documents):
     found = suffixes.remove_repeats(awkward).collect()
     assert len(found) == awkward.count()
