@@ -154,3 +154,23 @@ def test_country(spark, a, b, country):
 def test_cells_round_half_to_even(spark):
     assert value(spark, geo.cell(F.lit(0.125), F.lit(-0.375), 2)).asDict() == {"y": 12, "x": -38}
     assert len(value(spark, geo.cells_around(F.lit(1.0), F.lit(2.0)))) == 9
+
+
+def test_ratios_are_those_of_the_library():
+    """Over a small alphabet (many equal runs), names, long texts (frequent characters are left out from 200 on), nulls and empty texts."""
+    import random
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    from townkit.functions import similarity
+
+    r, a, b = random.Random(7), [None, "", "", "ab" * 150, "\0a\0"], ["x", "", "x", "ba" * 140, "a\0\0"]
+    for signs in ("ab", "customer 0123456789", "".join(chr(300 + i) for i in range(400)) + "\N{GRINNING FACE}"):
+        for _ in range(600):
+            a.append("".join(r.choices(signs, k=r.randint(0, r.choice((6, 20, 70))))))
+            b.append("".join(r.choices(signs, k=r.randint(0, 20))) if r.random() < 0.5 else a[-1][r.randint(0, 3) :] + a[-1][: r.randint(0, 9)])
+    found = similarity.ratios(pd.Series(a), pd.Series(b))
+    assert found[0] != found[0]
+    assert list(found[1:]) == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a[1:], b[1:], strict=True)]
+    assert len(similarity.ratios(pd.Series([], dtype=object), pd.Series([], dtype=object))) == 0
